@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, mixing, ngram_join, secrets, substring_dedup, toxicity
+from . import ann, chat, decontaminate, langid, mixing, ngram_join, secrets, substring_dedup, toxicity
 from .common import in_train, table
 
 
@@ -62,6 +62,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.train_and_identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))  # the queries; candidates are all rows
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("n_copies") * F.col("size")).alias("taken"), "n_copies")
@@ -77,7 +82,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_chat_formatting, op5_secret_scans, op6_language_id, op8_source_mixing, op9_ngram_jaccard_join, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_chat_formatting, op5_secret_scans, op6_language_id, op7_nearest_neighbours, op8_source_mixing, op9_ngram_jaccard_join, op10_benchmark_decontamination)}
 
 _CONTROL = r"</?s>|\[/?INST\]|<</?SYS>>|<<ROLE:[0-9A-F]*>>|<</ROLE>>|<<ESC>>"
 
