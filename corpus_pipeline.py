@@ -1,11 +1,72 @@
-"""A corpus pipeline of five stages; stages are added as their operators come."""
+"""A corpus pipeline: toxicity, near duplicates, decontamination, secrets, mixing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, mixing, ngram_join, secrets, toxicity
+from tessera.llm.common import saved, table
+
+#: Score from which a document is rejected as toxic.
+TOXIC = 0.7
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score TOXIC or more go; the model learns from labels of the documents at hand."""
+    model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.reject(docs, model, TOXIC)
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by near-duplicate links, the document with the smallest id stays; one row of repeated ones."""
+    key = F.struct("doc_id", F.xxhash64("text").alias("h"))  # tells rows apart that share an id
+    found = ngram_join.near_duplicates(docs.select(key.alias("doc_id"), "text"))
+    kept = found.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("key")).distinct()
+    rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with any window of a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; spans of secrets are replaced by a mark, and n_chars follows."""
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = secrets.find_secrets(rows)
+    found = found.withColumn("text", F.when(F.size("spans") > 0, secrets.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target says, with its copy's number."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("ngram_jaccard_join", keep_one_of_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("secret_scans", redact_secrets),
+    ("source_mixing", mix_sources),
+]
+
+#: The first stage's model can't be written in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's rows are written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        docs = docs if k == len(STAGES) - 1 else saved(docs)
     return docs

@@ -166,3 +166,22 @@ def _joined(rows: DataFrame, parts, kind: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(results[0]["n_words"], pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, kinds[0]), pa.array(spans, kinds[1])], names=["doc_id", "n_words", "n_hit", "items", "spans"])
 
     return rows.mapInArrow(run, _OUT.format(kind))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """The rows of docs, all columns kept, whose text holds no window of the benchmark."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    parts = _parts([(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").toLocalIterator()], k, automaton_bytes)
+    keyed = [(spark.sparkContext.broadcast(p), hashlib.sha256(b"\n".join(w for w, _ in p)).hexdigest() + str(len(p))) for p in parts if p]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [f" {b' '.join(normal_words(t)).decode('latin-1')} " for t in batch.column("text").to_pylist()]
+            hit = [False] * len(texts)
+            for part, key in keyed:
+                found = _automaton(key, part.value)
+                hit = [h or next(found.iter(t), None) is not None for h, t in zip(hit, texts)]
+            yield batch.filter(pa.array([not h for h in hit], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -68,8 +68,15 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """The mix itself: each row of docs as often as its source's rate says, all columns kept, plus copy (from 0)."""
+    """The mix itself: each row of docs as often as its source's rate says, all columns kept, plus copy (from 0).
+
+    A column of docs named copy is replaced.
+    """
     sizes = docs.select("source", word_count(F.col("text")).alias("size"))
     targets = saved(source_targets(sizes, weights, share, most)).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
-    many = docs.join(targets, docs["source"].eqNullSafe(targets["_source"])).withColumn("_n", copies(docs["doc_id"], F.col("_rate"), seed))
-    return many.where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int")))).drop("_source", "_rate", "_n")
+    rows = docs.drop("copy")
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
+    many = packed.join(targets, F.col("row.source").eqNullSafe(F.col("_source")))
+    many = many.withColumn("n", copies(F.col("row.doc_id"), F.col("_rate"), seed)).where("n > 0")
+    many = many.select("row", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("copy"))
+    return many.select("row.*", "copy")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, langid, mixing, ngram_join, secrets, substring_dedup, toxicity
+from . import ann, chat, decontaminate, langid, licenses, mixing, ngram_join, secrets, substring_dedup, toxicity
 from .common import in_train, table
 
 
@@ -44,6 +44,16 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files of a tree: /source/4096 ids/64 ids/, the first of each range as its licence file."""
+    i = F.col("doc_id")
+    top = F.concat_ws("/", F.coalesce("source", F.lit("")), F.floor(i / 4096).cast("string"))
+    sub = F.concat_ws("/", top, F.floor(i / 64).cast("string"))
+    path = F.when(i % 4096 == 0, F.concat(top, F.lit("/LICENSE"))).when(i % 64 == 0, F.concat(sub, F.lit("/LICENSE"))).otherwise(F.concat(sub, F.lit("/"), i.cast("string"), F.lit(".txt")))
+    files = table(spark, sf_dir, "documents").select(path.alias("path"), "text")
+    return licenses.scan(files)
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.find_secrets(docs)
@@ -82,11 +92,33 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_chat_formatting, op5_secret_scans, op6_language_id, op7_nearest_neighbours, op8_source_mixing, op9_ngram_jaccard_join, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_chat_formatting, op4_license_scans, op5_secret_scans, op6_language_id, op7_nearest_neighbours, op8_source_mixing, op9_ngram_jaccard_join, op10_benchmark_decontamination)}
 
 _CONTROL = r"</?s>|\[/?INST\]|<</?SYS>>|<<ROLE:[0-9A-F]*>>|<</ROLE>>|<<ESC>>"
 
+_L = licenses.oracle_values()
+
 ORACLES = {
+    "op4_license_scans": f"""
+WITH f AS (
+  SELECT text, CASE WHEN doc_id % 4096 = 0 THEN top || '/LICENSE' WHEN doc_id % 64 = 0 THEN top || '/' || (doc_id // 64) || '/LICENSE' ELSE top || '/' || (doc_id // 64) || '/' || doc_id || '.txt' END AS path
+  FROM (SELECT *, coalesce(source, '') || '/' || (doc_id // 4096) AS top FROM documents)
+), t(template, licence, term, weight) AS (VALUES {_L["templates"]}), i(term, idf) AS (VALUES {_L["idf"]}),
+l AS (SELECT DISTINCT path, line FROM (SELECT path, unnest(string_split(text, chr(10))) AS line FROM f) WHERE regexp_matches(lower(line), '{_L["cues"]}')),
+w AS (SELECT path, line, regexp_replace(term, '^[.-]+|[.-]+$', '', 'g') AS term FROM (SELECT path, line, unnest(regexp_split_to_array(lower(line), '[^a-z0-9.-]+')) AS term FROM l)),
+tf AS (SELECT path, line, w.term, count(*) * coalesce(any_value(idf), {_L["unknown"]}) AS w FROM w LEFT JOIN i ON i.term = w.term WHERE w.term <> '' AND w.term NOT IN ({_L["stop"]}) GROUP BY ALL),
+n AS (SELECT path, line, sqrt(sum(w * w)) AS norm FROM tf GROUP BY ALL),
+s AS (SELECT path, licence, round(sum(w * weight) / any_value(norm), 6) AS score FROM tf JOIN t USING (term) JOIN n USING (path, line) GROUP BY path, line, template, licence HAVING round(sum(w * weight) / any_value(norm), 6) >= {licenses.LEAST}),
+own AS (SELECT path, licence, score FROM s QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, licence) = 1),
+up AS (SELECT regexp_replace(path, '/[^/]*$', '') AS above, licence, score FROM own WHERE path LIKE '%/LICENSE'),
+r AS (
+  SELECT f.path, own.licence, own.score, up.above, up.licence AS up_licence, up.score AS up_score,
+    row_number() OVER (PARTITION BY f.path ORDER BY length(up.above) DESC NULLS LAST) AS k
+  FROM f LEFT JOIN own ON own.path = f.path LEFT JOIN up ON starts_with(f.path, up.above || '/')
+)
+SELECT path, coalesce(licence, up_licence) AS licence, coalesce(score, up_score) AS score,
+  CASE WHEN licence IS NOT NULL THEN 'own' WHEN up_licence IS NOT NULL THEN 'inherited' END AS basis, CASE WHEN licence IS NULL THEN above END AS source
+FROM r WHERE k = 1""",
     "op2_substring_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),

@@ -215,6 +215,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
+_CACHES: dict[int, "_Odds"] = {}
+
+
 class _Odds(dict):
     def __init__(self, model: Model):
         super().__init__()
@@ -243,7 +246,10 @@ def _spans(text: str, words: list[bytes], at: list[int]) -> list[dict]:
 def _scored(shared, with_spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        odds = _Odds(model)
+        if id(model) not in _CACHES:
+            _CACHES.clear()
+            _CACHES[id(model)] = _Odds(model)
+        odds = _CACHES[id(model)]
         clean = model.score([])
         potentials: dict[float, float] = {}
         for batch in batches:
@@ -277,3 +283,19 @@ def score(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = ", spans array<struct<start:bigint,end:bigint,marginal:double>>" if with_spans else ""
     return docs.select("doc_id", "text").mapInArrow(_scored(spark.sparkContext.broadcast(model), with_spans), f"doc_id {kind}, score double{more}")
+
+
+def reject(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs, all columns kept, whose text scores below `least`."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scored = _scored(shared, False)
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column("text")], names=["doc_id", "text"])
+            scores = next(scored(iter([texts]))).column("score").to_numpy()
+            yield batch.filter(pa.array(scores < least))
+
+    return docs.mapInArrow(run, docs.schema)
