@@ -1,13 +1,7 @@
-"""Registered queries of the relational engine, and their SQL."""
+"""All registered queries of the relational engine, and their SQL: importing the modules registers them."""
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast("decimal(12,2)")).cast("double").alias("sum_qty"), F.count(F.lit(1)).alias("count_order"))
-
-
-QUERIES = {"pricing_summary": pricing_summary}
-ORACLES = {"pricing_summary": "SELECT l_returnflag, l_linestatus, sum(l_quantity::DECIMAL(12,2))::DOUBLE AS sum_qty, count(*) AS count_order FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL"}
+from ..functions import scalar, udfs  # noqa: F401
+from ..operators import relational, windows  # noqa: F401
+from ..sources import formats  # noqa: F401
+from ..streaming import queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
