@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..ship import ship
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,6 +17,7 @@ ORACLES: dict[str, str] = {}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,7 +38,7 @@ def sql(name: str, text: str, oracle: str | None = None) -> None:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         for t in TABLES:
-            if f"{t}" in text:
+            if t in text:
                 load(spark, sf_dir, t).createOrReplaceTempView(t)
         return spark.sql(text)
 

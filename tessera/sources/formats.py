@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..ship import ship
 from ..plans.registry import load, query, scratch
 
 _NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
@@ -88,6 +89,7 @@ class SquaresReader(DataSourceReader):
 
 @query("SELECT range AS id, range * range AS square FROM range(1000)")
 def custom_batch_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(Squares)
     return spark.read.format("squares").option("n", "1000").option("parts", "4").load()
 
