@@ -20,17 +20,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_train, small_batches
+from .common import in_train, saved, small_batches
 
 SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_FIELD = 4000, 8000, 1000
 PREFIXES = range(3, 8)
 #: Most entries of the lexicon, the most telling first.
 LEXICON = 50_000
 #: Least log odds of an entry.
-LEAST_ODDS = 2.0
+LEAST_ODDS = 3.0
 SEGMENT = 64
 #: A token is reported as offending from this marginal on.
 OFFENDING = 0.5
@@ -107,16 +108,55 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def _lexicon(picked: DataFrame, n_other: int, n_toxic: int) -> dict[str, float]:
-    """Features with significantly more toxic documents, with their log odds."""
-    counts = picked.mapInArrow(_counts, "feature string, n_other bigint, n_toxic bigint").groupBy("feature").agg(F.sum("n_other").alias("o"), F.sum("n_toxic").alias("t"))
+def _contexts(shared):
+    """For each occurrence of a candidate: a hash of the words beside it; '' stands for every token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        candidates, known = shared.value, {}
+        for batch in batches:
+            features, places, labels, counts = [], [], [], []
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                words = [b"", *words_of(text), b""]
+                for i in range(1, len(words) - 1):
+                    w = words[i]
+                    hits = known.get(w)
+                    if hits is None:
+                        hits = known[w] = [f for f in features_of(w) if f in candidates]
+                    if hits:
+                        place = xxhash.xxh64_intdigest(words[i - 1] + b" " + words[i + 1]) >> 1
+                        for f in hits:
+                            features.append(f), places.append(place), labels.append(toxic), counts.append(1)
+                features.append(""), places.append(0), labels.append(toxic), counts.append(len(words) - 2)
+            yield pa.RecordBatch.from_arrays([pa.array(features, pa.string()), pa.array(places, pa.int64()), pa.array(labels, pa.int32()), pa.array(counts, pa.int64())], names=["feature", "place", "toxic", "n"])
+
+    return run
+
+
+def _scored_features(counts: DataFrame, n_other: int, n_toxic: int) -> DataFrame:
+    """counts: feature, o, t (in how many other and toxic ones). Adds its log likelihood ratio and its log odds."""
     base = n_toxic / (n_toxic + n_other)
     share = F.col("t") / (F.col("t") + F.col("o"))
     gain = F.col("t") * F.log(share / base) + F.when(F.col("o") > 0, F.col("o") * F.log((1 - share) / (1 - base))).otherwise(0.0)
     odds = F.log((F.col("t") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("o") + 0.5) / (n_other + 1.0))
-    tried = counts.where("t >= 3").count()
-    kept = counts.where("t >= 3").select("feature", gain.alias("gain"), odds.alias("odds")).where((F.col("gain") >= math.log(tried + 1) + 3) & (F.col("odds") >= LEAST_ODDS))
-    return {r["feature"]: r["odds"] for r in kept.orderBy(F.desc("gain"), "feature").limit(LEXICON).collect()}
+    return counts.where("t > 0").select("feature", gain.alias("gain"), odds.alias("odds"))
+
+
+def _lexicon(picked: DataFrame, n_other: int, n_toxic: int) -> dict[str, float]:
+    """Features with significantly more toxic contexts, with their log odds.
+
+    Documents that are copies of each other, or share passages, aren't independent, so the test isn't on
+    documents: those only give the candidates. It is on distinct contexts, which copies share and toxic words don't.
+    """
+    counts = saved(picked.mapInArrow(_counts, "feature string, n_other bigint, n_toxic bigint").groupBy("feature").agg(F.sum("n_other").alias("o"), F.sum("n_toxic").alias("t")).where("t >= 2"))
+    tried = counts.count()
+    first = _scored_features(counts, n_other, n_toxic).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("gain"), "feature").limit(LEXICON).collect()
+    shared = picked.sparkSession.sparkContext.broadcast(frozenset(r["feature"] for r in first))
+    places = picked.mapInArrow(_contexts(shared), "feature string, place bigint, toxic int, n bigint")
+    by = places.groupBy("feature", "place", "toxic").agg(F.sum("n").alias("n")).withColumn("n", F.when(F.col("feature") == "", F.col("n")).otherwise(1))
+    by = saved(by.groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("o"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t")))
+    total = by.where("feature = ''").first()
+    found = _scored_features(by.where("feature != ''"), total["o"], total["t"])
+    return {r["feature"]: r["odds"] for r in found.where((F.col("gain") >= math.log(tried + 1) + 3) & (F.col("odds") >= LEAST_ODDS)).collect()}
 
 
 def _odds(shared):
