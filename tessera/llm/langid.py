@@ -30,6 +30,7 @@ MOST_N = 5
 PENALTY = -7.0
 #: Unseen words that each Python worker remembers.
 REMEMBERED = 300_000
+_PARTS = 64
 
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -102,8 +103,11 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Model:
     """From doc_id, text and lang of rows with neither null."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= sample)
+    # in two steps, so that a language of most rows is ranked in parts first and at most _PARTS * sample rows meet
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(_PARTS))
+    few = rows.select("doc_id", "lang", part.alias("part")).withColumn("_at", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("_at") <= sample)
+    chosen = few.withColumn("_at", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("_at") <= sample)
     ids = chosen.select("doc_id").distinct()  # at most `sample` a language
     picked = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang")
     counts = picked.mapInArrow(_counted, "lang string, n int, gram string, count bigint").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
