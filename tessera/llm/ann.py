@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .common import saved
 
 K = 20
@@ -181,6 +182,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, dims: int = DIMS
     take no part; nor do vectors of another length than most have. Rows that share a vec_id count once.
     """
     spark = vectors.sparkSession
+    ship(spark)
     base, asked = usable(vectors), usable(queries)
     common = base.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     nothing = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")

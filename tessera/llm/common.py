@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 #: Words of the contract: runs of bytes other than space and \t \n \v \f \r (which is what bytes.split() splits on).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,6 +27,7 @@ _S33 = np.uint64(33)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +46,7 @@ def saved(df: DataFrame) -> DataFrame:
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of texts hold at most so many rows, so that a Python worker's memory is bounded."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
@@ -98,7 +102,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, offs - offs[0]
 
 
-def blocks(offs: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def blocks(offs: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most so many bytes (a longer text is a range of its own)."""
     i, n = 0, len(offs) - 1
     while i < n:
@@ -135,12 +139,12 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((run[ends] - run[starts]) * down[starts])
 
 
-def rolling(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def rolling(hashes: np.ndarray, rows: np.ndarray, k: int, base: int = _STEP) -> tuple[np.ndarray, np.ndarray]:
     """Index of the first word, and hash, of each run of k words within one row."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    up, down = powers(_STEP, len(hashes) + 1)
+    up, down = powers(base, len(hashes) + 1)
     run = np.empty(len(hashes) + 1, np.uint64)
     run[0] = 0
     np.cumsum(hashes * up[: len(hashes)], out=run[1:])
