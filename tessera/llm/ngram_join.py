@@ -9,14 +9,19 @@ count-min sketch estimates as frequent last, and differ by a seeded hash among t
 Tokens whose estimate is 1 occur in one text, so they take up places in a prefix but are never joined on;
 a class without a repeated token in every prefix links with nothing. This keeps most documents out of the join.
 
+A shared prefix token at places i and j says that the overlap is at most min(|x| - i, |y| - j) if it is the first
+one shared, so a pair is only made by tokens where that is enough (for equal sizes: the first ninth of a set).
+
 Links are wanted up to components, so not every pair of a large group is compared. First each class is
-compared with the least and the greatest class of each of its prefix tokens. Then tokens whose classes lie in
-one component have nothing left to tell; for the others every pair across components is compared. A link
-between two texts is thereby either compared or already implied.
+compared with a leader of each of its prefix tokens, among those of about its size: the class with the fewest
+tokens of its own, which is the likeliest to link. Then tokens whose classes lie in one component have nothing
+left to tell; for the others every pair across components is compared. A link between two texts is thereby
+either compared or already implied.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,25 +154,36 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     seen.unpersist()
 
     # one row a class; those with a repeated token in every prefix
-    classes = rows.where("tokens IS NOT NULL").select("node", "n_shingles", "prefixes", "tokens").dropDuplicates(["node"])
-    classes = saved(classes)
-    posts = classes.select("node", "n_shingles", F.explode(F.col("prefixes")[0]).alias("token"))
-    ends = posts.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi")
-    posts = saved(posts.join(ends, "token").select("token", "node", "n_shingles", "lo", "hi"))
-
-    stars = posts.select(F.col("lo").alias("u"), F.col("node").alias("v")).union(posts.select(F.col("node").alias("u"), F.col("hi").alias("v"))).where("u != v").distinct()
+    classes = saved(rows.where("tokens IS NOT NULL").select("node", "n_shingles", "prefixes", "tokens").dropDuplicates(["node"]))
+    own = F.col("n_shingles") - F.size("tokens")  # tokens that occur once; they hold the first places
+    posts = classes.select("node", F.col("n_shingles").alias("n"), own.alias("own"), F.posexplode(F.col("prefixes")[0]).alias("at", "token"))
+    # sets whose sizes allow a link lie in one band or in two that follow each other
+    band = F.floor(F.log(F.col("n")) / math.log(100 / percent)).cast("int")
+    posts = posts.select("token", "node", "n", "own", (F.col("own") + F.col("at")).alias("at"), band.alias("band"))
+    shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    posts = saved(posts.join(shared, "token", "left_semi"))
+
+    def may_link(n, m, i, j) -> F.Column:
+        """Sizes n and m, and a first shared token at places i and j, leave room for a link."""
+        least = F.ceil((n + m) * percent / (100 + percent))
+        return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (n - i >= least) & (m - j >= least)
+
+    leads = posts.groupBy("token", "band").agg(F.min(F.struct("own", "node", "n", "at")).alias("lead"))
+    near = posts.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
+    stars = near.join(leads, ["token", "band"]).where((F.col("node") != F.col("lead.node")) & may_link(F.col("n"), F.col("lead.n"), F.col("at"), F.col("lead.at")))
+    stars = saved(stars.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct())
     links = saved(_compared(stars, classes, percent, orders))
     found = components(links)
 
     # every pair across components of the tokens that still have more than one
-    at = posts.select("token", "node", "n_shingles").join(found, "node", "left").select("token", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
-    mixed = at.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("token")
-    at = saved(at.join(mixed, "token", "left_semi"))
-    x = at.select("token", F.col("node").alias("u"), F.col("n_shingles").alias("nu"), F.col("root").alias("ru"))
-    y = at.select("token", F.col("node").alias("v"), F.col("n_shingles").alias("nv"), F.col("root").alias("rv"))
-    fits = (F.col("nu") * 100 >= F.col("nv") * percent) & (F.col("nv") * 100 >= F.col("nu") * percent)
-    across = x.join(y, "token").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & fits).select("u", "v").distinct()
-    rest = saved(_compared(across.join(stars, ["u", "v"], "left_anti"), classes, percent, orders))
+    placed = posts.join(found, "node", "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("token")
+    placed = saved(placed.join(mixed, "token", "left_semi"))
+    x = placed.select("token", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("at").alias("iu"), F.col("root").alias("ru"))
+    y = placed.select("token", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("at").alias("iv"), F.col("root").alias("rv"))
+    across = x.join(y, "token").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & may_link(F.col("nu"), F.col("nv"), F.col("iu"), F.col("iv")))
+    across = across.select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
+    rest = saved(_compared(across, classes, percent, orders))
     roots = components(links.union(rest)) if rest.limit(1).count() else found
 
     members = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
