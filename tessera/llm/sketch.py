@@ -6,7 +6,7 @@ once at least, twice, four times, ...). Slices are merged where Spark shuffles t
 rounded-down counts. A merged count overestimates the keys of a cell up to that rounding, never below 2 where
 two keys met, so "both cells have 2 or more" holds for every key that occurs twice.
 
-What goes to the driver and is broadcast is one bit a cell (2 or more), at most MOST_BITS cells a row: 128 MB
+What goes to the driver and is broadcast is one bit a cell (2 or more), at most 2**MOST_BITS cells a row: 64 MB
 for both rows, whatever the input. Beyond that size the sketch fills and excludes fewer keys; results stay whole.
 """
 
@@ -20,29 +20,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import mix, saved
 
 SLICE = 20
 ROWS = 2
-MOST_BITS = 29
+MOST_BITS = 28
 LEAST_BITS = 20
 _SEEDS = (11, 23)
 #: Keys are cut to partial sketches at so many, which bounds a task's memory.
-FLUSH = 1_500_000
+FLUSH = 3_000_000
 
 
 def bits_for(keys: float) -> int:
-    """About three cells a key in each row."""
-    return min(MOST_BITS, max(LEAST_BITS, round(math.log2(max(1.0, 3 * keys)))))
+    """About two cells a key in each row."""
+    return min(MOST_BITS, max(LEAST_BITS, round(math.log2(max(1.0, 2 * keys)))))
 
 
 def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
     return mix(keys, _SEEDS[row]) >> np.uint64(64 - bits)
 
 
-def _encode(sorted_cells: np.ndarray) -> bytes:
-    """Deltas in one byte each (255 means go on), or in four where gaps are wide."""
-    deltas = np.diff(sorted_cells, prepend=np.int64(-1)) - 1
+def encode(deltas: np.ndarray) -> bytes:
+    """Small non-negative numbers in one byte each (255 means go on), or in four where they are large."""
     if len(deltas) and deltas.mean() > 700:
         return b"\1" + deltas.astype("<u4").tobytes()
     more = deltas // 255
@@ -51,46 +50,51 @@ def _encode(sorted_cells: np.ndarray) -> bytes:
     return b"\0" + out.tobytes()
 
 
-def _decode(raw: bytes) -> np.ndarray:
+def decode(raw: bytes) -> np.ndarray:
     if raw[:1] == b"\1":
-        return np.cumsum(np.frombuffer(raw, "<u4", offset=1).astype(np.int64) + 1) - 1
+        return np.frombuffer(raw, "<u4", offset=1).astype(np.int64)
     values = np.frombuffer(raw, np.uint8, offset=1)
     total = np.cumsum(values, dtype=np.int64)
-    last = np.flatnonzero(values != 255)
-    return total[last] + np.arange(len(last))
+    return np.diff(total[values != 255], prepend=np.int64(0))
 
 
-def _partial(keys: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+def _partial(at: np.ndarray, row: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """at: the cells of one row; sorted in place."""
+    at.sort()
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
+    counts = np.diff(first, append=len(at)).astype(np.uint32)
+    at = at[first]
     slices, levels, packed = [], [], []
-    for row in range(ROWS):
-        at = np.sort(cells(keys, row, bits))
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
-        counts = np.diff(first, append=len(at))
-        at = at[first].astype(np.int64)
-        level = 0
-        while len(at):
-            cuts = np.flatnonzero(np.concatenate(([True], (at[1:] >> SLICE) != (at[:-1] >> SLICE))))
-            for i, j in zip(cuts, np.append(cuts[1:], len(at))):
-                slices.append((row << (bits - SLICE)) | int(at[i] >> SLICE))
-                levels.append(level)
-                packed.append(_encode(at[i:j] & ((1 << SLICE) - 1)))
-            level += 1
-            keep = counts >= (1 << level)
-            at, counts = at[keep], counts[keep]
+    level = 0
+    while len(at):
+        cuts = np.flatnonzero(np.concatenate(([True], (at[1:] >> SLICE) != (at[:-1] >> SLICE))))
+        for i, j in zip(cuts, np.append(cuts[1:], len(at))):
+            slices.append((row << (bits - SLICE)) | int(at[i] >> SLICE))
+            levels.append(level)
+            packed.append(encode(np.diff((at[i:j] & ((1 << SLICE) - 1)).astype(np.int64), prepend=-1) - 1))
+        level += 1
+        keep = counts >= (1 << level)
+        at, counts = at[keep], counts[keep]
     yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(levels, pa.int32()), pa.array(packed, pa.binary())], names=["slice", "level", "cells"])
 
 
 def partials(batches: Iterator[pa.RecordBatch], keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> Iterator[pa.RecordBatch]:
-    held, n = [], 0
+    """Partial sketches of at most FLUSH keys each; only their cells are held, in four bytes each."""
+    held, n = [np.empty(0, np.uint32) for _ in range(ROWS)], 0
     for batch in batches:
         for keys in keys_of(batch):
-            held.append(keys)
+            if n and n + len(keys) > FLUSH:
+                for row in range(ROWS):
+                    yield from _partial(held[row][:n], row, bits)
+                n = 0
+            if n + len(keys) > len(held[0]):
+                held = [np.concatenate((h[:n], np.empty(max(len(keys), min(n, FLUSH - n)), np.uint32))) for h in held]
+            for row in range(ROWS):
+                held[row][n : n + len(keys)] = cells(keys, row, bits)
             n += len(keys)
-            if n >= FLUSH:
-                yield from _partial(np.concatenate(held), bits)
-                held, n = [], 0
     if n:
-        yield from _partial(np.concatenate(held), bits)
+        for row in range(ROWS):
+            yield from _partial(held[row][:n], row, bits)
 
 
 def _merge(hot: int):
@@ -101,7 +105,7 @@ def _merge(hot: int):
         for batch in batches:
             at_slice = batch.column("slice")[0].as_py()
             for level, raw in zip(batch.column("level").to_pylist(), batch.column("cells")):
-                at = _decode(raw.as_py())
+                at = np.cumsum(decode(raw.as_py()) + 1) - 1
                 add = 1 if level == 0 else 1 << (level - 1)
                 if hot:
                     counts[at] += add
@@ -116,7 +120,7 @@ def _merge(hot: int):
 class Repeated:
     """The merged sketch as tasks hold it: which cells have 2 or more, and (if asked for) which are hot."""
 
-    def __init__(self, bits: int, raw: bytes, hots: tuple[np.ndarray, ...]):
+    def __init__(self, bits: int, raw: bytearray, hots: tuple[np.ndarray, ...]):
         self.bits, self.raw, self.hots = bits, raw, hots
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
@@ -146,11 +150,12 @@ def repeated(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.nd
     width = 1 << (SLICE - 3)
     raw = bytearray(width * (ROWS << (bits - SLICE)))
     hots: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
-    for r in sorted(merged.collect()):  # one bit a cell: bounded by MOST_BITS
+    # one bit a cell, bounded by MOST_BITS, and partition by partition: never twice in the driver
+    for r in saved(merged).toLocalIterator():
         raw[r["slice"] * width : (r["slice"] + 1) * width] = r["bits"]
         row, base = r["slice"] >> (bits - SLICE), (r["slice"] & ((1 << (bits - SLICE)) - 1)) << SLICE
         hots[row].append(np.frombuffer(r["hots"], "<u4").astype(np.int64) + base)
-    return Repeated(bits, bytes(raw), tuple(np.concatenate(h) if h else np.zeros(0, np.int64) for h in hots))
+    return Repeated(bits, raw, tuple(np.sort(np.concatenate(h)) if h else np.zeros(0, np.int64) for h in hots))
 
 
 def text_bytes(docs: DataFrame) -> int:

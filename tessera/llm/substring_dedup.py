@@ -18,57 +18,92 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .common import blocks, mix, rolling, small_batches, utf8, word_hashes, word_spans
+from .sketch import decode, encode
 
 WINDOW = 35
-_FLUSH = 1_000_000
+_FLUSH = 500_000
+_OTHER = 0xA0761D6478BD642F
 
 
-def _windows(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For blocks of rows: first row; row, position (in words) and hash of each window; number of words of each row."""
+def _windows(texts: pa.Array, k: int, check: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+    """For blocks of rows: first row; row, position (in words) and hash of each window; words of each row; 32 more bits of hash."""
     data, offs = utf8(texts)
     for i, j in blocks(offs):
         part, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         starts, ends, rows = word_spans(part, at)
-        first, hashes = rolling(word_hashes(part, starts, ends), rows, k)
+        words = word_hashes(part, starts, ends)
+        first, hashes = rolling(words, rows, k)
+        more = (rolling(mix(words, 77), rows, k, _OTHER)[1] >> np.uint64(32)).astype(np.uint32) if check else None
         n_words = np.bincount(rows, minlength=j - i)
         begin = np.concatenate(([0], np.cumsum(n_words)))[:-1]
         row = rows[first]
-        yield i, row, first - begin[row], hashes, n_words
+        yield i, row, first - begin[row], hashes, n_words, more
 
 
 def _hashes(k: int):
-    return lambda batch: (h for _, _, _, h, _ in _windows(batch.column("text"), k))
+    return lambda batch: (found[3] for found in _windows(batch.column("text"), k))
 
 
-def _key_rows(found: list[tuple[np.ndarray, ...]], n_slices: int) -> Iterator[pa.RecordBatch]:
-    """One entry a window and flush, packed by slice: key (8 + 4 bytes), document and position, times seen (1 or 2)."""
-    h, doc, pos = (np.concatenate(x) for x in zip(*found))
+def _grouped(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal keys stand together, and where each key begins in it."""
     order = np.argsort(h, kind="stable")
-    s = h[order]
-    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    many = np.diff(first, append=len(s)) > 1
+    s, t = h[order], c[order]
+    same = s[1:] == s[:-1]
+    if np.any(same & (t[1:] != t[:-1])):
+        order = np.lexsort((c, h))
+        s, t = h[order], c[order]
+        same = s[1:] == s[:-1]
+    return order, np.flatnonzero(np.concatenate(([True], ~(same & (t[1:] == t[:-1])))))
+
+
+def _key_rows(found: list[tuple[np.ndarray, ...]], n_slices: int) -> Iterator[pa.RecordBatch]:
+    """One entry a window and flush, packed by slice: keys seen once, their documents and positions; keys seen more often."""
+    h, c, doc, pos = (np.concatenate(x) for x in zip(*found))
+    order, first = _grouped(h, c)
+    many = np.diff(first, append=len(h)) > 1
     keep = order[first]
-    h, doc, pos = h[keep], np.where(many, 0, doc[keep]), np.where(many, -1, pos[keep])
+    h, c, doc, pos = h[keep], c[keep], doc[keep], pos[keep]
     part = (mix(h, 5) % np.uint64(n_slices)).astype(np.int64)
-    order = np.lexsort((pos, doc, part))
-    h, doc, pos, part = h[order], doc[order], pos[order], part[order]
+    order = np.lexsort((pos, doc, many, part))
+    h, c, doc, pos, part, many = h[order], c[order], doc[order], pos[order], part[order], many[order]
     cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
     slices, packed = [], []
     for i, j in zip(cuts, np.append(cuts[1:], len(h))):
+        m = i + int(np.searchsorted(many[i:j], True))
+        begin = np.flatnonzero(np.concatenate(([True], doc[i + 1 : m] != doc[i : m - 1]))) if m > i else np.zeros(0, np.int64)
+        gaps = np.diff(pos[i:m].astype(np.int64), prepend=0)
+        gaps[begin] = pos[i:m][begin]
+        ids, counts = doc[i:m][begin], np.diff(begin, append=m - i)
         slices.append(int(part[i]))
-        packed.append(b"".join((h[i:j].tobytes(), np.diff(doc[i:j], prepend=np.int64(0)).tobytes(), np.diff(pos[i:j], prepend=np.int32(0)).astype("<i4").tobytes())))
+        packed.append(b"".join((np.array([j - i, m - i, len(ids)], "<i8").tobytes(), h[i:j].tobytes(), c[i:j].tobytes(), ids.tobytes(), counts.astype("<u4").tobytes(), encode(gaps))))
     yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(packed, pa.binary())], names=["slice", "packed"])
 
 
+def _unpacked(raw: bytes) -> tuple[np.ndarray, ...]:
+    """Keys, documents and positions; position -1: seen more often."""
+    n, m, n_ids = np.frombuffer(raw, "<i8", 3).tolist()
+    h, c = np.frombuffer(raw, np.uint64, n, 24), np.frombuffer(raw, np.uint32, n, 24 + 8 * n)
+    at = 24 + 12 * n
+    ids, counts = np.frombuffer(raw, np.int64, n_ids, at), np.frombuffer(raw, "<u4", n_ids, at + 8 * n_ids).astype(np.int64)
+    doc, pos = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    if m:
+        gaps = decode(raw[at + 12 * n_ids :])
+        run = np.cumsum(gaps)
+        begin = np.cumsum(counts) - counts
+        doc[:m] = np.repeat(ids, counts)
+        pos[:m] = run - np.repeat(run[begin] - gaps[begin], counts)
+    return h, c, doc, pos
+
+
 def _candidates(maybe, k: int, n_slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n = [], 0
         for batch in batches:
             ids = batch.column("rk").to_numpy(zero_copy_only=False)
-            for i, row, pos, hashes, _ in _windows(batch.column("text"), k):
+            for i, row, pos, hashes, _, more in _windows(batch.column("text"), k, True):
                 hit = np.flatnonzero(maybe.value(hashes))
                 if len(hit):
-                    found.append((hashes[hit], ids[i + row[hit]], pos[hit].astype(np.int32)))
+                    found.append((hashes[hit], more[hit], ids[i + row[hit]], pos[hit].astype(np.int32)))
                     n += len(hit)
                 if n >= _FLUSH:
                     yield from _key_rows(found, n_slices)
@@ -81,19 +116,9 @@ def _candidates(maybe, k: int, n_slices: int):
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of a slice that occur once in all: document and position."""
-    h, doc, pos = [], [], []
-    for batch in batches:
-        for raw in batch.column("packed"):
-            raw = raw.as_py()
-            n = len(raw) // 20
-            h.append(np.frombuffer(raw, np.uint64, n))
-            doc.append(np.cumsum(np.frombuffer(raw, np.int64, n, 8 * n)))
-            pos.append(np.cumsum(np.frombuffer(raw, "<i4", n, 16 * n), dtype=np.int64))
-    h, doc, pos = np.concatenate(h), np.concatenate(doc), np.concatenate(pos)
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    new = np.concatenate(([True], s[1:] != s[:-1], [True]))
-    lone = order[new[1:] & new[:-1]]
+    h, c, doc, pos = (np.concatenate(x) for x in zip(*(_unpacked(raw.as_py()) for batch in batches for raw in batch.column("packed"))))
+    order, first = _grouped(h, c)
+    lone = order[first[np.diff(first, append=len(h)) == 1]]
     lone = lone[pos[lone] >= 0]
     lone = lone[np.lexsort((pos[lone], doc[lone]))]
     d, p = doc[lone], pos[lone]
@@ -109,7 +134,7 @@ def _removal(maybe, k: int):
             lone = batch.column("lone")
             n = batch.num_rows
             n_words, n_removed, kept = np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n
-            for i, row, pos, hashes, counts in _windows(texts, k):
+            for i, row, pos, hashes, counts, _ in _windows(texts, k):
                 n_words[i : i + len(counts)] = counts
                 hit = maybe.value(hashes)
                 cut = np.searchsorted(row, np.arange(len(counts) + 1))
@@ -145,7 +170,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     size = sketch.text_bytes(rows)
     bits = sketch.bits_for(size / 6.4)
     maybe = spark.sparkContext.broadcast(sketch.repeated(rows.select("text"), _hashes(window), bits))
-    n_slices = max(64, size // 4_000_000)
+    n_slices = max(24, size // 24_000_000)
     keys = rows.mapInArrow(_candidates(maybe, window, n_slices), "slice int, packed binary")
     lone = keys.groupBy("slice").applyInArrow(_once, "rk bigint, lone array<int>").groupBy("rk").agg(F.collect_list("lone").alias("lone"))
     kind = docs.schema["doc_id"].dataType.simpleString()
