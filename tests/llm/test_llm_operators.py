@@ -5,6 +5,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,7 +71,8 @@ def test_sketch_never_underestimates():
     keys = rng.integers(0, 2**63, 5000, dtype=np.uint64)
     twice = np.concatenate((keys, keys[:1000]))
     bits, raw = 20, bytearray(2 << 17)
-    for part in sketch._partial(twice, bits):
+    batch = pa.RecordBatch.from_arrays([pa.array(twice)], names=["k"])
+    for part in sketch.partials(iter([batch]), lambda b: iter([b.column(0).to_numpy()]), bits):
         for s, level, cells in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
             if level == 1:
                 flat = np.zeros(1 << 20, bool)
