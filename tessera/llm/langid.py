@@ -30,7 +30,8 @@ MOST_N = 5
 PENALTY = -7.0
 #: Unseen words that each Python worker remembers.
 REMEMBERED = 300_000
-_PARTS = 64
+#: Ranges of the hash of an id, as a power of two.
+_RANGE_BITS = 12
 
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -103,11 +104,13 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Model:
     """From doc_id, text and lang of rows with neither null."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    # in two steps, so that a language of most rows is ranked in parts first and at most _PARTS * sample rows meet
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(_PARTS))
-    few = rows.select("doc_id", "lang", part.alias("part")).withColumn("_at", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("_at") <= sample)
-    chosen = few.withColumn("_at", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("_at") <= sample)
+    # counts by range of the hash tell where a language's sample ends, so only rows up to there are ranked
+    at = F.xxhash64("doc_id")
+    ranges = rows.groupBy("lang", F.shiftright(at, 64 - _RANGE_BITS).alias("range")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("range")) - F.col("n")
+    last = ranges.withColumn("before", before).where(F.col("before") < sample).groupBy("lang").agg(F.max("range").alias("last"))
+    few = rows.select("doc_id", "lang", at.alias("at")).join(F.broadcast(last), "lang").where(F.shiftright("at", 64 - _RANGE_BITS) <= F.col("last"))
+    chosen = few.withColumn("_at", F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))).where(F.col("_at") <= sample)
     ids = chosen.select("doc_id").distinct()  # at most `sample` a language
     picked = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang")
     counts = picked.mapInArrow(_counted, "lang string, n int, gram string, count bigint").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
