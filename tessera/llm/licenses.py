@@ -1,8 +1,11 @@
 """License scans with built-in functions only: sparse TF-IDF cosine to templates, then inheritance by directory.
 
-Each line of a file that holds a cue word is a header candidate. Its terms (stop words aside) are weighted by
-TF-IDF over the templates, and its cosine to each template is a sum over the terms that both have: one join on
-terms with the templates' table, which is fixed. A file's own licence is its best line's. A directory's licence
+Notices are compared as runs of terms (stop words aside), weighted by TF-IDF over the templates: windows as long
+as the template that start at one of its terms, across line breaks; each line; and the whole of a licence file.
+A run needs LEAST_TERMS of a template's terms ('mit' or 'released under' is no licence), but for lines with a cue.
+A run that comes near a template holds terms with LEAST squared of its squared weight, so texts and runs without
+them are left out before scores are summed, and no hit is lost. Of the templates that come near, the one with the
+most of its terms met (squared score times length) is the file's own licence. A directory's licence
 is that of its licence file. A file without its own takes that of the nearest directory above that has one,
 found by joining each distinct directory's ancestors with the licensed directories by path.
 """
@@ -37,10 +40,16 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights: public domain, CC0 1.0."),
     ("Proprietary", "All rights reserved."),
 )
-#: A line is a candidate if its lower-cased text holds one of these.
+#: The longer notices of licences that differ from another's by a word or a number. The SQL knows TEMPLATES alone.
+LONGER = tuple(
+    (name, f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version {n} of the License")
+    for name, kind, n in (("GPL-2.0", "", 2), ("LGPL-3.0", "Lesser ", 3), ("AGPL-3.0", "Affero ", 3))
+)
+#: A line counts with fewer than LEAST_TERMS of a template's terms if its lower-cased text holds one of these.
 CUES = ("licen", "copyright", "rights reserved", "public domain", "permission is hereby granted", "redistribution", "creative commons", "gnu general")
 STOP = frozenset("a an and any are as at be by for from in into is it its of on or that the this to was with you your work".split())
 LEAST = 0.6
+LEAST_TERMS = 3
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice)(\.[a-z]+)?$"
 _SPLIT = r"[^a-z0-9.-]+"
 _EDGE = r"^[.-]+|[.-]+$"
@@ -51,37 +60,76 @@ def terms_of(text: str) -> list[str]:
     return [t for t in found if t and t not in STOP]
 
 
-def template_weights() -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
+def template_weights(templates=TEMPLATES) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
     """(template, licence, term, share of the unit vector); idf of each term; idf of a term no template has."""
-    counts = [Counter(terms_of(text)) for _, text in TEMPLATES]
+    counts = [Counter(terms_of(text)) for _, text in templates]
     df = Counter(t for c in counts for t in c)
     idf = {t: math.log((1 + len(counts)) / (1 + n)) + 1 for t, n in df.items()}
     rows = []
-    for i, ((name, _), c) in enumerate(zip(TEMPLATES, counts)):
+    for i, ((name, _), c) in enumerate(zip(templates, counts)):
         norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
         rows += [(i, name, t, n * idf[t] / norm) for t, n in sorted(c.items())]
     return rows, idf, math.log(1 + len(counts)) + 1
 
 
+def _telling(rows, least: float) -> list[str]:
+    """Terms of which every run that scores `least` holds one: the rest of each template has too little weight."""
+    found = set()
+    for i in {r[0] for r in rows}:
+        left = 1.0
+        for _, _, term, weight in sorted((r for r in rows if r[0] == i), key=lambda r: -r[3]):
+            if left < least * least - 1e-6:
+                break
+            found.add(term)
+            left -= weight * weight
+    return sorted(found)
+
+
 def own_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
-    """files: path, text. Returns path, licence, score for files with a line that comes near a template."""
+    """files: path, text. Returns path, licence, score for files with a run of terms that comes near a template."""
     spark = files.sparkSession
-    rows, idf, unknown = template_weights()
-    templates = F.broadcast(spark.createDataFrame(rows, "template int, licence string, term string, weight double"))
+    every = TEMPLATES + LONGER
+    rows, idf, unknown = template_weights(every)
+    weights = F.broadcast(spark.createDataFrame([(i, t, w) for i, _, t, w in rows], "template int, term string, weight double"))
     idfs = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
-    cue = lambda c: F.rlike(F.lower(c), F.lit("|".join(CUES)))
-    lines = files.where(cue(F.col("text"))).select("path", F.explode(F.filter(F.split("text", "\n"), cue)).alias("line")).distinct()
-    words = F.transform(F.split(F.lower("line"), _SPLIT), lambda t: F.regexp_replace(t, _EDGE, ""))
-    words = F.filter(words, lambda t: (t != "") & ~t.isin(*sorted(STOP)))
-    tf = lines.select("path", F.xxhash64("line").alias("at"), F.explode(words).alias("term")).groupBy("path", "at", "term").agg(F.count(F.lit(1)).alias("tf"))
-    tf = tf.join(idfs, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
-    norms = tf.groupBy("path", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = tf.join(templates, "term").groupBy("path", "at", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, ["path", "at"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= least)
-    best = scored.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
+    table = [(i, name, len(terms_of(text)), {t: w * w for k, _, t, w in rows if k == i}) for i, (name, text) in enumerate(every)]
+    templates = F.broadcast(spark.createDataFrame(table, "template int, licence string, n int, squares map<string,double>").withColumn("own", F.map_keys("squares")))
+
+    def near(terms) -> F.Column:
+        """By Cauchy and Schwarz no run of terms scores more than the root of this share."""
+        return F.aggregate(F.array_intersect(F.col("own"), terms), F.lit(0.0), lambda a, t: a + F.col("squares")[t]) >= least * least - 1e-6
+
+    def words(line) -> F.Column:
+        found = F.transform(F.split(line, _SPLIT), lambda t: F.regexp_replace(t, _EDGE, ""))
+        return F.filter(found, lambda t: (t != "") & ~t.isin(*sorted(STOP)))
+
+    telling = "|".join(map(re.escape, _telling(rows, least)))
+    texts = files.select("path", F.lower("text").alias("low")).where(F.rlike("low", F.lit(f"(?<![a-z0-9])(?:{telling})(?![a-z0-9])")))
+    cued = F.filter(F.split("low", "\n"), lambda c: F.rlike(c, F.lit("|".join(CUES))))
+    texts = texts.select("path", F.transform(F.split("low", "\n"), words).alias("lines"), F.transform(cued, words).alias("cued"))
+    texts = texts.withColumn("terms", F.flatten("lines"))
+    texts = texts.withColumn("held", F.array_intersect(F.array(*[F.lit(t) for t in sorted(idf)]), F.col("terms")))
+    both = texts.join(templates, near(F.col("held")))
+    start = lambda i: F.greatest(F.lit(1), F.least(i + 1, F.size("terms") - F.col("n") + 1))
+    windows = F.filter(F.transform("terms", lambda t, i: F.when(F.array_contains("own", t), F.slice("terms", start(i), F.col("n")))), lambda w: w.isNotNull())
+    whole = F.when(F.rlike(_name(F.col("path")), F.lit(LICENSE_FILE)), F.array("terms")).otherwise(F.array().cast("array<array<string>>"))
+    enough = lambda run: near(run) & (F.size(F.array_intersect(F.col("own"), run)) >= LEAST_TERMS)
+    runs = F.concat(F.filter("cued", near), F.filter(F.concat("lines", windows, whole), enough))
+    runs = both.select("path", "template", "licence", "n", F.explode(runs).alias("run"))
+    runs = runs.withColumn("at", F.xxhash64("run")).dropDuplicates(["path", "template", "at"])
+    tf = runs.select("path", "template", "licence", "n", "at", F.explode("run").alias("term")).groupBy("path", "template", "licence", "n", "at", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = tf.join(idfs, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown))).join(weights, ["template", "term"], "left")
+    scored = tf.groupBy("path", "template", "licence", "n", "at").agg((F.sum(F.col("w") * F.coalesce("weight", F.lit(0.0))) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("score"))
+    scored = scored.withColumn("score", F.round("score", 6)).where(F.col("score") >= least)
+    met = F.round(F.col("score") * F.col("score") * F.col("n"), 6)
+    best = scored.groupBy("path").agg(F.min(F.struct((-met).alias("m"), (-F.col("score")).alias("s"), "licence")).alias("b"))
     return best.select("path", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
 
 
+def _name(path) -> F.Column:
+    return F.regexp_extract(path, r"[^/]*$", 0)
+
+
 def _directory(path) -> F.Column:
     return F.regexp_replace(F.regexp_replace(path, r"[^/]*$", ""), r"/$", "")
 
@@ -89,14 +137,13 @@ def _directory(path) -> F.Column:
 def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     """files: path, text. Returns path, licence, score, basis ('own', 'inherited' or null) and source (a directory).
 
-    Null or empty texts have no licence of their own. Rows that share a path are one file: its best line counts.
-    Of equally near templates the first licence by name is taken, of several licence files of a directory the
+    Null or empty texts have no licence of their own. Rows that share a path are one file: its best run of terms
+    counts. Of equally near templates the first licence by name is taken, of several licence files of a directory the
     nearest to a template. A null path gets no licence.
     """
     own = own_licences(files.where("path IS NOT NULL"), least)
-    name = F.regexp_extract("path", r"[^/]*$", 0)
     ranked = F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")
-    licensed = own.where(F.rlike(name, F.lit(LICENSE_FILE))).groupBy(_directory(F.col("path")).alias("above")).agg(ranked).select("above", F.col("b.licence").alias("up_licence"), (-F.col("b.s")).alias("up_score"))
+    licensed = own.where(F.rlike(_name(F.col("path")), F.lit(LICENSE_FILE))).groupBy(_directory(F.col("path")).alias("above")).agg(ranked).select("above", F.col("b.licence").alias("up_licence"), (-F.col("b.s")).alias("up_score"))
     # inheritance is resolved once a directory, however many files it holds
     folders = files.where("path IS NOT NULL").select(_directory(F.col("path")).alias("folder")).distinct()
     parts = F.split("folder", "/")

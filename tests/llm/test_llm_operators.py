@@ -234,6 +234,19 @@ def test_license_inheritance(spark):
     assert got["d/e.txt"] == ("CC-BY-NC-4.0", "inherited", "") and got["top.txt"][0] == "CC-BY-NC-4.0" and got[None] == (None, None, None)
 
 
+def test_license_notices_wrapped_and_embedded(spark):
+    gpl = "#  This program is free software; you can redistribute it and/or modify\n#  it under the terms of the GNU {}General Public License as published by\n#  the Free Software Foundation; either version {} of the License, or\n#  (at your option) any later version.\n"
+    rows = [
+        ("mpl", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */", "MPL-2.0"),
+        ("bsd", "// Copyright 2009 The Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n", "BSD-3-Clause"),
+        ("long", f"{'alpha beta ' * 10}Licensed under the Apache License, Version 2.0. {'gamma delta ' * 10}", "Apache-2.0"),
+        ("gpl2", gpl.format("", 2), "GPL-2.0"), ("gpl3", gpl.format("", 3), "GPL-3.0"), ("lgpl3", gpl.format("Lesser ", 3), "LGPL-3.0"), ("agpl3", gpl.format("Affero ", 3), "AGPL-3.0"),
+        ("short", "Licensed under the GNU\nGeneral Public License,\nversion 2.", "GPL-2.0"), ("d/COPYING", "Released\nunder the\nMIT License", "MIT"), ("none", "the right to reserve all of it, under the code of use", None),
+    ]
+    got = {r.path: r.licence for r in licenses.own_licences(spark.createDataFrame([r[:2] for r in rows], "path string, text string")).collect()}
+    assert {p: got.get(p) for p, _, _ in rows} == {p: want for p, _, want in rows}
+
+
 def test_empty_tables(spark):
     docs, items, labels = spark.createDataFrame([], EMPTY), spark.createDataFrame([], "item_id bigint, text string"), spark.createDataFrame([], "doc_id bigint, toxic int")
     assert substring_dedup.remove_repeats(docs).count() == 0
