@@ -55,6 +55,8 @@ _MATH = """ROUND(sqrt(l_extendedprice), 8) AS sq, ROUND(cbrt(l_quantity), 8) AS
     ROUND(sin(l_quantity), 8) AS sn, ROUND(atan2(l_quantity, 3), 8) AS at2, ROUND(degrees(l_discount), 8) AS deg, ROUND(radians(l_quantity), 8) AS rad, ROUND(power(l_quantity, 2), 4) AS pw, abs(l_discount - 1) AS ab, sign(l_discount - 0.05) AS sg,
     CAST(ceil(l_extendedprice) AS BIGINT) AS ce, CAST(floor(l_extendedprice) AS BIGINT) AS fl, greatest(l_discount, l_tax) AS gr, least(l_discount, l_tax) AS le, l_orderkey % 7 AS md, factorial(5) AS fa, round(2.5) AS r"""
 sql("math_functions", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_MATH.replace('factorial(5)', 'CAST(factorial(5) AS BIGINT)').replace('round(2.5)', 'CAST(round(2.5) AS DOUBLE)')} FROM lineitem WHERE l_orderkey < 400", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_MATH.replace('factorial(5)', 'factorial(5)::BIGINT').replace('sign(l_discount - 0.05)', 'sign(l_discount - 0.05)::DOUBLE').replace('round(2.5)', 'round(2.5)::DOUBLE')} FROM lineitem WHERE l_orderkey < 400")
+#: The same over all rows; the entry above keeps its SQL.
+sql("math_functions_all_rows", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_MATH.replace('factorial(5)', 'CAST(factorial(5) AS BIGINT)').replace('round(2.5)', 'CAST(round(2.5) AS DOUBLE)')} FROM lineitem", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_MATH.replace('factorial(5)', 'factorial(5)::BIGINT').replace('sign(l_discount - 0.05)', 'sign(l_discount - 0.05)::DOUBLE').replace('round(2.5)', 'round(2.5)::DOUBLE')} FROM lineitem")
 sql(
     "math_functions_more",
     "SELECT s_suppkey, CAST(pmod(-s_suppkey, 7) AS BIGINT) AS pm, CAST(bround(s_suppkey + 0.5) AS BIGINT) AS br, CAST(rint(s_acctbal) AS BIGINT) AS ri, ROUND(hypot(s_suppkey, 4), 8) AS hy, ROUND(log1p(s_suppkey), 8) AS l1, ROUND(expm1(0.01 * s_suppkey), 8) AS e1, CAST(width_bucket(s_acctbal, 0, 10000, 5) AS BIGINT) AS wb, try_divide(s_suppkey, 0) AS td, conv(CAST(s_suppkey AS STRING), 10, 16) AS hx, CAST(s_suppkey DIV 3 AS BIGINT) AS dv FROM supplier",
@@ -96,6 +98,12 @@ def array_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings").where("vec_id < 20").select("vec_id", F.posexplode("embedding").alias("i", "v")).select("vec_id", F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("v"))
 
 
+@query("SELECT vec_id, (i - 1)::BIGINT AS i, embedding[i]::DOUBLE AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
+def array_explode_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector; array_explode keeps its SQL over the first 20."""
+    return load(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v")).select("vec_id", F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("v"))
+
+
 sql(
     "array_functions_more",
     "SELECT r_regionkey, array_union(array(1, r_regionkey), array(2)) AS u, array_except(array(1, 2, 3), array(r_regionkey)) AS e, array_intersect(array(1, 2, 3), array(r_regionkey, 3)) AS x, sequence(1, r_regionkey + 1) AS s, array_sort(array(3, r_regionkey, 1)) AS so, array_join(transform(sequence(1, 3), v -> CAST(v * r_regionkey AS STRING)), ',') AS tr, forall(array(1, 2), v -> v > r_regionkey) AS fa, exists(array(1, 2), v -> v = r_regionkey) AS ex, array_join(zip_with(array(1, 2), array(3, 4), (a, b) -> CAST(a * b AS STRING)), ',') AS zw, array_append(array(1), r_regionkey) AS ap FROM region",

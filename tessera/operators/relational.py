@@ -129,6 +129,14 @@ def theta_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join(events, spans, "value", "lo", "hi", 4.0).select("event_id", "p_partkey")
 
 
+@query("SELECT event_id, part.p_partkey FROM events JOIN part ON value >= p_size AND value < p_size + 2")
+def theta_range_join_all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part; theta_range_join keeps its SQL over the first 99."""
+    events = load(spark, sf_dir, "events").select("event_id", "value")
+    spans = load(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("lo"), (F.col("p_size") + 2).cast("double").alias("hi"))
+    return range_join(events, spans, "value", "lo", "hi", 4.0).select("event_id", "p_partkey")
+
+
 def asof_join(left: DataFrame, right: DataFrame, on: str, by: str, values: list[str]) -> DataFrame:
     """For each left row the values of the last right row of its key at or before it: one union, one window, no pairs.
 
