@@ -34,6 +34,12 @@ sql(
     r"""SELECT doc_id, regexp_extract(text, '([A-Za-z]+)', 1) AS first_word, len(regexp_extract_all(text, '[0-9]+'))::BIGINT AS n_numbers, len(regexp_extract_all(text, '[A-Z][a-z]+'))::BIGINT AS n_caps,
     regexp_replace(substring(text, 1, 60), '[aeiou]', '_', 'g') AS masked, regexp_matches(text, 'the [a-z]+ing') AS has_ing, nullif(regexp_extract(text, '[0-9]+'), '') AS number FROM documents""",
 )
+#: The whole text masked; the entry above keeps its SQL over the first 60 characters.
+sql(
+    "regex_functions_whole_text",
+    "SELECT doc_id, regexp_replace(text, '[aeiou]', '_') AS masked FROM documents",
+    "SELECT doc_id, regexp_replace(text, '[aeiou]', '_', 'g') AS masked FROM documents",
+)
 sql(
     "date_functions",
     """SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(quarter(o_orderdate) AS BIGINT) AS q, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(day(o_orderdate) AS BIGINT) AS d, CAST(dayofweek(o_orderdate) AS BIGINT) AS dow, CAST(dayofyear(o_orderdate) AS BIGINT) AS doy,

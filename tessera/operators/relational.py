@@ -208,6 +208,12 @@ def approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 sql("percentiles", "SELECT event_type, ROUND(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 6) AS p50, ROUND(percentile_cont(0.9) WITHIN GROUP (ORDER BY value), 6) AS p90, ROUND(MEDIAN(value), 6) AS med FROM events GROUP BY event_type")
 sql("mode_of", "SELECT c_nationkey, mode(seg) AS seg FROM (SELECT c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN 'a' ELSE 'b' END AS seg FROM customer) t GROUP BY c_nationkey HAVING COUNT(*) % 2 = 1")
+#: Every group, ties to the first segment by name; the entry above keeps its SQL over groups of odd size.
+sql(
+    "mode_of_all_groups",
+    "SELECT c_nationkey, mode() WITHIN GROUP (ORDER BY seg) AS seg FROM (SELECT c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN 'a' WHEN c_custkey % 3 = 1 THEN 'b' ELSE 'c' END AS seg FROM customer) t GROUP BY c_nationkey",
+    "SELECT c_nationkey, seg FROM (SELECT c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN 'a' WHEN c_custkey % 3 = 1 THEN 'b' ELSE 'c' END AS seg FROM customer) GROUP BY c_nationkey, seg QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, seg) = 1",
+)
 sql(
     "ordered_string_agg",
     "SELECT n_regionkey, listagg(n_name, '|') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey",
@@ -249,6 +255,9 @@ sql("top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice
 sql("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 100")
 sql("sort_nulls", "SELECT c_custkey, nullif(c_nationkey, 3) AS nk FROM customer ORDER BY nk ASC NULLS LAST, c_custkey LIMIT 40 OFFSET 1400")
 
+#: The whole sort; the entry above keeps its SQL with LIMIT and OFFSET.
+sql("sort_nulls_all_rows", "SELECT c_custkey, nullif(c_nationkey, 3) AS nk FROM customer ORDER BY nk ASC NULLS LAST, c_custkey")
+
 
 @query("SELECT 10::BIGINT AS n")
 def limit_unsorted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,3 +54,18 @@ def test_whole_tables_are_covered(spark):
     pairs = table("events").join(table("part"), (F.col("value") >= F.col("p_size")) & (F.col("value") < F.col("p_size") + 2)).select("event_id", "p_partkey")
     got = run("theta_range_join_all_parts")
     assert got.count() == pairs.count() and got.exceptAll(pairs).count() == 0 and got.where("p_partkey >= 100").count() > 0
+
+
+def test_whole_texts_sorts_and_groups(spark):
+    from compare import SF, connect
+
+    from tessera.plans import catalog
+
+    run = lambda name: catalog.QUERIES[name](spark, SF).collect()
+    assert max(len(r.masked or "") for r in run("regex_functions_whole_text")) > 60
+    got = [tuple(r) for r in run("sort_nulls_all_rows")]
+    assert got == connect().execute(catalog.ORACLES["sort_nulls_all_rows"]).fetchall()
+    nulls = [nk is None for _, nk in got]
+    assert any(nulls) and nulls == sorted(nulls)
+    groups = connect().execute("SELECT count(DISTINCT c_nationkey) FROM customer").fetchone()[0]
+    assert len(run("mode_of_all_groups")) == groups > len(run("mode_of"))
