@@ -7,7 +7,7 @@ rounded-down counts. A merged count overestimates the keys of a cell up to that
 two keys met, so "both cells have 2 or more" holds for every key that occurs twice.
 
 What goes to the driver and is broadcast is one bit a cell (2 or more), at most 2**MOST_BITS cells a row: 64 MB
-for both rows, whatever the input. Beyond that size the sketch fills and excludes fewer keys; results stay whole.
+for both rows, whatever the input; where hot cells are asked for, a second bit a cell, 128 MB in all. Beyond that size the sketch fills and excludes fewer keys; results stay whole.
 """
 
 from __future__ import annotations
@@ -111,8 +111,8 @@ def _merge(hot: int):
                     counts[at] += add
                 else:
                     counts[at] = np.minimum(counts[at] + np.uint16(min(add, 2)), 2)
-        hots = np.flatnonzero(counts >= hot).astype("<u4") if hot else np.zeros(0, "<u4")
-        yield pa.RecordBatch.from_arrays([pa.array([at_slice], pa.int32()), pa.array([np.packbits(counts >= 2).tobytes()], pa.binary()), pa.array([hots.tobytes()], pa.binary())], names=["slice", "bits", "hots"])
+        hots = np.packbits(counts >= hot).tobytes() if hot else b""
+        yield pa.RecordBatch.from_arrays([pa.array([at_slice], pa.int32()), pa.array([np.packbits(counts >= 2).tobytes()], pa.binary()), pa.array([hots], pa.binary())], names=["slice", "bits", "hots"])
 
     return run
 
@@ -120,27 +120,25 @@ def _merge(hot: int):
 class Repeated:
     """The merged sketch as tasks hold it: which cells have 2 or more, and (if asked for) which are hot."""
 
-    def __init__(self, bits: int, raw: bytearray, hots: tuple[np.ndarray, ...]):
+    def __init__(self, bits: int, raw: bytearray, hots: bytearray):
         self.bits, self.raw, self.hots = bits, raw, hots
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """Whether the sketch's estimate for a key is 2 or more."""
-        flat, out = np.frombuffer(self.raw, np.uint8), None
+    def _all(self, cell_bits: bytearray, keys: np.ndarray) -> np.ndarray:
+        """Whether both cells of a key have their bit."""
+        flat, out = np.frombuffer(cell_bits, np.uint8), None
         for row in range(ROWS):
             at = cells(keys, row, self.bits).astype(np.int64)
             bit = (flat[(row << (self.bits - 3)) + (at >> 3)] >> (7 - (at & 7)).astype(np.uint8)) & 1
             out = bit.astype(bool) if out is None else out & bit.astype(bool)
         return out
 
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Whether the sketch's estimate for a key is 2 or more."""
+        return self._all(self.raw, keys)
+
     def hot(self, keys: np.ndarray) -> np.ndarray:
         """Whether the estimate reaches the hot count."""
-        out = np.ones(len(keys), bool)
-        for row in range(ROWS):
-            at = cells(keys, row, self.bits).astype(np.int64)
-            have = self.hots[row]
-            i = np.searchsorted(have, at)
-            out &= (i < len(have)) & (have[np.minimum(i, len(have) - 1)] == at) if len(have) else False
-        return out
+        return self._all(self.hots, keys) if len(self.hots) else np.zeros(len(keys), bool)
 
 
 def repeated(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, hot: int = 0) -> Repeated:
@@ -149,13 +147,14 @@ def repeated(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.nd
     merged = parts.groupBy("slice").applyInArrow(_merge(hot), "slice int, bits binary, hots binary")
     width = 1 << (SLICE - 3)
     raw = bytearray(width * (ROWS << (bits - SLICE)))
-    hots: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
-    # one bit a cell, bounded by MOST_BITS, and partition by partition: never twice in the driver
+    hots = bytearray(len(raw) if hot else 0)
+    # one or two bits a cell, bounded by MOST_BITS, and partition by partition: never twice in the driver
     for r in saved(merged).toLocalIterator():
-        raw[r["slice"] * width : (r["slice"] + 1) * width] = r["bits"]
-        row, base = r["slice"] >> (bits - SLICE), (r["slice"] & ((1 << (bits - SLICE)) - 1)) << SLICE
-        hots[row].append(np.frombuffer(r["hots"], "<u4").astype(np.int64) + base)
-    return Repeated(bits, raw, tuple(np.sort(np.concatenate(h)) if h else np.zeros(0, np.int64) for h in hots))
+        at = slice(r["slice"] * width, (r["slice"] + 1) * width)
+        raw[at] = r["bits"]
+        if hot:
+            hots[at] = r["hots"]
+    return Repeated(bits, raw, hots)
 
 
 def text_bytes(docs: DataFrame) -> int:

@@ -84,6 +84,18 @@ def test_sketch_never_underestimates():
     assert (sketch.decode(sketch.encode(numbers)) == numbers).all()
 
 
+def test_hot_cells_take_a_bit_each_however_many(spark):
+    def keys_of(batch):
+        for i in batch.column(0).to_pylist():
+            yield np.arange(100_000, dtype=np.uint64)
+            yield np.arange(10**6 + 1000 * i, 10**6 + 1000 * (i + 1), dtype=np.uint64)
+
+    seen = sketch.repeated(spark.range(0, 40, 1, 4), keys_of, 20, 32)
+    assert sum(memoryview(h).nbytes for h in ([seen.hots] if isinstance(seen.hots, bytearray) else seen.hots)) <= 2 * 2**20 // 8
+    assert seen.hot(np.arange(100_000, dtype=np.uint64)).all() and seen.hot(np.arange(10**6, 10**6 + 40_000, dtype=np.uint64)).mean() < 0.05
+    assert not sketch.repeated(spark.range(1), keys_of, 20).hot(np.arange(10, dtype=np.uint64)).any()
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
