@@ -69,3 +69,13 @@ def test_whole_texts_sorts_and_groups(spark):
     assert any(nulls) and nulls == sorted(nulls)
     groups = connect().execute("SELECT count(DISTINCT c_nationkey) FROM customer").fetchone()[0]
     assert len(run("mode_of_all_groups")) == groups > len(run("mode_of"))
+
+
+def test_streams_that_grow_end_in_files(spark):
+    from compare import SF
+
+    from tessera.plans import catalog
+
+    for name in ("stream_static_join", "stream_stream_join", "dedup_within_watermark", "stateful_pandas"):
+        found = catalog.QUERIES[name](spark, SF)
+        assert found.inputFiles() and found.count() > 0, name
