@@ -36,11 +36,20 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]+", 0, 16),
 )
+_EOL = r"(?:\r?\n|\\r\\n|\\n|\r)"
+_LEAD = r"(?:[\x20\t>#*/|\"'+,]|-(?!-)){0,16}"
+_TAIL = r"[\x20\t\"',;+\\]{0,8}"
+_HEADER = rf"{_TAIL}{_EOL}{_LEAD}(?:[A-Za-z0-9-]{{1,40}}:\x20[^\r\n\\]{{0,200}}(?={_EOL}))?(?!-----)"
+_BODY = rf"{_TAIL}{_EOL}?{_LEAD}(?:[A-Za-z0-9+/]{{16,}}+={{0,2}}|[A-Za-z0-9+/]{{1,15}}+={{0,2}}(?={_TAIL}(?:{_EOL}|-----END|$)))"
+_END = rf"(?:{_TAIL}{_EOL})*+{_TAIL}{_LEAD}-----END [A-Z ]{{0,20}}PRIVATE KEY-----"
+#: From BEGIN through headers and the base64 body to the END line, or to the last base64 line where END is missing.
+#: Lines can be indented, quoted or ended by an escaped \n, as in JSON.
+PEM_KEY = rf"-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY-----(?:(?:{_HEADER})*(?:{_BODY})++(?:{_END})?|{_END})?"
 ADDED = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private_key", PEM_KEY),
 )
 
 
