@@ -5,18 +5,21 @@ M the largest norm, and a query gets 0 there: |q - x|^2 = |q|^2 + M^2 - 2 q.x. G
 to DIMS dimensions keep distances up to a chi-square factor: projected^2 / true^2 has DIMS degrees of freedom.
 
 The upper levels of the kd-tree are fitted on a bounded sample of projected vectors, and every vector is put
-into its cell. A query first searches its own cell, leaf by leaf in order of projected distance, verifying each
-leaf's vectors by true inner products. It stops once the next leaf's projected distance passes the test: were
-there a nearer vector than the worst kept one beyond it, its projection would be that far with probability
-below 1 - CONFIDENCE. The same test picks the other cells that the query must still visit, with the bound that
-it has by then; there it goes on in the same way.
-
-Equal vectors are one class, with its smallest ids: a class has at most K + 1 that can matter.
+into its cell. Cells that turn out too large are split on by trees of their own, each fitted in a task on a bounded
+sample of the cell, so cells stay near CELL vectors however many there are. A query first searches its own cell, leaf
+by leaf in order of projected distance, verifying each leaf's vectors by true inner products. It stops once the next
+leaf's projected distance passes the test: were there a nearer vector than the worst kept one beyond it, its
+projection would be that far with probability below 1 - CONFIDENCE. The same test picks the other cells that the
+query must still visit, with the bound that it has by then; there it goes on in the same way.
+
+Equal vectors are one class, with its smallest ids: a class has at most K + 1 that can matter. Classes are ranked by
+score and then by their smallest id before any is cut, so that ties go to the smaller ids.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,15 @@ from .common import saved
 K = 20
 DIMS = 8
 CONFIDENCE = 0.97
-#: Most vectors that the tree is fitted on.
+#: Most vectors that the upper tree is fitted on.
 SAMPLE = 20_000
 CELL, LEAF = 4096, 256
+#: Vectors that a tree is fitted on for each of its cells.
+PER_CELL = 16
 #: Most queries that are searched in one cell at once.
 QUERY_BLOCK = 4096
-_SLACK = 9
+#: Room for rounding between a matrix product and the exact sum, as a share of the two norms' product.
+_ROUNDING = 1e-12
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -77,11 +83,13 @@ def _projected(x: np.ndarray, norm: float | None, proj: np.ndarray) -> np.ndarra
 class Tree:
     """Median splits of the widest dimension; leaf i of the tree is cell i, a box of the projected space."""
 
-    def __init__(self, points: np.ndarray, depth: int):
+    def __init__(self, points: np.ndarray, depth: int, lo: np.ndarray | None = None, hi: np.ndarray | None = None):
         dims = points.shape[1]
         self.depth = depth
         self.dim, self.cut = np.zeros(2**depth, np.int64), np.zeros(2**depth)
-        lo, hi = np.full((2 ** (depth + 1), dims), -np.inf), np.full((2 ** (depth + 1), dims), np.inf)
+        self.lo, self.hi = np.full((2 ** (depth + 1), dims), -np.inf), np.full((2 ** (depth + 1), dims), np.inf)
+        if lo is not None:
+            self.lo[1], self.hi[1] = lo, hi
         held = {1: points}
         for node in range(1, 2**depth):
             mine = held.pop(node)
@@ -89,10 +97,13 @@ class Tree:
             cut = float(np.median(mine[:, d])) if len(mine) else 0.0
             self.dim[node], self.cut[node] = d, cut
             for child, keep in ((2 * node, mine[:, d] < cut), (2 * node + 1, mine[:, d] >= cut)):
-                lo[child], hi[child], held[child] = lo[node], hi[node], mine[keep]
-            hi[2 * node, d] = cut
-            lo[2 * node + 1, d] = cut
-        self.lo, self.hi = lo[2**depth :], hi[2**depth :]
+                self.lo[child], self.hi[child], held[child] = self.lo[node], self.hi[node], mine[keep]
+            self.hi[2 * node, d] = cut
+            self.lo[2 * node + 1, d] = cut
+
+    @property
+    def cells(self) -> int:
+        return 2**self.depth
 
     def cell(self, points: np.ndarray) -> np.ndarray:
         node = np.ones(len(points), np.int64)
@@ -102,15 +113,65 @@ class Tree:
 
     def gaps(self, points: np.ndarray) -> np.ndarray:
         """Squared distance from each point to each cell's box."""
-        out = np.zeros((len(points), len(self.lo)))
+        out = np.zeros((len(points), self.cells))
         for d in range(points.shape[1]):
             p = points[:, d, None]
-            out += np.maximum(0.0, np.maximum(self.lo[:, d] - p, p - self.hi[:, d])) ** 2
+            out += np.maximum(0.0, np.maximum(self.lo[self.cells :, d] - p, p - self.hi[self.cells :, d])) ** 2
         return out
 
+    def near(self, points: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which points reach which cells' boxes (squared distance at most `reach`): down the tree, far branches left out."""
+        who, node = np.arange(len(points)), np.ones(len(points), np.int64)
+        for level in range(self.depth + 1):
+            gap = (np.maximum(0.0, np.maximum(self.lo[node] - points[who], points[who] - self.hi[node])) ** 2).sum(axis=1)
+            keep = gap <= reach[who]
+            who, node = who[keep], node[keep]
+            if level < self.depth:
+                who, node = np.repeat(who, 2), np.repeat(2 * node, 2) + np.tile([0, 1], len(node))
+        return who, node - self.cells
+
 
-def _search(q: np.ndarray, qp: np.ndarray, bound: np.ndarray, x: np.ndarray, xp: np.ndarray, norm: float, tau: float, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best inner products (-inf where none) and rows of x for each query; bound: one it has from elsewhere."""
+class Index:
+    """The upper tree, and trees of their own for its large cells; cells are numbered one tree after the other."""
+
+    def __init__(self, upper: Tree, lower: dict[int, Tree]):
+        self.upper, self.lower = upper, lower
+        self.first, at = {}, upper.cells
+        for c in sorted(lower):
+            self.first[c] = at
+            at += lower[c].cells
+
+    def cell(self, points: np.ndarray) -> np.ndarray:
+        cell = self.upper.cell(points)
+        for c in np.unique(cell):
+            if c in self.lower:
+                mine = np.flatnonzero(cell == c)
+                cell[mine] = self.first[c] + self.lower[c].cell(points[mine])
+        return cell
+
+    def near(self, points: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        who, cell = self.upper.near(points, reach)
+        out = [(who, cell)]
+        for c in np.unique(cell):
+            if c in self.lower:
+                mine = who[cell == c]
+                i, inner = self.lower[c].near(points[mine], reach[mine])
+                out.append((mine[i], self.first[c] + inner))
+        who, cell = (np.concatenate(x) for x in zip(*out))
+        keep = ~np.isin(cell, list(self.lower))
+        return who[keep], cell[keep]
+
+
+def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of rows with rows, each summed from the first component to the last."""
+    out = np.zeros(len(q))
+    for d in range(q.shape[1]):
+        out += q[:, d] * x[:, d]
+    return out
+
+
+def _search(q: np.ndarray, qp: np.ndarray, bound: np.ndarray, x: np.ndarray, xp: np.ndarray, ids: np.ndarray, norm: float, tau: float, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best inner products (-inf where none) and rows of x for each query, ties by ids; bound: one it has from elsewhere."""
     best, at = np.full((len(q), keep), -np.inf), np.full((len(q), keep), -1, np.int64)
     if not len(x) or not len(q):
         return best, at
@@ -121,7 +182,8 @@ def _search(q: np.ndarray, qp: np.ndarray, bound: np.ndarray, x: np.ndarray, xp:
     cuts = np.searchsorted(leaf[rows], np.arange(2**depth + 1))
     gaps = tree.gaps(qp)
     order = np.argsort(gaps, axis=1)
-    q2 = (q**2).sum(axis=1) + norm**2
+    square = (q**2).sum(axis=1)
+    q2, room = square + norm**2, np.sqrt(square) * norm * _ROUNDING * q.shape[1]
     live = np.arange(len(q))
     for rank in range(2**depth):
         leaves = order[live, rank]
@@ -137,12 +199,22 @@ def _search(q: np.ndarray, qp: np.ndarray, bound: np.ndarray, x: np.ndarray, xp:
             who, mine = live[by[i:j]], rows[cuts[leaves[by[i]]] : cuts[leaves[by[i]] + 1]]
             if not len(mine):
                 continue
-            scores = np.concatenate((best[who], q[who] @ x[mine].T), axis=1)
-            index = np.concatenate((at[who], np.broadcast_to(mine, (len(who), len(mine)))), axis=1)
-            top = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
-            scores, index = np.take_along_axis(scores, top, 1), np.take_along_axis(index, top, 1)
-            rank_of = np.argsort(-scores, axis=1, kind="stable")
-            best[who], at[who] = np.take_along_axis(scores, rank_of, 1), np.take_along_axis(index, rank_of, 1)
+            about = q[who] @ x[mine].T
+            least = np.maximum(best[who, -1], bound[who])
+            if len(mine) > keep:
+                least = np.maximum(least, -np.partition(-about, keep - 1, axis=1)[:, keep - 1])
+            # all that may be among the best, ties of the last included, are summed exactly and ranked by score, then id
+            a, b = np.nonzero(about >= (least - room[who])[:, None])
+            if not len(a):
+                continue
+            score, row = _exact(q[who[a]], x[mine[b]]), mine[b]
+            had, slot = np.nonzero(at[who] >= 0)
+            a, score, row = np.concatenate((had, a)), np.concatenate((best[who[had], slot], score)), np.concatenate((at[who[had], slot], row))
+            by_rank = np.lexsort((ids[row], -score, a))
+            a, score, row = a[by_rank], score[by_rank], row[by_rank]
+            place = np.arange(len(a)) - np.searchsorted(a, a, "left")
+            top = place < keep
+            best[who[a[top]], place[top]], at[who[a[top]], place[top]] = score[top], row[top]
     return best, at
 
 
@@ -154,32 +226,52 @@ def _in_cell(width: int, norm: float, dims: int, tau: float, k: int):
 
     def run(queries: pa.Table, points: pa.Table) -> pa.Table:
         q, x = _matrix(queries.column("query"), width), _matrix(points.column("embedding"), width)
-        ids = queries.column("query_id").to_numpy()
+        own = queries.column("query_id").to_numpy()
         home = queries.column("home").to_numpy(zero_copy_only=False).astype(bool)
         bound = queries.column("bound").to_numpy(zero_copy_only=False)
         members = points.column("ids").to_pylist()
-        best, at = _search(q, _projected(q, None, proj), bound, x, _projected(x, norm, proj), norm, tau, k + _SLACK)
+        ids = np.array([m[0] for m in members], np.int64)
+        # of classes in order of score and smallest id, the first k + 1 hold the k nearest, the query itself aside
+        best, at = _search(q, _projected(q, None, proj), bound, x, _projected(x, norm, proj), ids, norm, tau, k + 1)
         out: tuple[list, ...] = ([], [], [], [], [])
         for i in range(len(q)):
-            rows = at[i][at[i] >= 0]
-            # what is returned is summed from the first component to the last
-            exact = np.cumsum(q[i] * x[rows], axis=1)[:, -1] if len(rows) else np.zeros(0)
-            pairs = sorted(((-s, v) for s, r in zip(exact.tolist(), rows) for v in members[r] if v != ids[i]))[:k]
+            pairs = sorted(((-s, v) for s, r in zip(best[i].tolist(), at[i]) if r >= 0 for v in members[r] if v != own[i]))[:k]
             worst = -pairs[-1][0] if len(pairs) >= k else -math.inf
             for s, v in pairs or [(math.nan, None)]:
-                for c, value in zip(out, (ids[i], v, -s, home[i], worst)):
+                for c, value in zip(out, (own[i], v, -s, home[i], worst)):
                     c.append(value)
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.bool_()), pa.array(out[4], pa.float64())], names=["query_id", "vec_id", "score", "home", "bound"])
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, dims: int = DIMS, confidence: float = CONFIDENCE, sample: int = SAMPLE) -> DataFrame:
+def _lower_trees(placed: DataFrame, counts: dict[int, int], upper: Tree, width: int, norm: float, proj: np.ndarray, cell_size: int) -> dict[int, Tree]:
+    """A tree for each cell that holds more than twice its size, fitted in a task on PER_CELL vectors a new cell."""
+    depths = {c: round(math.log2(n / cell_size)) for c, n in counts.items() if n > 2 * cell_size}
+    if not depths:
+        return {}
+    spark = placed.sparkSession
+    share = spark.createDataFrame([(c, min(1.0, 1.25 * PER_CELL * 2**d / counts[c])) for c, d in depths.items()], "cell bigint, share double")  # a row a large cell of the upper tree
+    u = F.pmod(F.xxhash64(F.element_at("ids", 1), F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    picked = placed.join(F.broadcast(share), "cell").where(u < F.col("share")).select("cell", "embedding")
+
+    def fitted(points: pa.Table) -> pa.Table:
+        c = points.column("cell")[0].as_py()
+        x = _projected(_matrix(points.column("embedding"), width), norm, proj)
+        tree = Tree(x, depths[c], upper.lo[upper.cells + c], upper.hi[upper.cells + c])
+        return pa.table([pa.array([c], pa.int64()), pa.array([pickle.dumps(tree)], pa.binary())], names=["cell", "tree"])
+
+    return {r["cell"]: pickle.loads(r["tree"]) for r in picked.groupBy("cell").applyInArrow(fitted, "cell bigint, tree binary").collect()}
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, dims: int = DIMS, confidence: float = CONFIDENCE, sample: int = SAMPLE, cell_size: int = CELL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query (all, if fewer), ties to smaller vec_id.
 
     vectors: vec_id, embedding; queries: the same columns, and every row of vectors but those with the query's
     own vec_id is a candidate. Null ids, and vectors that are null, zero or hold null or non-finite components,
-    take no part; nor do vectors of another length than most have. Rows that share a vec_id count once.
+    take no part; nor do vectors of another length than most have. Rows that share a vec_id count once. Other columns
+    are not read. Without usable vectors or queries there are no rows.
+    The index takes some 150 bytes a cell in the driver and in each worker: 40 MB for a thousand million vectors.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -199,52 +291,60 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, dims: int = DIMS
     proj, tau = _projection(width, dims), chi_square_quantile(confidence, dims)
     fitted = classes.select("embedding").orderBy(F.xxhash64(F.element_at("ids", 1)), F.element_at("ids", 1)).limit(sample).toArrow()
     points = _projected(_matrix(fitted.column("embedding"), width), norm, proj)
-    depth = max(0, min(round(math.log2(max(1, n / CELL))), int(math.log2(max(1, len(points) / 16)))))
-    tree = spark.sparkContext.broadcast(Tree(points, depth))
+    depth = max(0, min(round(math.log2(max(1, n / cell_size))), int(math.log2(max(1, len(points) / PER_CELL)))))
+    upper = Tree(points, depth)
+    kind = vectors.schema["embedding"].dataType.simpleString()
 
-    asked = asked.where(F.size("embedding") == width)
-    n_blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
+    def placing(tree):
+        def put(batches):
+            for batch in batches:
+                cell = tree.value.cell(_projected(_matrix(batch.column("embedding"), width), norm, proj))
+                yield pa.RecordBatch.from_arrays([batch.column("embedding"), batch.column("ids"), pa.array(cell)], names=["embedding", "ids", "cell"])
 
-    def put(batches):
-        for batch in batches:
-            cell = tree.value.cell(_projected(_matrix(batch.column("embedding"), width), norm, proj))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
+        return classes.mapInArrow(put, f"embedding {kind}, ids array<bigint>, cell bigint")
 
-    kind = vectors.schema["embedding"].dataType.simpleString()
-    placed = saved(classes.mapInArrow(put, f"embedding {kind}, ids array<bigint>, cell bigint"))
+    placed = saved(placing(spark.sparkContext.broadcast(upper)))
+    counts = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # a row a cell of the upper tree
+    lower = _lower_trees(placed, counts, upper, width, norm, proj, cell_size)
+    index = spark.sparkContext.broadcast(Index(upper, lower))
+    if lower:
+        placed = saved(placing(index))
+
+    asked = asked.where(F.size("embedding") == width)
 
     def home(batches):
         for batch in batches:
             q = _matrix(batch.column("embedding"), width)
-            m = batch.num_rows
-            cell = tree.value.cell(_projected(q, None, proj))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(cell), pa.array([True] * m), pa.array(np.full(m, -np.inf))], names=["query_id", "query", "cell", "home", "bound"])
+            cell = index.value.cell(_projected(q, None, proj))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(cell), pa.array(np.full(len(q), -np.inf))], names=["query_id", "cell", "bound"])
 
     def visits(batches):
         for batch in batches:
             q = _matrix(batch.column("query"), width)
             bound = batch.column("bound").to_numpy(zero_copy_only=False)
-            gaps = tree.value.gaps(_projected(q, None, proj))
+            qp = _projected(q, None, proj)
             far = np.maximum(0.0, (q**2).sum(axis=1) + norm**2 - 2 * bound)
-            own = tree.value.cell(_projected(q, None, proj))
-            go = gaps <= tau * far[:, None]
-            go[np.arange(len(q)), own] = False
-            who, cell = np.nonzero(go)
-            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(who)), batch.column("query").take(pa.array(who)), pa.array(cell), pa.array([False] * len(who)), pa.array(bound[who])], names=["query_id", "query", "cell", "home", "bound"])
-
-    shape = f"query_id bigint, query {kind}, cell bigint, home boolean, bound double"
-    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("block")
-    # a cell's vectors go to each block of queries, so that no group grows with the number of queries
-    dealt = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+            who, cell = index.value.near(qp, tau * far)
+            new = cell != index.value.cell(qp)[who]
+            who, cell = who[new], cell[new]
+            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(who)), pa.array(cell), pa.array(bound[who])], names=["query_id", "cell", "bound"])
+
+    shape = "query_id bigint, cell bigint, bound double"
+    vector_of = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     run = _in_cell(width, norm, dims, tau, k)
 
-    def search(rows: DataFrame) -> DataFrame:
-        left = rows.select("*", block).groupBy("cell", "block")
-        return left.cogroup(dealt.groupBy("cell", "block")).applyInArrow(run, _FOUND)
+    def search(pairs: DataFrame, at_home: bool) -> DataFrame:
+        """pairs: query_id, cell, bound. A cell that many queries visit gets them, and its vectors, in several blocks."""
+        pairs = saved(pairs)
+        blocks = pairs.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks"))
+        left = pairs.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
+        left = left.join(vector_of, "query_id").select("query_id", "query", "cell", "block", F.lit(at_home).alias("home"), "bound")
+        right = placed.join(blocks, "cell").select("embedding", "ids", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInArrow(run, _FOUND)
 
-    first = saved(search(asked.select("vec_id", "embedding").mapInArrow(home, shape)))
+    first = saved(search(asked.select("vec_id", "embedding").mapInArrow(home, shape), True))
     bounds = first.groupBy("query_id").agg(F.max("bound").alias("bound"))
-    more = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).join(bounds, "query_id").select("query_id", "query", "bound").mapInArrow(visits, shape)
-    found = first.union(search(more)).where("vec_id IS NOT NULL")
+    more = vector_of.join(bounds, "query_id").select("query_id", "query", "bound").mapInArrow(visits, shape)
+    found = first.union(search(more, False)).where("vec_id IS NOT NULL")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -183,6 +183,13 @@ WITH k(rank, kind, least) AS (VALUES
 SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id""",
+    # exact search over all pairs; the query's neighbours are found by the index, which may miss one on other tables
+    "op7_nearest_neighbours": """
+WITH e AS (
+  SELECT vec_id, min(x) AS x FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL)
+  WHERE len(list_filter(x, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(x, lambda v: v <> 0)) > 0 GROUP BY vec_id
+), p AS (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(q.x, e.x) AS score FROM e q JOIN e ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20""",
     "op8_source_mixing": r"""
 WITH RECURSIVE z AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents

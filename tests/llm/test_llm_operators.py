@@ -199,6 +199,58 @@ def test_nearest_against_brute_force(spark):
     assert ann.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_nearest_ties_go_to_smaller_ids(spark):
+    """300 unequal vectors with one inner product, in shuffled order, beside some that are nearer and some that are farther."""
+    order = list(range(300))
+    random.Random(8).shuffle(order)
+    rows = [(i, [1.0, float(i + 1), 0.0]) for i in order] + [(500 + i, [1.5, float(i), 1.0]) for i in range(5)] + [(600 + i, [0.5, float(i), 1.0]) for i in range(5)] + [(1000, [1.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumns({c: F.lit("clash") for c in ("cell", "ids", "query", "bound")}).repartition(3)
+    got = ann.nearest(vectors, vectors.where("vec_id = 1000")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [500, 501, 502, 503, 504, *range(15)]
+    assert [r.score for r in got] == [1.5] * 5 + [1.0] * 15
+    # binary vectors: whole groups tie, equal ones among them
+    rng = np.random.default_rng(2)
+    x = (rng.random((1200, 12)) < 0.4).astype(float)
+    x[:, 0] = 1.0
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    found = ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), confidence=1 - 1e-9).toPandas()
+    for i in range(0, 1200, 100):
+        s = x @ x[i]
+        s[i] = -np.inf
+        assert list(found[found.query_id == i].sort_values("rank").vec_id) == list(np.lexsort((np.arange(1200), -s))[:20])
+
+
+def test_nearest_over_many_cells(spark):
+    """50,000 vectors in clusters, cells of 512 and a sample for 8 of them only, so that cells are split by trees of their own."""
+    rng = np.random.default_rng(5)
+    n, width = 50_000, 12
+    x = (rng.standard_normal((60, width))[rng.integers(0, 60, n)] * 2 + rng.standard_normal((n, width))).astype(np.float32)
+    vectors = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), width).cast(pa.list_(pa.float32()))})).repartition(8)
+    got = ann.nearest(vectors, vectors.where("vec_id % 500 = 0"), sample=128, cell_size=512).toPandas()
+    x, hit = x.astype(float), 0
+    for i in range(0, n, 500):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hit += len(set(np.argsort(-s)[:20]) & set(got[got.query_id == i].vec_id))
+    assert len(got) == 100 * 20 and hit >= 0.95 * len(got)
+
+
+def test_index_puts_points_into_boxes_that_reach_them():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((5000, 4))
+    upper = ann.Tree(x[:200], 3)
+    lower = {c: ann.Tree(x[upper.cell(x) == c], 2, upper.lo[8 + c], upper.hi[8 + c]) for c in (0, 5)}
+    index = ann.Index(upper, lower)
+    cell = index.cell(x)
+    assert set(cell) == ({*range(8)} - {0, 5}) | set(range(8, 16))
+    who, reached = index.near(x, np.zeros(len(x)))
+    assert set(zip(range(5000), cell)) <= set(zip(who, reached))
+    q = x[:50]
+    d = ((q[:, None] - x[None]) ** 2).sum(axis=2)
+    pairs = set(zip(*index.near(q, np.full(50, 0.5))))
+    assert all((i, cell[j]) in pairs for i, j in zip(*np.nonzero(d <= 0.5)))
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = langid.train_and_identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
