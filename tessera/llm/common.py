@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
@@ -32,10 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_shared(spark: SparkSession) -> None:
-    """Checkpoints go where spark.checkpoint.dir says; a folder of our own is taken only where that is unset."""
+    """Checkpoints go where spark.checkpoint.dir says. A local session may have a folder of our own; a cluster must name one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -45,14 +48,34 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of texts hold at most so many rows, so that a Python worker's memory is bounded."""
+    """Arrow batches of texts hold at most so many rows, so that a Python worker's memory is bounded.
+
+    Their bytes are bounded by Spark's own default of 64 MB (spark.sql.execution.arrow.maxBytesPerBatch). The setting is
+    the session's, and plans read it when they run, so it stays; a lower one of the caller is kept.
+    """
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
 
 
-def in_train(doc_id) -> "F.Column":
+def prefix_sums(lengths, part: int = 512) -> Column:
+    """For an array of whole numbers, that of the sums of the elements before each.
+
+    aggregate() copies what it has appended so far at each step, so sums are taken over parts, and over the parts' totals.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def running(xs, start):
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(xs, F.struct(start.cast("bigint").alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(lengths), F.lit(1)), F.lit(part)), lambda i: F.slice(lengths, i, part))
+    totals = F.transform(parts, lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x))
+    return F.flatten(F.zip_with(parts, running(totals, F.lit(0)), running))
+
+
+def in_train(doc_id) -> Column:
     """Rows from which labels may be learned: crc32 of the id as text, modulo 3, is not 1 (null id: taken as '')."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 != 1
 

@@ -15,8 +15,8 @@ one shared, so a pair is only made by tokens where that is enough (for equal siz
 Links are wanted up to components, so not every pair of a large group is compared. First each class is
 compared with a leader of each of its prefix tokens, among those of about its size: the class with the fewest
 tokens of its own, which is the likeliest to link. Then tokens whose classes lie in one component have nothing
-left to tell; for the others every pair across components is compared. A link between two texts is thereby
-either compared or already implied.
+left to tell; for the others the pairs of about one size across components are compared. A link between two texts is
+thereby either compared or already implied. Rows of hot tokens are dealt over salts in every join by token.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import sketch
@@ -38,6 +38,8 @@ PERCENT = 80
 ORDERS = 3
 #: Estimated occurrences from which a token counts as frequent in the orders.
 HOT = 32
+#: Hash buckets of tokens by which hot ones are found, and how many times the mean a bucket holds before it is dealt.
+BUCKETS, HEAVY = 65_536, 8
 _FLUSH = 200_000
 
 
@@ -136,6 +138,25 @@ def _compared(pairs: DataFrame, classes: DataFrame, percent: int, orders: int) -
     return full.withColumn("shared", shared).where(F.col("shared") * 100 >= (F.col("nu") + F.col("nv") - F.col("shared")) * percent).select("u", "v")
 
 
+def _salted(posts: DataFrame) -> DataFrame:
+    """Adds salt and parts: rows of tokens that much is known to share a hash bucket of are dealt over `parts` salts.
+
+    Rows are counted by BUCKETS buckets of tokens, so the broadcast table has at most that many rows; a bucket that
+    holds HEAVY times as many rows as the mean (and 1,000 at least) is dealt. All other tokens have one salt.
+    """
+    bucket = F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int")
+    sizes = posts.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("c"))
+    most = F.greatest(F.lit(1000), F.lit(HEAVY) * F.sum("c").over(Window.partitionBy(F.lit(1))) / BUCKETS)
+    heavy = saved(sizes.select("bucket", F.ceil(F.col("c") / most).cast("int").alias("parts")).where("parts > 1"))
+    dealt = posts.withColumn("bucket", bucket).join(F.broadcast(heavy), "bucket", "left").drop("bucket")
+    dealt = dealt.withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return dealt.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+
+
+def _every_salt() -> F.Column:
+    return F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -160,28 +181,31 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     # sets whose sizes allow a link lie in one band or in two that follow each other
     band = F.floor(F.log(F.col("n")) / math.log(100 / percent)).cast("int")
     posts = posts.select("token", "node", "n", "own", (F.col("own") + F.col("at")).alias("at"), band.alias("band"))
-    shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    posts = saved(posts.join(shared, "token", "left_semi"))
+    posts = _salted(posts)
+    shared = posts.groupBy("token", "parts").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token", _every_salt())
+    posts = saved(posts.join(shared, ["token", "salt"], "left_semi"))
 
     def may_link(n, m, i, j) -> F.Column:
         """Sizes n and m, and a first shared token at places i and j, leave room for a link."""
         least = F.ceil((n + m) * percent / (100 + percent))
         return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (n - i >= least) & (m - j >= least)
 
-    leads = posts.groupBy("token", "band").agg(F.min(F.struct("own", "node", "n", "at")).alias("lead"))
+    leads = posts.groupBy("token", "parts", "band").agg(F.min(F.struct("own", "node", "n", "at")).alias("lead")).select("token", "band", "lead", _every_salt())
     near = posts.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
-    stars = near.join(leads, ["token", "band"]).where((F.col("node") != F.col("lead.node")) & may_link(F.col("n"), F.col("lead.n"), F.col("at"), F.col("lead.at")))
+    stars = near.join(leads, ["token", "band", "salt"]).where((F.col("node") != F.col("lead.node")) & may_link(F.col("n"), F.col("lead.n"), F.col("at"), F.col("lead.at")))
     stars = saved(stars.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct())
     links = saved(_compared(stars, classes, percent, orders))
     found = components(links)
 
     # every pair across components of the tokens that still have more than one
-    placed = posts.join(found, "node", "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("token")
-    placed = saved(placed.join(mixed, "token", "left_semi"))
-    x = placed.select("token", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("at").alias("iu"), F.col("root").alias("ru"))
-    y = placed.select("token", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("at").alias("iv"), F.col("root").alias("rv"))
-    across = x.join(y, "token").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & may_link(F.col("nu"), F.col("nv"), F.col("iu"), F.col("iv")))
+    placed = posts.join(found, "node", "left").select("token", "salt", "parts", "band", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("token", "parts").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("token", _every_salt())
+    placed = saved(placed.join(mixed, ["token", "salt"], "left_semi"))
+    # bands hold sizes that may link; u is dealt by its salt, v meets every salt of the token
+    x = placed.select("token", "band", "salt", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("at").alias("iu"), F.col("root").alias("ru"))
+    y = placed.select("token", "parts", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("node").alias("v"), F.col("n").alias("nv"), F.col("at").alias("iv"), F.col("root").alias("rv"))
+    y = y.select("token", "band", _every_salt(), "v", "nv", "iv", "rv")
+    across = x.join(y, ["token", "band", "salt"]).where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & may_link(F.col("nu"), F.col("nv"), F.col("iu"), F.col("iv")))
     across = across.select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
     rest = saved(_compared(across, classes, percent, orders))
     roots = components(links.union(rest)) if rest.limit(1).count() else found
