@@ -17,6 +17,9 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 SEED = "mix-1"
+#: Most bytes of targets that are broadcast, and over how many tasks a source is dealt beyond that.
+BROADCAST = 16 << 20
+SALTS = 32
 
 
 def word_count(text) -> F.Column:
@@ -55,6 +58,20 @@ def copies(doc_id, rate, seed: str = SEED) -> F.Column:
     return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
+def _with_target(rows: DataFrame, source: str, targets: DataFrame) -> DataFrame:
+    """Rows joined with the target of their source (columns _source and what else targets has), which null has too.
+
+    The targets are broadcast if they are measured to be at most BROADCAST bytes, so that no text is shuffled. More of
+    them are joined by source and a salt, as one source may hold much of all rows.
+    """
+    n, size = targets.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_source")), F.lit(0))).first()
+    if size + 64 * n <= BROADCAST:
+        return rows.join(F.broadcast(targets), F.col(source).eqNullSafe(F.col("_source")))
+    salted = rows.withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int"))
+    many = targets.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(many, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_salt") == F.col("_to"))).drop("_salt", "_to")
+
+
 def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, n_copies for each row of docs (doc_id, source, text).
 
@@ -62,21 +79,22 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     of copies; a null text has size 0; a null source is a source of its own, the last. Empty table: no rows.
     """
     sizes = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    targets = source_targets(sizes, weights, share, most)
-    both = sizes.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    targets = saved(source_targets(sizes, weights, share, most)).withColumnRenamed("source", "_source")
+    both = _with_target(sizes, "source", targets)
     return both.select("doc_id", "source", "size", "source_size", "target", copies(F.col("doc_id"), F.col("rate"), seed).alias("n_copies"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The mix itself: each row of docs as often as its source's rate says, all columns kept, plus copy (from 0).
 
-    A column of docs named copy is replaced.
+    A column of docs named copy is replaced. A null text has size 0 and goes with its source's rate like any other, and
+    so does an empty one; a null source is a source of its own; rows alike get the same number of copies. Empty table:
+    no rows. Texts are read twice, for sizes and for the mix, and are not shuffled where targets can be broadcast.
     """
     sizes = docs.select("source", word_count(F.col("text")).alias("size"))
     targets = saved(source_targets(sizes, weights, share, most)).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
     rows = docs.drop("copy")
     packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
-    many = packed.join(targets, F.col("row.source").eqNullSafe(F.col("_source")))
-    many = many.withColumn("n", copies(F.col("row.doc_id"), F.col("_rate"), seed)).where("n > 0")
+    many = _with_target(packed, "row.source", targets).withColumn("n", copies(F.col("row.doc_id"), F.col("_rate"), seed)).where("n > 0")
     many = many.select("row", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("copy"))
     return many.select("row.*", "copy")
