@@ -19,6 +19,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import prefix_sums, saved
+
+#: Most candidate documents (some 60 bytes each) that are broadcast.
+BROADCAST = 200_000
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -112,15 +117,20 @@ def _spans(text, rule: Rule, rank: int) -> Column:
     hits, pieces = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.split(text, rule.pattern, -1)
     held = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else hits
     rows = F.arrays_zip(pieces.alias("p"), hits.alias("h"), held.alias("g"))
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
+    sizes = F.transform(rows, lambda x: F.struct(F.length(x["p"]).alias("p"), F.coalesce(F.length(x["h"]), F.lit(0)).alias("h"), F.coalesce(F.length(x["g"]), F.lit(0)).alias("g")))
+
+    def spans(sizes):
+        starts = prefix_sums(F.transform(sizes, lambda x: (x["p"] + x["h"]).cast("bigint")))
+
+        def span(x, at):
+            start = at.cast("int") + x["p"]
+            found = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (start + x["h"]).alias("end"))
+            return F.when(x["g"] >= rule.least, found)
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.coalesce(F.length(x["h"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(x["g"]) >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.filter(F.zip_with(sizes, starts, span), lambda x: x.isNotNull())
 
-    return F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+    # the lambda's variable holds the sizes, so that the text is matched once
+    return F.element_at(F.transform(F.array(sizes), spans), 1)
 
 
 def _scan_pattern(rule: Rule) -> Rule:
@@ -131,25 +141,29 @@ def _scan_pattern(rule: Rule) -> Rule:
 
 
 def find_secrets(docs: DataFrame, rules=BASE + ADDED) -> DataFrame:
-    """docs: doc_id, text (other columns stay). Adds spans: array of struct(start, rank, kind, end), in order.
+    """docs: doc_id, text (other columns stay, but one named spans is replaced). Adds spans: array of struct(start, rank, kind, end), in order.
 
     Whole texts are scanned; offsets are code points, end exclusive. Null or empty text: no spans. Rows that
-    repeat, also with the same doc_id, are scanned each: the index is by doc_id and a hash of the text.
+    repeat, also with the same doc_id, are scanned each: the index is by doc_id and a hash of the text. Spans of two
+    rules may overlap; those with one start go by rule. Empty table: no rows.
+    The candidates that the index names are broadcast if they are counted to be at most BROADCAST, so that texts stay
+    where they are; more of them are joined by key.
     """
-    keyed = docs.withColumn("_key", F.struct(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.xxhash64("text").alias("h")))
-    index = candidates(keyed.select(F.col("_key").alias("key"), "text"), rules)
-    has = index.select(F.col("key").alias("_k"), F.col("rules").alias("_rules"))
-    joined = keyed.join(has, F.col("_key") == F.col("_k"), "left")
+    kept = [c for c in docs.columns if c != "spans"]
+    key = F.struct(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.xxhash64("text").alias("h"))
+    keyed = docs.select(key.alias("key"), "text", F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    index = saved(candidates(keyed.select("key", "text"), rules))
+    joined = keyed.join(F.broadcast(index) if index.count() <= BROADCAST else index, "key", "left")
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     parts = []
     for i, rule in enumerate(rules):
         found = _spans(F.col("text"), _scan_pattern(rule), i)
         if mandatory(rule.pattern):
-            test = F.array_contains("_rules", i)
+            test = F.array_contains("rules", i)
         else:
             test = F.rlike("text", F.lit(_scan_pattern(rule).pattern))
         parts.append(F.when(test, found).otherwise(none))
-    return joined.withColumn("spans", F.array_sort(F.concat(*parts))).drop("_key", "_k", "_rules")
+    return joined.select("row.*", F.array_sort(F.concat(*parts)).alias("spans"))
 
 
 def as_text(spans) -> Column:
