@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import prefix_sums
+
 CONTROL = r"</?s>|\[/?INST\]|<</?SYS>>|<<ROLE:[0-9A-F]*>>|<</ROLE>>|<<ESC>>"
 #: The first character of a control string (the rest stands in the lookahead, so that overlapping ones count too).
 _FIRST = r"(<|\[)(?=/?s>|/?INST\]|</?SYS>>|<ROLE:[0-9A-F]*>>|</ROLE>>|<ESC>>)"
@@ -87,11 +89,6 @@ def with_loss_spans(chats: DataFrame) -> DataFrame:
     """Adds loss_spans: code-point offsets (end exclusive) in `formatted` of each assistant text, as it stands there."""
     chats = chats.withColumn("_marks", F.regexp_extract_all("formatted", F.lit(CONTROL), F.lit(0))).withColumn("_pieces", F.split("formatted", CONTROL, -1))
     ends = F.transform(F.sequence(F.lit(0), F.size("_marks")), lambda i: F.struct(F.length(F.get("_pieces", i)).alias("text"), F.coalesce(F.length(F.get("_marks", i)), F.lit(0)).alias("mark"), F.get("_marks", i).alias("by")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def step(acc, p):
-        end = acc["at"] + p["text"]
-        spans = F.when(p["by"] == "</s>", F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"))))).otherwise(acc["spans"])
-        return F.struct((end + p["mark"]).alias("at"), spans.alias("spans"))
-
-    return chats.withColumn("_cut", ends).withColumn("loss_spans", F.aggregate("_cut", start, step, lambda a: a["spans"])).drop("_marks", "_pieces", "_cut")
+    chats = chats.withColumn("_cut", ends).withColumn("_at", prefix_sums(F.transform("_cut", lambda p: (p["text"] + p["mark"]).cast("bigint"))))
+    span = lambda p, at: F.when(p["by"] == "</s>", F.struct(at.cast("int").alias("start"), (at.cast("int") + p["text"]).alias("end")))
+    return chats.withColumn("loss_spans", F.filter(F.zip_with("_cut", "_at", span), lambda x: x.isNotNull())).drop("_marks", "_pieces", "_cut", "_at")
