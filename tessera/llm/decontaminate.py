@@ -1,26 +1,35 @@
 """Benchmark decontamination: one Aho-Corasick automaton over all windows of the benchmark, one scan of each text.
 
 Texts and items are normalised alike on their UTF-8 bytes: A-Z to lower case, every other ASCII byte that is
-no digit or letter to a space, runs of spaces to one. The automaton's patterns are the windows with a space on
-both sides, so a match is a run of whole words. Words keep their offsets in the original text, so matches are
-reported there too. The automaton holds a bounded number of pattern bytes; a benchmark beyond that is dealt
-over several automata, each of which scans the texts once more (a part stays within the bound).
+no digit or letter to a space, and cut into words. Each word of the benchmark has a number of a few digits, all other
+words share one that no pattern has, and the automaton's patterns are the digits of each window's words. So a match is
+a run of whole words, and states are few. Words keep their offsets in the original text, and matches are reported there too.
+
+An automaton is built once in each Python worker, from at most PART_BYTES of items. A larger benchmark is dealt by item
+over several automata; each is a scan of its own, in tasks of its own, and a document's findings are then put together
+by key, without its text. Items pass the driver one part at a time.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
+from functools import reduce
+from itertools import repeat
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import small_batches
 
 WINDOW = 10
-#: Most bytes of patterns in one automaton (about 60 times as much memory in each Python worker).
-AUTOMATON_BYTES = 8_000_000
+#: Base of the words' numbers: a state has at most so many ways on.
+BASE = 32
+#: Most bytes of items in one automaton, which takes some 240 times as much memory in each Python worker.
+PART_BYTES = 1_000_000
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -29,45 +38,65 @@ def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def windows_of(text: str | None, k: int) -> set[bytes]:
-    words = normal_words(text)
-    if not words:
-        return set()
-    return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
-
-
-def _parts(items: list[tuple[object, str | None]], k: int, most: int) -> list[list[tuple[bytes, list[str]]]]:
-    """Windows with the ids of their items, dealt into parts of at most so many bytes."""
-    ids: dict[bytes, list[str]] = {}
-    for item, text in items:
-        for w in windows_of(text, k):
-            ids.setdefault(w, []).append(str(item))
-    parts, size = [[]], 0
-    for w in sorted(ids):
-        if size + len(w) > most and parts[-1]:
-            parts.append([])
-            size = 0
-        parts[-1].append((w, ids[w]))
-        size += len(w)
-    return parts
-
-
-_BUILT: dict[str, ahocorasick.Automaton] = {}
-
-
-def _automaton(key: str, part: list[tuple[bytes, list[str]]]) -> ahocorasick.Automaton:
-    """Built once in each Python worker."""
+class Windows:
+    """The automaton of all windows of some items, each with the ids of the items that hold it."""
+
+    def __init__(self, items: list[tuple[str, str | None]], k: int):
+        texts = [(item, normal_words(text)) for item, text in sorted(items, key=lambda x: x[0])]
+        numbers: dict[bytes, int] = {}
+        for _, words in texts:
+            for w in words:
+                numbers.setdefault(w, len(numbers))
+        self.digits = 1
+        while BASE**self.digits < len(numbers):
+            self.digits += 1
+        # the n-th digits of all words have characters of their own, so a match begins and ends with a word
+        self.codes = {w: "".join(chr(1 + BASE * d + n // BASE**d % BASE) for d in range(self.digits)) for w, n in numbers.items()}
+        self.other = "\0" * self.digits
+        windows: dict[str, tuple[int, list[str]]] = {}
+        for item, words in texts:
+            code = "".join(map(self.codes.__getitem__, words))
+            for i in range(max(1, len(words) - k + 1) if words else 0):
+                ids = windows.setdefault(code[i * self.digits : (i + k) * self.digits], (min(k, len(words)), []))[1]
+                if not ids or ids[-1] != item:
+                    ids.append(item)
+        self.found = ahocorasick.Automaton()
+        for code, held in windows.items():
+            self.found.add_word(code, held)
+        self.any = bool(windows)
+        if self.any:
+            self.found.make_automaton()
+
+    def hits(self, words: list[bytes]) -> Iterator[tuple[int, int, list[str]]]:
+        """First word, end and item ids of each window that occurs."""
+        if self.any and words:
+            for last, (n, ids) in self.found.iter("".join(map(self.codes.get, words, repeat(self.other)))):
+                end = (last + 1) // self.digits
+                yield end - n, end, ids
+
+
+_BUILT: dict[str, Windows] = {}
+
+
+def _windows(key: str, items: Broadcast, k: int) -> Windows:
+    """Built once in each Python worker; the last one is kept."""
     if key not in _BUILT:
         _BUILT.clear()
-        made = ahocorasick.Automaton()
-        for i, (w, _) in enumerate(part):
-            made.add_word(f" {w.decode('latin-1')} ", (i, w.count(b" ") + 1))
-        made.make_automaton()
-        _BUILT[key] = made
+        _BUILT[key] = Windows(items.value, k)
     return _BUILT[key]
 
 
-def _original(text: str, words: list[bytes], runs: list[tuple[int, int]]) -> list[dict]:
+def _parts(benchmark: DataFrame, most: int) -> list[tuple[str, Broadcast]]:
+    """The items, dealt by hash into parts of about `most` bytes, each a broadcast with a key of its own; an item stays whole."""
+    sc = benchmark.sparkSession.sparkContext
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-size // most)
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n)))
+    return [(uuid.uuid4().hex, sc.broadcast([(str(r["item_id"]), r["text"]) for r in items.where(part == i).collect()])) for i in range(n)]
+
+
+def _original(text: str, words: list[bytes], runs: list[list[int]]) -> list[dict]:
     """Code-point spans in the text itself of runs of words (first, end exclusive)."""
     raw = text.encode("utf-8", "surrogatepass")
     clean, at, spans = raw.translate(_TABLE), 0, []
@@ -76,112 +105,110 @@ def _original(text: str, words: list[bytes], runs: list[tuple[int, int]]) -> lis
         at = clean.index(w, at)
         starts.append(at)
         at += len(w)
+    done, chars = 0, 0
     for i, j in runs:
         a, b = starts[i], starts[j - 1] + len(words[j - 1])
-        start = len(raw[:a].decode("utf-8", "surrogatepass"))
-        spans.append({"start": start, "end": start + len(raw[a:b].decode("utf-8", "surrogatepass"))})
+        start = chars + len(raw[done:a].decode("utf-8", "surrogatepass"))
+        done, chars = b, start + len(raw[a:b].decode("utf-8", "surrogatepass"))
+        spans.append({"start": start, "end": chars, "word": i, "word_end": j})
     return spans
 
 
-def _scan(part_value, key: str):
+def _merged(runs) -> list[list[int]]:
+    """Runs that overlap or touch as one."""
+    out: list[list[int]] = []
+    for i, j in sorted(runs):
+        if out and i <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], j)
+        else:
+            out.append([i, j])
+    return out
+
+
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("word", pa.int64()), ("word_end", pa.int64())]))
+_OUT = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint,word:bigint,word_end:bigint>>"
+
+
+def _scan(key: str, items: Broadcast | None, k: int):
+    """Adds the findings in each text to the other columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = part_value.value
-        found = _automaton(key, part) if part else None
+        windows = _windows(key, items, k) if items else None
         for batch in batches:
-            n_words, n_hit, items, spans = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            n_words, n_hit, found, spans = [], [], [], []
+            for text in batch.column("text").to_pylist():
                 words = normal_words(text)
                 n_words.append(len(words))
-                hits = []
-                if found is not None and words:
-                    hits = list(found.iter(f" {b' '.join(words).decode('latin-1')} "))
-                if not hits:
-                    n_hit.append(0), items.append([]), spans.append([])
-                    continue
-                # offsets of words in the joined text, to turn the end of a match into a word
-                ends, at = {}, 0
-                for i, w in enumerate(words):
-                    at += len(w) + 1
-                    ends[at] = i + 1
-                runs: list[list[int]] = []
-                for i, j in sorted({(ends[e] - k, ends[e]) for e, (_, k) in hits}):
-                    if runs and i <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], j)
-                    else:
-                        runs.append([i, j])
+                hits = list(windows.hits(words)) if windows else []
+                runs = _merged({(i, j) for i, j, _ in hits})
                 n_hit.append(sum(j - i for i, j in runs))
-                items.append(sorted({x for _, (p, _) in hits for x in part[p][1]}))
-                spans.append([{"start": s["start"], "end": s["end"], "word": i, "word_end": j} for s, (i, j) in zip(_original(text, words, runs), runs)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("word", pa.int64()), ("word_end", pa.int64())])))],
-                names=["doc_id", "n_words", "n_hit", "items", "spans"],
-            )
+                found.append(sorted({x for _, _, ids in hits for x in ids}))
+                spans.append(_original(text, words, runs) if runs else [])
+            rest = batch.drop_columns(["text"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, _SPAN)], names=[*rest.schema.names, "n_words", "n_hit", "items", "spans"])
 
     return run
 
 
-_OUT = "doc_id {}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint,word:bigint,word_end:bigint>>"
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The findings of all parts in one document as those of one automaton: runs that meet are joined."""
+    for batch in batches:
+        n_hit, items, spans = [], [], []
+        for found, parts in zip(batch.column("items").to_pylist(), batch.column("spans").to_pylist()):
+            start, end = ({s[w]: s[c] for p in parts for s in p} for w, c in (("word", "start"), ("word_end", "end")))
+            runs = _merged((s["word"], s["word_end"]) for p in parts for s in p)
+            n_hit.append(sum(j - i for i, j in runs))
+            items.append(sorted({x for p in found for x in p}))
+            spans.append([{"start": start[i], "end": end[j], "word": i, "word_end": j} for i, j in runs])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPAN)], names=["doc_id", "n_words", "n_hit", "items", "spans"])
+
 
+def _key() -> F.Column:
+    return F.struct("doc_id", F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))
 
-def contamination(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+
+def contamination(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, n_words, n_hit, items, spans.
 
     items: sorted ids (as strings) of the items of which a window occurs; spans: merged runs of hit words, as
     code points of the original text and as words. Null or empty texts have no words; items without words
-    have no window. With an empty benchmark nothing is hit. Repeated rows are reported each.
-    The benchmark is the stated query set: its text passes the driver once, to be dealt into automata.
+    have no window. With an empty benchmark nothing is hit. Repeated rows are reported each, and rows of the benchmark
+    that share an id are one item. Other columns are not read.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    parts = _parts([(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").toLocalIterator()], k, automaton_bytes)
+    small_batches(docs.sparkSession)
+    parts = _parts(benchmark, part_bytes)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text")
-    if len(parts) > 1:
-        return _joined(rows, parts, kind)
-    key = hashlib.sha256(b"\n".join(w for w, _ in parts[0])).hexdigest() + str(len(parts[0]))
-    return rows.mapInArrow(_scan(spark.sparkContext.broadcast(parts[0]), key), _OUT.format(kind))
+    if len(parts) <= 1:
+        key, items = parts[0] if parts else ("", None)
+        return docs.select("doc_id", "text").mapInArrow(_scan(key, items, k), f"doc_id {kind}, {_OUT}")
+    rows = docs.select(_key().alias("key"), "text")
+    each = [rows.mapInArrow(_scan(key, items, k), f"key struct<doc_id:{kind},a:bigint,b:bigint>, {_OUT}") for key, items in parts]
+    # rows alike in id and text have the same findings, so sets hold one entry a part however many there are
+    sets = reduce(DataFrame.union, each).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("n_words").alias("n_words"), F.collect_set("items").alias("items"), F.collect_set("spans").alias("spans"))
+    copies = sets.select("key.doc_id", "n_words", "items", "spans", F.explode(F.sequence(F.lit(1), (F.col("n") / len(parts)).cast("int")))).drop("col")
+    return copies.mapInArrow(_together, f"doc_id {kind}, {_OUT}")
 
 
-def _joined(rows: DataFrame, parts, kind: str) -> DataFrame:
-    """Several automata one after the other on each batch; each is built once a batch of texts."""
-    sc = rows.sparkSession.sparkContext
-    keyed = [(sc.broadcast(p), hashlib.sha256(b"\n".join(w for w, _ in p)).hexdigest() + str(len(p))) for p in parts]
+def clean(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The rows of docs, all columns kept, whose text holds no window of the benchmark.
 
-    def run(batches):
-        for batch in batches:
-            results = [next(_scan(p, key)(iter([batch]))).to_pydict() for p, key in keyed]
-            n_hit, items, spans = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                runs: list[list[int]] = []
-                for a, b in sorted((s["word"], s["word_end"]) for r in results for s in r["spans"][i]):
-                    if runs and a <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], b)
-                    else:
-                        runs.append([a, b])
-                n_hit.append(sum(b - a for a, b in runs))
-                items.append(sorted({x for r in results for x in r["items"][i]}))
-                at = _original(text, normal_words(text), runs) if runs else []
-                spans.append([{**s, "word": a, "word_end": b} for s, (a, b) in zip(at, runs)])
-            kinds = [pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("word", pa.int64()), ("word_end", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(results[0]["n_words"], pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, kinds[0]), pa.array(spans, kinds[1])], names=["doc_id", "n_words", "n_hit", "items", "spans"])
-
-    return rows.mapInArrow(run, _OUT.format(kind))
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """The rows of docs, all columns kept, whose text holds no window of the benchmark."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    parts = _parts([(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").toLocalIterator()], k, automaton_bytes)
-    keyed = [(spark.sparkContext.broadcast(p), hashlib.sha256(b"\n".join(w for w, _ in p)).hexdigest() + str(len(p))) for p in parts if p]
+    Null and empty texts hold none and stay, repeated rows stay or go alike, and an empty benchmark leaves all.
+    """
+    small_batches(docs.sparkSession)
+    parts = _parts(benchmark, part_bytes)
+    if not parts:
+        return docs
+    if len(parts) > 1:
+        rows = docs.select(_key().alias("key"), "text")
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        each = [rows.mapInArrow(_scan(key, items, k), f"key struct<doc_id:{kind},a:bigint,b:bigint>, {_OUT}").where("n_hit > 0").select("key") for key, items in parts]
+        packed = docs.select(_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        return packed.join(reduce(DataFrame.union, each).distinct(), "key", "left_anti").select("row.*")
+    key, items = parts[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = _windows(key, items, k)
         for batch in batches:
-            texts = [f" {b' '.join(normal_words(t)).decode('latin-1')} " for t in batch.column("text").to_pylist()]
-            hit = [False] * len(texts)
-            for part, key in keyed:
-                found = _automaton(key, part.value)
-                hit = [h or next(found.iter(t), None) is not None for h, t in zip(hit, texts)]
-            yield batch.filter(pa.array([not h for h in hit], pa.bool_()))
+            yield batch.filter(pa.array([next(windows.hits(normal_words(t)), None) is None for t in batch.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

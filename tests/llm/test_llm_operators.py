@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, components, decontaminate, langid, licenses, mixing, ngram_join, queries, secrets, sketch, substring_dedup, toxicity
+from tessera.llm import ann, chat, common, components, decontaminate, langid, licenses, mixing, ngram_join, queries, secrets, sketch, substring_dedup, toxicity
 
 SF = "/root/testdata/sf0.001"
 EMPTY = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -102,6 +102,24 @@ def test_components_of_chains_and_stars(spark):
     assert all(got[i] == 0 for i in range(1, 61)) and all(got[100 + i] == 100 for i in range(1, 40))
 
 
+def test_components_of_a_long_chain_in_random_order(spark):
+    ids = list(range(3000))
+    random.Random(1).shuffle(ids)
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(list(zip(ids, ids[1:])), "u bigint, v bigint")).collect()}
+    assert got == {i: 0 for i in range(1, 3000)}
+
+
+def test_near_duplicates_with_hot_tokens_dealt(spark, monkeypatch):
+    """Few buckets, so that all tokens lie in dealt ones, over texts that share passages without being alike."""
+    monkeypatch.setattr(ngram_join, "BUCKETS", 16)
+    monkeypatch.setattr(ngram_join, "HEAVY", 0.1)
+    rng = random.Random(12)
+    passages = [words(rng, 30, 10_000) for _ in range(6)]
+    rows = [(i, " ".join(w for p in rng.sample(passages, 3) for w in p) + " " + " ".join(words(rng, i % 7, 10_000))) for i in range(400)]
+    got = ngram_join.near_duplicates(frame(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute.components(rows))
+
+
 def bench_items():
     rng = random.Random(9)
     return [(1, " ".join(words(rng, 40))), (2, "Only, four short Words!"), (3, None), (4, ""), (10, " ".join(words(rng, 10)))]
@@ -111,7 +129,7 @@ def bench_items():
 def test_contamination(spark, limit):
     items = bench_items()
     rows = hard_rows() + [(400, "x " + items[0][1].replace(" ", ", ")), (401, "ONLY four-short words only four short words"), (402, items[4][1] + "x"), (403, items[4][1].upper() + ".")]
-    found = decontaminate.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"), automaton_bytes=limit)
+    found = decontaminate.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"), part_bytes=limit)
     got = [(r.doc_id, r.n_words, r.n_hit, len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.n_hit > 0) for r in found.collect()]
     assert sorted(got) == sorted(brute.contamination(rows, items))
     texts = dict(rows)
@@ -120,6 +138,31 @@ def test_contamination(spark, limit):
             assert len(brute.NORMAL.findall(texts[r.doc_id][s.start : s.end].translate(brute.UPPER))) == s.word_end - s.word
 
 
+@pytest.mark.parametrize("limit", [10**7, 60])
+def test_clean_keeps_what_no_window_hits(spark, limit):
+    items = bench_items()
+    rows = hard_rows() + [(400, "x " + items[0][1]), (400, "x " + items[0][1]), (401, "only four short words")]
+    docs = frame(spark, rows)
+    kept = decontaminate.clean(docs, spark.createDataFrame(items, "item_id bigint, text string"), part_bytes=limit)
+    dirty = {r[0] for r in brute.contamination(rows, items) if r[-1]}
+    assert kept.columns == docs.columns and dirty == {400, 401}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in rows if d not in dirty)
+
+
+def test_an_automaton_is_built_once_a_part_and_worker(monkeypatch):
+    built = []
+    make = decontaminate.Windows
+    monkeypatch.setattr(decontaminate, "Windows", lambda items, k: built.append(len(items)) or make(items, k))
+    monkeypatch.setattr(decontaminate, "_BUILT", {})
+    rng = random.Random(1)
+    parts = [(f"part{p}", type("Shared", (), {"value": [(str(i), " ".join(words(rng, 60))) for i in range(50)]})) for p in range(3)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([" ".join(words(rng, 30)) for _ in range(100)])], names=["doc_id", "text"]) for _ in range(20)]
+    for key, items in parts:
+        for _ in range(2):  # two tasks of a worker
+            assert sum(b.num_rows for b in decontaminate._scan(key, items, 10)(iter(batches))) == 2000
+    assert built == [50, 50, 50]
+
+
 def test_contamination_without_items(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contamination(frame(spark, [(1, "a b")]), none).first().n_hit == 0
@@ -132,13 +175,36 @@ SECRETS = [
 
 
 def test_secrets(spark):
-    got = secrets.find_secrets(spark.createDataFrame(SECRETS, "doc_id bigint, text string").withColumn("rules", F.lit(1))).collect()
-    assert len(got) == len(SECRETS)
+    clash = ("rules", "key", "row", "_k", "_key", "_rules", "_low", "h", "spans")
+    docs = spark.createDataFrame(SECRETS, "doc_id bigint, text string").withColumns({c: F.lit("mine") for c in clash})
+    found = secrets.find_secrets(docs)
+    got = found.collect()
+    assert len(got) == len(SECRETS) and sorted(found.columns) == sorted(docs.columns)
+    assert all(r[c] == "mine" for r in got for c in clash if c != "spans")
     for r in got:
         assert [(s.kind, s.start, s.end) for s in r.spans if s["rank"] < 3] == brute.secrets(r.text)
     assert {s.kind for r in got if r.doc_id == 7 for s in r.spans} >= {"github", "slack", "access"}
 
 
+def test_secrets_beyond_the_broadcast_and_many_in_one_text(spark, monkeypatch):
+    text = " ".join(f"é token={i:012d}" for i in range(2000))
+    rows = SECRETS + [(20, text)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted(map(str, secrets.find_secrets(docs).collect()))
+    monkeypatch.setattr(secrets, "BROADCAST", 0)
+    assert sorted(map(str, secrets.find_secrets(docs).collect())) == want
+    got = [r for r in secrets.find_secrets(docs).collect() if r.doc_id == 20]
+    assert [(s.kind, s.start, s.end) for s in got[0].spans if s["rank"] < 3] == brute.secrets(text)
+
+
+def test_prefix_sums(spark):
+    rng = random.Random(3)
+    rows = [(0, []), (1, [5])] + [(n, [rng.randrange(9) for _ in range(n)]) for n in (2, 511, 512, 513, 1024, 3000)]
+    df = spark.createDataFrame(rows, "n int, xs array<bigint>")
+    for r in df.select("xs", common.prefix_sums(F.col("xs")).alias("sums")).collect():
+        assert r.sums == [sum(r.xs[:i]) for i in range(len(r.xs))]
+
+
 def test_trigram_queries_are_mandatory():
     assert secrets.mandatory(secrets.BASE[2].pattern) is None
     for rule, text in ((secrets.BASE[0], "passwd=abcdefghijkl"), (secrets.BASE[1], "AKIA1234567890ABCD"), (secrets.ADDED[3], "-----BEGIN RSA PRIVATE KEY-----")):
@@ -177,6 +243,22 @@ def test_mixing_targets_and_copies(spark):
     assert out.to_dict() == {r.doc_id: r.n_copies for r in plan.itertuples() if r.n_copies}
 
 
+def test_mix_shuffles_no_text_and_beyond_the_broadcast_gives_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"s{i % 40}" if i % 41 else None, "w " * (i % 30)) for i in range(2000)], "doc_id bigint, source string, text string").withColumn("_salt", F.lit(1))
+    rows = lambda: sorted(map(str, mixing.mix(docs).collect()))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        want = rows()
+        monkeypatch.setattr(mixing, "BROADCAST", 0)
+        assert "SortMergeJoin" in mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+        assert rows() == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((900, 16)) * rng.uniform(0.2, 3, (900, 1))
