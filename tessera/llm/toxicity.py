@@ -1,20 +1,25 @@
 """Toxicity: a linear-chain conditional random field tags toxic spans; its marginals make a document's score.
 
-Labels are of documents, so tokens are labelled from them first: a lexicon holds the words and word beginnings
-that occur in far more toxic than other documents (a likelihood-ratio test at a level that allows for the
-number tried), and a token of a toxic document is labelled toxic if the lexicon has it. The field has two states (other,
-toxic), the token's log odds as features, and transitions; it is fitted by gradient ascent on the likelihood of
-labelled segments. Scoring runs forward and backward over every token of a whole text; a logistic model turns
-the expected number of toxic tokens and the largest marginal into a score.
-
-Fitting uses bounded samples of labelled rows: at most SAMPLE_TOXIC and SAMPLE_OTHER documents for the
-lexicon, at most SAMPLE_FIELD of each kind for the field and the calibration, by the smallest hash of the id.
+Labels are of documents, so tokens are labelled from them first, by a lexicon of whole words and of word beginnings
+that stand in far more contexts of toxic than of other documents (a likelihood-ratio test at a level that allows for
+the number tried). Longer entries come first: a beginning is tested only on words that no longer entry explains, and
+counts only if several such words share it. A token of a toxic document is labelled toxic if the lexicon has it.
+
+The lexicon is not seen by the field itself. Its features are hashed: the word, its beginnings and its ending, and the
+words before and after. They and the transitions between its two states (other, toxic) are fitted by gradient ascent on
+the likelihood of labelled segments. So what a toxic word shares with clean ones carries little weight, and words that
+the lexicon lacks are tagged by what they share with those it has. Scoring runs forward and backward over every token
+of a whole text, for all texts of a batch at once; a logistic model turns what a text's marginals p add up to into a
+score: the sum of p^2, and the sum of -log(1 - p^2), which grows with how sure the field is of a token. Squares keep the
+faint marginals of long clean texts from adding up.
+
+Fitting uses bounded samples of labelled rows: at most SAMPLE_TOXIC and SAMPLE_OTHER documents, by the smallest hash of
+the id, for the lexicon and the logistic model, and at most SEGMENTS distinct segments of each kind for the field.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,17 +31,20 @@ from pyspark.sql import functions as F
 
 from .common import in_train, saved, small_batches
 
-SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_FIELD = 4000, 8000, 1000
-PREFIXES = range(3, 8)
-#: Most entries of the lexicon, the most telling first.
-LEXICON = 50_000
+SAMPLE_TOXIC, SAMPLE_OTHER = 4000, 8000
+#: Most segments of SEGMENT words with, and without, a toxic label that the field is fitted on.
+SEGMENTS, SEGMENT = 3000, 64
+#: Lengths of beginnings in the lexicon, in characters, and how many words have to share one.
+BEGINNINGS, SHARED = (7, 6, 5, 4, 3), 4
 #: Least log odds of an entry.
 LEAST_ODDS = 3.0
-SEGMENT = 64
 #: A token is reported as offending from this marginal on.
 OFFENDING = 0.5
-_COUNTED = 0.1
-REMEMBERED = 300_000
+#: Hashed features, as a power of two.
+BITS = 20
+STEPS = 80
+#: Words that each Python worker remembers, and tokens that are tagged at once.
+REMEMBERED, AT_ONCE = 300_000, 400_000
 
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -45,297 +53,384 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split()
 
 
-def features_of(word: bytes) -> list[str]:
-    """The word, and its beginnings (which end in `*`)."""
-    w = word.decode("utf-8", "replace")
-    return [w] + [f"{w[:n]}*" for n in PREFIXES if len(w) >= n]
+def features_of(word: bytes) -> list[bytes]:
+    """The word, its beginnings (which end in `*`) and its ending, in bytes; `<` and `>` before a word are neighbours."""
+    return [word, b"*" + word[-3:]] + [word[:n] + b"*" for n in range(3, min(8, len(word)) + 1)]
 
 
-def _sampled(rows: DataFrame, toxic: int, most: int) -> DataFrame:
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    return rows.where(F.col("toxic") == toxic).orderBy(*order).limit(most)
+def _hashed(features: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(f) for f in features], np.uint64).astype(np.int64) & ((1 << BITS) - 1)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many documents of each label a word or beginning occurs."""
-    both = (Counter(), Counter())
-    for batch in batches:
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            both[toxic].update({f for w in set(words_of(text)) for f in features_of(w)})
-    for toxic, counts in enumerate(both):
-        items = list(counts.items())
-        for i in range(0, len(items), 20_000):
-            part = items[i : i + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.string()), pa.array([c * (1 - toxic) for _, c in part], pa.int64()), pa.array([c * toxic for _, c in part], pa.int64())], names=["feature", "n_other", "n_toxic"])
+def _chained(p: np.ndarray, q: np.ndarray, r: np.ndarray, rows: int) -> np.ndarray:
+    """v[i] = (p[i] v[i-1] + q[i]) / (r[i] v[i-1] + 1), with 1 before the first.
+
+    Such maps compose as matrices. So the sequence is cut into columns of `rows` elements: the maps of whole columns
+    first, then what enters each column, then the columns, each step for all columns at once.
+    """
+    p, q, r = (np.ascontiguousarray(v.reshape(-1, rows).T) for v in (p, q, r))
+    enter = np.ones(p.shape[1])
+    if p[0].any() or r[0].any():  # else every column begins with a constant
+        a, b, c, d = np.ones_like(enter), np.zeros_like(enter), np.zeros_like(enter), np.ones_like(enter)
+        for i in range(rows):
+            a, b, c, d = p[i] * a + q[i] * c, p[i] * b + q[i] * d, r[i] * a + c, r[i] * b + d
+            if i % 8 == 7:
+                most = np.maximum(np.maximum(a, b), np.maximum(c, d))
+                a, b, c, d = a / most, b / most, c / most, d / most
+        now = 1.0
+        for j, (aj, bj, cj, dj) in enumerate(zip(a.tolist(), b.tolist(), c.tolist(), d.tolist())):
+            enter[j] = now
+            now = (aj * now + bj) / (cj * now + dj)
+    out, v = np.empty_like(p), enter
+    for i in range(rows):
+        v = out[i] = (p[i] * v + q[i]) / (r[i] * v + 1.0)
+    return out.T.reshape(-1)
+
+
+def marginals(e: np.ndarray, first: np.ndarray, moves: tuple[float, ...], rows: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward ratios of toxic over other, and each token's marginal of being toxic.
+
+    e: the potential of toxic over other of each token; first: where a chain begins. rows: see _chained().
+    """
+    ot, to, tt = np.exp(moves)
+    n = len(e)
+    if not n:
+        return e, e, e
+    rows = rows or math.isqrt(n)
+    x, cut = np.ones(-(-n // rows) * rows), np.ones(-(-n // rows) * rows, bool)
+    x[:n], cut[:n] = e, first
+    forward = _chained(np.where(cut, 0.0, x * tt), np.where(cut, x, x * ot), np.where(cut, 0.0, to), rows)
+    # going back, the value of a token comes from the token after it; 1 where that begins a chain
+    after, ends = np.append(x[1:], 1.0)[::-1], np.append(cut[1:], True)[::-1]
+    back = _chained(np.where(ends, 0.0, after * tt), np.where(ends, 1.0, to), np.where(ends, 0.0, after * ot), rows)[::-1]
+    forward, back = forward[:n], back[:n]
+    odds = forward * back
+    return forward, back, odds / (1.0 + odds)
 
 
 @dataclass
 class Model:
-    lexicon: dict[str, float] = field(default_factory=dict)
-    #: bias, weight of the log odds, weight of being in the lexicon
-    weights: tuple[float, ...] = (-6.0, 1.0, 2.0)
+    #: of each hashed feature
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(1 << BITS, np.float32))
+    bias: float = -6.0
     #: potentials from other to toxic, toxic to other, toxic to toxic (other to other: 0)
     moves: tuple[float, ...] = (0.0, 0.0, 0.0)
-    #: intercept, weight of log(1 + expected toxic tokens), weight of the largest marginal
-    scale: tuple[float, ...] = (-4.0, 2.0, 4.0)
-
-    def odds(self, word: bytes) -> float:
-        return max((self.lexicon.get(f, 0.0) for f in features_of(word)), default=0.0)
-
-    def potential(self, odds: float) -> float:
-        b, w, k = self.weights
-        return math.exp(max(-30.0, min(30.0, b + (w * odds + k if odds > 0 else 0.0))))
-
-    def marginals(self, e: list[float]) -> list[float]:
-        """Of each token being toxic; e: the potential of toxic over other of each. Ratios pass along the chain."""
-        ot, to, tt = (math.exp(x) for x in self.moves)
-        forward, a = [], 0.0
-        for i, x in enumerate(e):
-            a = x if i == 0 else x * (ot + tt * a) / (1.0 + to * a)
-            forward.append(a)
-        out, b = [0.0] * len(e), 1.0
-        for i in range(len(e) - 1, -1, -1):
-            odds = forward[i] * b
-            out[i] = odds / (1.0 + odds)
-            x = e[i] * b
-            b = (to + tt * x) / (1.0 + ot * x)
-        return out
-
-    def score(self, marginals: list[float]) -> float:
+    #: intercept, weights of log(1 + sum of p^2) and of log(1 + sum of -log(1 - p^2))
+    scale: tuple[float, ...] = (-4.0, 2.0, 2.0)
+
+    def of_words(self, words: list[bytes]) -> np.ndarray:
+        """What each word adds to its own potential, to that of the word after it and to that of the word before it."""
+        if not words:
+            return np.zeros((0, 3))
+        own = [features_of(w) for w in words]
+        sums = np.add.reduceat(self.weights[_hashed([f for fs in own for f in fs])].astype(float), np.cumsum([0] + [len(fs) for fs in own])[:-1])
+        return np.stack((sums, self.weights[_hashed([b"<" + w for w in words])], self.weights[_hashed([b">" + w for w in words])]), axis=1)
+
+    def potentials(self, parts: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """parts: of_words() of each token in turn."""
+        z = self.bias + parts[:, 0]
+        z[1:] += np.where(first[1:], 0.0, parts[:-1, 1])
+        z[:-1] += np.where(first[1:], 0.0, parts[1:, 2])
+        return np.exp(np.clip(z, -30, 30))
+
+    def score(self, squares: np.ndarray, surely: np.ndarray) -> np.ndarray:
         c, w, k = self.scale
-        counted = [p for p in marginals if p >= _COUNTED]
-        z = c + w * math.log1p(sum(counted)) + k * max(counted, default=0.0)
-        return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, z))))
+        return 1.0 / (1.0 + np.exp(-np.clip(c + w * np.log1p(squares) + k * np.log1p(surely), -40, 40)))
 
 
-def _contexts(shared):
-    """For each occurrence of a candidate: a hash of the words beside it; '' stands for every token."""
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each word with a hash of the words beside it, once a batch and label."""
+    for batch in batches:
+        seen: set[tuple[bytes, int, int]] = set()
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            words = [b"", *words_of(text), b""]
+            for before, w, after in zip(words, words[1:], words[2:]):
+                seen.add((w, xxhash.xxh64_intdigest(before + b" " + after) >> 1, toxic))
+        words, places, labels = zip(*seen) if seen else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in words], pa.string()), pa.array(places, pa.int64()), pa.array(labels, pa.int32())], names=["word", "place", "toxic"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        candidates, known = shared.value, {}
-        for batch in batches:
-            features, places, labels, counts = [], [], [], []
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                words = [b"", *words_of(text), b""]
-                for i in range(1, len(words) - 1):
-                    w = words[i]
-                    hits = known.get(w)
-                    if hits is None:
-                        hits = known[w] = [f for f in features_of(w) if f in candidates]
-                    if hits:
-                        place = xxhash.xxh64_intdigest(words[i - 1] + b" " + words[i + 1]) >> 1
-                        for f in hits:
-                            features.append(f), places.append(place), labels.append(toxic), counts.append(1)
-                features.append(""), places.append(0), labels.append(toxic), counts.append(len(words) - 2)
-            yield pa.RecordBatch.from_arrays([pa.array(features, pa.string()), pa.array(places, pa.int64()), pa.array(labels, pa.int32()), pa.array(counts, pa.int64())], names=["feature", "place", "toxic", "n"])
 
-    return run
+def _entries(n_other: int, n_toxic: int, tried: int):
+    """The entries among some words with their numbers of contexts: whole words first, then shorter and shorter beginnings."""
+    base = n_toxic / (n_toxic + n_other)
 
+    def telling(o: int, t: int) -> bool:
+        gain = t * math.log(t / (t + o) / base) + (o * math.log(o / (t + o) / (1 - base)) if o else 0.0)
+        return gain >= math.log(tried + 1) + 3 and math.log((t + 0.5) / (n_toxic + 1)) - math.log((o + 0.5) / (n_other + 1)) >= LEAST_ODDS
+
+    def run(words: pa.Table) -> pa.Table:
+        left = list(zip(words.column("word").to_pylist(), words.column("o").to_pylist(), words.column("t").to_pylist()))
+        found = []
+        for n in (0, *BEGINNINGS):  # 0: whole words
+            sums: dict[str, list[int]] = {}
+            for w, o, t in left:
+                if len(w) >= n:
+                    s = sums.setdefault(w[:n] if n else w, [0, 0, 0])
+                    s[0], s[1], s[2] = s[0] + o, s[1] + t, s[2] + (t > 0)
+            new = {x for x, (o, t, kinds) in sums.items() if t >= 2 and kinds >= (SHARED if n else 1) and telling(o, t)}
+            found += [(x, n) for x in new]
+            left = [x for x in left if len(x[0]) < n or (x[0][:n] if n else x[0]) not in new]
+        return pa.table([pa.array([x for x, _ in found], pa.string()), pa.array([n for _, n in found], pa.int32())], names=["entry", "n"])
 
-def _scored_features(counts: DataFrame, n_other: int, n_toxic: int) -> DataFrame:
-    """counts: feature, o, t (in how many other and toxic ones). Adds its log likelihood ratio and its log odds."""
-    base = n_toxic / (n_toxic + n_other)
-    share = F.col("t") / (F.col("t") + F.col("o"))
-    gain = F.col("t") * F.log(share / base) + F.when(F.col("o") > 0, F.col("o") * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    odds = F.log((F.col("t") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("o") + 0.5) / (n_other + 1.0))
-    return counts.where("t > 0").select("feature", gain.alias("gain"), odds.alias("odds"))
+    return run
 
 
-def _lexicon(picked: DataFrame, n_other: int, n_toxic: int) -> dict[str, float]:
-    """Features with significantly more toxic contexts, with their log odds.
+def _lexicon(picked: DataFrame) -> tuple[set[str], set[str]]:
+    """Words, and beginnings of words, that have significantly more toxic contexts.
 
-    Documents that are copies of each other, or share passages, aren't independent, so the test isn't on
-    documents: those only give the candidates. It is on distinct contexts, which copies share and toxic words don't.
+    Documents that are copies of each other, or share passages, aren't independent, so counts are of distinct contexts,
+    which copies share and toxic words don't. An entry needs several of them, so the sample bounds their number.
     """
-    counts = saved(picked.mapInArrow(_counts, "feature string, n_other bigint, n_toxic bigint").groupBy("feature").agg(F.sum("n_other").alias("o"), F.sum("n_toxic").alias("t")).where("t >= 2"))
-    tried = counts.count()
-    first = _scored_features(counts, n_other, n_toxic).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("gain"), "feature").limit(LEXICON).collect()
-    shared = picked.sparkSession.sparkContext.broadcast(frozenset(r["feature"] for r in first))
-    places = picked.mapInArrow(_contexts(shared), "feature string, place bigint, toxic int, n bigint")
-    by = places.groupBy("feature", "place", "toxic").agg(F.sum("n").alias("n")).withColumn("n", F.when(F.col("feature") == "", F.col("n")).otherwise(1))
-    by = saved(by.groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("o"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t")))
-    total = by.where("feature = ''").first()
-    found = _scored_features(by.where("feature != ''"), total["o"], total["t"])
-    return {r["feature"]: r["odds"] for r in found.where((F.col("gain") >= math.log(tried + 1) + 3) & (F.col("odds") >= LEAST_ODDS)).collect()}
-
-
-def _odds(shared):
+    places = picked.mapInArrow(_contexts, "word string, place bigint, toxic int").distinct()
+    words = saved(places.groupBy("word").agg(F.count_if(F.col("toxic") == 0).alias("o"), F.count_if(F.col("toxic") == 1).alias("t")))
+    n_other, n_toxic, tried = words.agg(F.coalesce(F.sum("o"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0)), F.count_if(F.col("t") > 1)).first()
+    if not n_other or not n_toxic:
+        return set(), set()
+    # words that share a beginning meet, in one of 64 groups
+    together = F.pmod(F.xxhash64(F.substring("word", 1, min(BEGINNINGS))), F.lit(64))
+    found = words.groupBy(together).applyInArrow(_entries(n_other, n_toxic, tried), "entry string, n int").collect()
+    return {r["entry"] for r in found if not r["n"]}, {r["entry"] for r in found if r["n"]}
+
+
+def _segments(shared):
+    """Segments with a word of the lexicon from toxic documents (kind 1), and all of other documents (kind 0)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        whole, beginnings = shared.value
+        known: dict[bytes, int] = {}
+
+        def listed(word: bytes) -> int:
+            w = word.decode("utf-8", "replace")
+            return int(w in whole or any(w[:n] in beginnings for n in BEGINNINGS if len(w) >= n))
+
         for batch in batches:
-            odds = [[model.odds(w) for w in words_of(t)] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(odds, pa.list_(pa.float64()))], names=["toxic", "odds"])
+            out: dict[int, tuple[int, list[bytes], list[int]]] = {}
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                words = words_of(text)
+                for i in range(0, len(words), SEGMENT):
+                    part = words[i : i + SEGMENT]
+                    if len(known) > REMEMBERED:
+                        known.clear()
+                    flags = [known[w] if w in known else known.setdefault(w, listed(w)) for w in part] if toxic else [0] * len(part)
+                    if not toxic or any(flags):
+                        out[xxhash.xxh64_intdigest(b" ".join(part), toxic) >> 1] = (toxic, part, flags)
+            rows = list(out.values())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(out), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([[w.decode("utf-8", "replace") for w in r[1]] for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows], pa.list_(pa.int32()))],
+                names=["at", "kind", "words", "flags"],
+            )
 
     return run
 
 
-def _fit_field(docs: list[tuple[int, list[float]]], steps: int = 200) -> tuple[tuple[float, ...], tuple[float, ...]]:
-    """Weights and moves of greatest likelihood (less a small square penalty) of the labelled segments."""
-    seen: Counter = Counter()
-    for toxic, odds in docs:
-        for i in range(0, len(odds), SEGMENT):
-            part = odds[i : i + SEGMENT]
-            seen[(toxic if any(part) else 0, tuple(round(x, 2) for x in part))] += 1
-    n, long = len(seen), SEGMENT
-    x, y, live = np.zeros((n, long)), np.zeros((n, long)), np.zeros((n, long), bool)
-    weight = np.array(list(seen.values()), float)
-    for i, (toxic, part) in enumerate(seen):
-        x[i, : len(part)], live[i, : len(part)] = part, True
-        y[i, : len(part)] = [toxic if v > 0 else 0 for v in part]
-    f = np.stack((np.ones_like(x), x, (x > 0).astype(float)), axis=2)
-    theta = np.array([-6.0, 1.0, 2.0, 0.0, 0.0, 0.0])
-    m, v = np.zeros(6), np.zeros(6)
-    total = (weight[:, None] * live).sum()
+def _fit_field(segments: list[tuple[list[bytes], list[int]]], steps: int = STEPS) -> Model:
+    """Weights of greatest likelihood, less a square penalty, of the labelled segments."""
+    model = Model()
+    # each segment fills SEGMENT places; those left over stand alone and don't count
+    number: dict[bytes, int] = {}
+    at, y, live = np.zeros((len(segments), SEGMENT), np.int64), np.zeros((len(segments), SEGMENT)), np.zeros((len(segments), SEGMENT), bool)
+    for i, (words, flags) in enumerate(segments):
+        at[i, : len(words)], y[i, : len(words)], live[i, : len(words)] = [number.setdefault(w, len(number)) for w in words], flags, True
+    first = ~live
+    first[:, 0] = True
+    at, y, live, first = at.ravel(), y.ravel(), live.ravel(), first.ravel()
+    words, linked = list(number), ~first[1:]
+    own = [features_of(w) for w in words]
+    feature, of_word = _hashed([f for fs in own for f in fs]), np.repeat(np.arange(len(own)), [len(fs) for fs in own])
+    before, after = _hashed([b"<" + w for w in words]), _hashed([b">" + w for w in words])
+    used, where = np.unique(np.concatenate((feature, before, after)), return_inverse=True)
+    feature, before, after = np.split(where, [len(feature), len(feature) + len(before)])
+    n, k = len(words), len(used)
+    # the features' weights, the bias, the three moves
+    theta = np.zeros(k + 4)
+    theta[k] = model.bias
+    m, v = np.zeros(k + 4), np.zeros(k + 4)
+    prior = np.append(np.full(k, 0.5), (0.0, 0.5, 0.5, 0.5))
     for step in range(1, steps + 1):
-        e = np.exp(np.clip(f @ theta[:3], -30, 30))
-        move = np.array([[1.0, math.exp(theta[3])], [math.exp(theta[4]), math.exp(theta[5])]])
-        emit = np.stack((np.ones_like(e), e), axis=2)
-        alpha, beta = np.zeros((n, long, 2)), np.ones((n, long, 2))
-        alpha[:, 0] = emit[:, 0] / emit[:, 0].sum(axis=1, keepdims=True)
-        for t in range(1, long):
-            a = (alpha[:, t - 1] @ move) * emit[:, t]
-            alpha[:, t] = np.where(live[:, t, None], a / a.sum(axis=1, keepdims=True), alpha[:, t - 1])
-        for t in range(long - 2, -1, -1):
-            b = (emit[:, t + 1] * beta[:, t + 1]) @ move.T
-            beta[:, t] = np.where(live[:, t + 1, None], b / b.sum(axis=1, keepdims=True), beta[:, t + 1] if t + 1 < long - 1 else 1.0)
-            beta[:, t] = np.where(live[:, t + 1, None], beta[:, t], 1.0)
-        p = alpha * beta
-        p = p[:, :, 1] / p.sum(axis=2)
-        pair = alpha[:, :-1, :, None] * move * (emit[:, 1:] * beta[:, 1:])[:, :, None, :]
-        pair /= pair.sum(axis=(2, 3), keepdims=True)
-        both = (live[:, 1:] & live[:, :-1]) * weight[:, None]
-        grad = np.empty(6)
-        grad[:3] = np.einsum("n,nt,ntk->k", weight, (y - p) * live, f)
-        for k, (i, j) in enumerate(((0, 1), (1, 0), (1, 1))):
-            got = (y[:, :-1] == i) & (y[:, 1:] == j)
-            grad[3 + k] = (both * (got - pair[:, :, i, j])).sum()
-        grad = grad / max(1.0, total) * 100 - 0.002 * theta
+        w = theta[:k]
+        z = theta[k] + np.bincount(of_word, w[feature], n)[at]
+        z[1:] += np.where(linked, w[before][at[:-1]], 0.0)
+        z[:-1] += np.where(linked, w[after][at[1:]], 0.0)
+        e = np.exp(np.clip(z, -30, 30))
+        forward, back, p = marginals(e, first, tuple(theta[k + 1 :]), SEGMENT)
+        miss = (y - p) * live
+        grad = np.empty(k + 4)
+        grad[:k] = np.bincount(feature, np.bincount(at, miss, n)[of_word], k)
+        grad[:k] += np.bincount(before, np.bincount(at[:-1][linked], miss[1:][linked], n), k) + np.bincount(after, np.bincount(at[1:][linked], miss[:-1][linked], n), k)
+        grad[k] = miss.sum()
+        ot, to, tt = np.exp(theta[k + 1 :])
+        a, eb = forward[:-1][linked], (e[1:] * back[1:])[linked]
+        pairs = np.stack((ot * eb, to * a, tt * a * eb)) / (1.0 + ot * eb + to * a + tt * a * eb)
+        u, t = y[:-1][linked], y[1:][linked]
+        grad[k + 1 :] = [((1 - u) * t).sum() - pairs[0].sum(), (u * (1 - t)).sum() - pairs[1].sum(), (u * t).sum() - pairs[2].sum()]
+        grad -= prior * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return tuple(theta[:3]), tuple(theta[3:])
+        theta += 0.2 * (1 - (step - 1) / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    model.weights[used] = theta[:k]
+    model.bias, model.moves = float(theta[k]), tuple(theta[k + 1 :].tolist())
+    return model
 
 
-def _fit_scale(model: Model, docs: list[tuple[int, list[float]]]) -> tuple[float, ...]:
-    """Logistic regression of the label on what a document's marginals add up to."""
-    rows = []
-    for _, odds in docs:
-        p = [x for x in model.marginals([model.potential(v) for v in odds]) if x >= _COUNTED] if any(odds) else []
-        rows.append((1.0, math.log1p(sum(p)), max(p, default=0.0)))
-    x, y = np.array(rows), np.array([t for t, _ in docs], float)
+def _fit_scale(rows: list[tuple[int, float, float]]) -> tuple[float, ...]:
+    """Logistic regression of the label on what a document's marginals add up to: (toxic, squares, surely)."""
+    x, y = np.array([(1.0, math.log1p(s), math.log1p(m)) for _, s, m in rows]), np.array([t for t, _, _ in rows], float)
     w = np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = x.T @ (x * (p * (1 - p))[:, None]) + 0.02 * np.eye(3)
         w = w + np.linalg.solve(h, x.T @ (y - p) - 0.02 * w)
-    return tuple(w)
+    return tuple(w.tolist())
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic. Only rows that in_train() allows are looked at.
 
-    Without toxic or without other labelled documents the model knows no word and scores every text alike.
+    Without toxic or without other labelled documents, or without a word that tells them apart, the model knows no word
+    and scores all texts nearly alike. Of several labels of one id the larger counts; labels other than 0 and 1, null
+    ids and ids without a document are left out. Rows of docs that share an id all have its label.
     """
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.where(in_train(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    ids = [r.asDict() for kind, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_OTHER)) for r in _sampled(known, kind, most).collect()]  # bounded
-    n_toxic = sum(r["toxic"] for r in ids)
-    n_other = len(ids) - n_toxic
-    if not n_toxic or not n_other:
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    sample = lambda kind, most: known.where(F.col("toxic") == kind).orderBy(*order).limit(most)
+    ids = [(r["doc_id"], r["toxic"]) for r in sample(1, SAMPLE_TOXIC).union(sample(0, SAMPLE_OTHER)).collect()]  # bounded
+    if len({t for _, t in ids}) < 2:
         return Model()
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int"
-    picked = docs.select("doc_id", "text").join(F.broadcast(spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in ids], schema)), "doc_id").select("doc_id", "text", "toxic")
-    model = Model(lexicon=_lexicon(picked.select("text", "toxic"), n_other, n_toxic))
-    few = [r for kind in (1, 0) for r in [r for r in ids if r["toxic"] == kind][:SAMPLE_FIELD]]
-    some = docs.select("doc_id", "text").join(F.broadcast(spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in few], schema)), "doc_id").select("text", "toxic")
-    rows = [(r["toxic"], r["odds"]) for r in some.mapInArrow(_odds(spark.sparkContext.broadcast(model)), "toxic int, odds array<double>").collect()]
-    model.weights, model.moves = _fit_field(rows)
-    model.scale = _fit_scale(model, rows)
+    chosen = spark.createDataFrame(ids, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int")
+    picked = saved(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
+    segments = picked.mapInArrow(_segments(spark.sparkContext.broadcast(_lexicon(picked))), "at bigint, kind int, words array<string>, flags array<int>").dropDuplicates(["at"])
+    segments = saved(segments)
+    of_kind = lambda kind: segments.where(F.col("kind") == kind).orderBy("at").limit(SEGMENTS)
+    rows = of_kind(1).union(of_kind(0)).collect()  # bounded, in words too
+    if not any(r["kind"] for r in rows):
+        return Model()
+    model = _fit_field([([w.encode() for w in r["words"]], r["flags"]) for r in rows])
+    sums = picked.select(F.col("toxic").alias("doc_id"), "text").mapInArrow(_tagged(spark.sparkContext.broadcast(model), _sums), "doc_id int, squares double, surely double")
+    model.scale = _fit_scale([tuple(r) for r in sums.collect()])  # three numbers a document of the sample
     return model
 
 
-_CACHES: dict[int, "_Odds"] = {}
-
+class _Words(dict):
+    """Word to row of `table`; rows of new words are filled in by settle()."""
 
-class _Odds(dict):
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
+        self.model, self.table, self.fresh = model, np.zeros((0, 3)), []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        self.fresh.append(word)
+        return at
 
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= REMEMBERED:
+    def parts(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > REMEMBERED:
             self.clear()
-        self[word] = found = self.model.odds(word)
-        return found
+            self.table = np.zeros((0, 3))
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.fresh:
+            self.table, self.fresh = np.concatenate((self.table, self.model.of_words(self.fresh))), []
+        return self.table[at]
 
 
-def _spans(text: str, words: list[bytes], at: list[int]) -> list[dict]:
-    """Code-point offsets of the words numbered `at`. Lower-casing that changes lengths is undone per character."""
-    low = [c.lower() for c in text]
-    raw = "".join(low).encode("utf-8", "surrogatepass").translate(_LETTERS)
-    starts, i = [], 0
-    for w in words:
-        i = raw.index(w, i)
-        starts.append(i)
-        i += len(w)
-    sizes = np.cumsum([0] + [len(c.encode("utf-8", "surrogatepass")) for c in low])
-    return [{"start": int(np.searchsorted(sizes, starts[k], "right")) - 1, "end": int(np.searchsorted(sizes, starts[k] + len(words[k]), "left"))} for k in at]
+_CACHES: dict[int, _Words] = {}
+
 
+def _tagged(shared, finish):
+    """Marginals of every token of every text, and what `finish` makes of them: further columns beside doc_id."""
 
-def _scored(shared, with_spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         if id(model) not in _CACHES:
             _CACHES.clear()
-            _CACHES[id(model)] = _Odds(model)
-        odds = _CACHES[id(model)]
-        clean = model.score([])
-        potentials: dict[float, float] = {}
+            _CACHES[id(model)] = _Words(model)
+        known = _CACHES[id(model)]
         for batch in batches:
-            scores, spans = [], []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                values = list(map(odds.__getitem__, words))
-                # a text without any word of the lexicon: every potential is the bias, no marginal is counted
-                if not any(values):
-                    scores.append(clean), spans.append([])
-                    continue
-                p = model.marginals([potentials.get(v) or potentials.setdefault(v, model.potential(v)) for v in values])
-                scores.append(model.score(p))
-                at = [i for i, x in enumerate(p) if x >= OFFENDING] if with_spans else []
-                spans.append([{**s, "marginal": p[i]} for s, i in zip(_spans(text, words_of("".join(c.lower() for c in text)), at), at)] if at else [])
-            out = [batch.column("doc_id"), pa.array(scores, pa.float64())]
-            if with_spans:
-                out.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))))
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "score", "spans"][: len(out)])
+            texts = batch.column("text").to_pylist()
+            i = 0
+            while i < len(texts):
+                words, cuts = [], [0]
+                while i + len(cuts) - 1 < len(texts) and (len(cuts) == 1 or len(words) < AT_ONCE):
+                    words += words_of(texts[i + len(cuts) - 1])
+                    cuts.append(len(words))
+                part, cuts = slice(i, i + len(cuts) - 1), np.array(cuts)
+                first = np.zeros(len(words), bool)
+                first[cuts[:-1][cuts[:-1] < len(words)]] = True
+                p = marginals(model.potentials(known.parts(words), first), first, model.moves)[2] if words else np.zeros(0)
+                made = finish(model, texts[part], p, cuts)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, len(cuts) - 1), *made.values()], names=["doc_id", *made])
+                i = part.stop
+            if not texts:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(made := finish(model, [], np.zeros(0), np.zeros(1, np.int64))).values()], names=["doc_id", *made])
 
     return run
 
 
+def _both(p: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of p^2 and of -log(1 - p^2) over each text; 0 for a text without words."""
+    some = np.flatnonzero(cuts[1:] > cuts[:-1])
+    squares, surely = np.zeros(len(cuts) - 1), np.zeros(len(cuts) - 1)
+    if len(some):
+        p2 = p * p
+        squares[some], surely[some] = np.add.reduceat(p2, cuts[some]), np.add.reduceat(-np.log1p(-np.minimum(p2, 1 - 1e-6)), cuts[some])
+    return squares, surely
+
+
+def _sums(model: Model, texts, p: np.ndarray, cuts: np.ndarray) -> dict[str, pa.Array]:
+    squares, surely = _both(p, cuts)
+    return {"squares": pa.array(squares), "surely": pa.array(surely)}
+
+
+def _scores(model: Model, texts, p: np.ndarray, cuts: np.ndarray) -> dict[str, pa.Array]:
+    return {"score": pa.array(model.score(*_both(p, cuts)))}
+
+
+def _scores_and_spans(model: Model, texts, p: np.ndarray, cuts: np.ndarray) -> dict[str, pa.Array]:
+    spans = []
+    for text, a, b in zip(texts, cuts, cuts[1:]):
+        at = np.flatnonzero(p[a:b] >= OFFENDING).tolist()
+        spans.append([{**s, "marginal": float(p[a + i])} for s, i in zip(_spans(text, at), at)] if at else [])
+    return _scores(model, texts, p, cuts) | {"spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())])))}
+
+
+def _spans(text: str, at: list[int]) -> list[dict]:
+    """Code-point offsets of the words numbered `at`. Lower-casing that changes lengths is undone per character."""
+    low = [c.lower() for c in text]
+    raw = "".join(low).encode("utf-8", "surrogatepass").translate(_LETTERS)
+    words, starts, i = raw.split(), [], 0
+    for w in words:
+        i = raw.index(w, i)
+        starts.append(i)
+        i += len(w)
+    sizes = np.cumsum([0] + [len(c.encode("utf-8", "surrogatepass")) for c in low])
+    return [{"start": int(np.searchsorted(sizes, starts[k], "right")) - 1, "end": int(np.searchsorted(sizes, starts[k] + len(words[k]), "left"))} for k in at if k < len(words)]
+
+
 def score(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, score, and spans of offending words (code points, marginal).
 
-    Whole texts are read. Null and empty texts get the score of a text without toxic words. Repeated rows are kept.
+    Whole texts are read. Null, empty and wordless texts have no marginals and get the score of a text without toxic
+    words. Rows alike get the same score and are kept each. Other columns are not read. Empty table: no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = ", spans array<struct<start:bigint,end:bigint,marginal:double>>" if with_spans else ""
-    return docs.select("doc_id", "text").mapInArrow(_scored(spark.sparkContext.broadcast(model), with_spans), f"doc_id {kind}, score double{more}")
+    return docs.select("doc_id", "text").mapInArrow(_tagged(spark.sparkContext.broadcast(model), _scores_and_spans if with_spans else _scores), f"doc_id {kind}, score double{more}")
 
 
 def reject(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The rows of docs, all columns kept, whose text scores below `least`."""
+    """The rows of docs, all columns kept, whose text scores below `least`. Nulls, ties and repeats: as score()."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scored = _scored(shared, False)
+        tagged = _tagged(shared, _scores)
         for batch in batches:
             texts = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column("text")], names=["doc_id", "text"])
-            scores = next(scored(iter([texts]))).column("score").to_numpy()
+            scores = np.concatenate([b.column("score").to_numpy() for b in tagged(iter([texts]))])
             yield batch.filter(pa.array(scores < least))
 
     return docs.mapInArrow(run, docs.schema)

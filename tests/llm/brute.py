@@ -88,3 +88,68 @@ def secrets(text):
     for rank, (kind, pattern, group, least) in enumerate(BASE):
         spans += [(m.start(), rank, kind, m.end()) for m in pattern.finditer(text or "") if len(m[group]) >= least]
     return [(k, a, b) for a, _, k, b in sorted(spans)]
+
+
+def toxicity(text, model, offending=0.5):
+    """Score and number of offending words of one text, token by token, with a fitted model's weights."""
+    import math
+
+    import xxhash
+
+    low = (text or "").lower().encode("utf-8", "surrogatepass")
+    tokens = re.findall(rb"[a-z\x80-\xff]+", low)
+    weight = lambda f: float(model.weights[xxhash.xxh64_intdigest(f) % len(model.weights)])
+    e = []
+    for i, w in enumerate(tokens):
+        z = model.bias + weight(w) + weight(b"*" + w[-3:]) + sum(weight(w[:n] + b"*") for n in range(3, 9) if n <= len(w))
+        z += weight(b"<" + tokens[i - 1]) if i else 0.0
+        z += weight(b">" + tokens[i + 1]) if i + 1 < len(tokens) else 0.0
+        e.append(math.exp(max(-30, min(30, z))))
+    ot, to, tt = (math.exp(m) for m in model.moves)
+    forward = []
+    for i, x in enumerate(e):
+        forward.append(x * (ot + tt * forward[-1]) / (1 + to * forward[-1]) if i else x)
+    squares = surely = n = 0
+    back = 1.0
+    for i in range(len(e) - 1, -1, -1):
+        p = forward[i] * back / (1 + forward[i] * back)
+        squares, surely, n = squares + p * p, surely - math.log1p(-min(p * p, 1 - 1e-6)), n + (p >= offending)
+        back = (to + tt * e[i] * back) / (1 + ot * e[i] * back)
+    c, w, k = model.scale
+    return 1 / (1 + math.exp(-max(-40, min(40, c + w * math.log1p(squares) + k * math.log1p(surely))))), n
+
+
+def language(text, rows, most_n=5, least=2, penalty=-7.0):
+    """The language of one text; rows: texts and languages that are learned from. None: no language is known."""
+    import math
+
+    letters = lambda t: re.findall(r"(?:[a-z]|[^\x00-\x7f])+", (t or "").lower())
+    pad = lambda w, n: [f"\x02{w}\x03"[i : i + n] for i in range(len(w) + 3 - n)] if len(w) + 2 >= n else []
+    if not isinstance(rows, dict):
+        counts = defaultdict(Counter)
+        for t, lang in rows:
+            for w in letters(t):
+                counts[lang, 0][w] += 1
+                for n in range(1, most_n + 1):
+                    counts[lang, n].update(pad(w, n))
+        rows = {}
+        for (lang, n), c in counts.items():
+            total = sum(c.values())
+            rows[lang, n] = {x: max(penalty, math.log10(k / total)) for x, k in c.items() if k >= least}
+    if text is None:
+        return rows
+    langs = sorted({lang for (lang, _), c in rows.items() if c})
+    found = letters(text)
+    if not any(c.isalpha() for w in found for c in w):
+        return "und"
+    score = dict.fromkeys(langs, 0.0)
+    for w in found:
+        units = [w] if any(w in rows[lang, 0] for lang in langs) else None
+        level = 0
+        for n in range(most_n, 0, -1):
+            if units:
+                break
+            units, level = [g for g in pad(w, n) if any(g in rows[lang, n] for lang in langs)], n
+        for lang in langs:
+            score[lang] += sum(rows[lang, level].get(g, penalty) for g in units) / len(units) if units else penalty
+    return min(langs, key=lambda lang: (-round(score[lang] / len(found), 6), lang))

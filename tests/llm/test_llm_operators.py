@@ -344,29 +344,73 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.identify(odd, none).collect()} == {"und"}
 
 
-def test_toxicity(spark):
+@pytest.fixture(scope="module")
+def toxic_model(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    return toxicity.fit(docs, labels)
+
+
+def test_toxicity(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     found = queries.op1_toxicity(spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out").toPandas()
-    assert found[found.toxic == 0].predicted.sum() == 0 and found[found.toxic == 1].predicted.mean() > 0.7
-    model = toxicity.fit(docs, labels)
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "İİ you IDIOT, moron! fine")], "doc_id bigint, text string")
-    got = {r.doc_id: r for r in toxicity.score(odd, model).collect()}
-    assert got[1].score == got[2].score < 0.5
+    assert found[found.toxic == 0].predicted.sum() == 0 and found[found.toxic == 1].predicted.mean() > 0.85
+
+
+def test_toxic_words_do_not_blame_clean_ones_that_begin_alike(spark, toxic_model):
+    clean = ["We travel by train.", "The clock and the cloud close slowly.", "Trade and traffic and translation.", "More morning, moral and moreover.", "A path, a pathway, a patient path.", "Discuss the distance to the district.", "An ideal idea of the idiom.", "Stunning students study.", "Worth the work of the world.", "Lose the lock, scan the scale."]
+    foul = ["You are a moron and an idiot.", "trash loser scum", "The worthless clown is pathetic."]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(list(enumerate(clean + foul)), "doc_id bigint, text string"), toxic_model).collect()}
+    assert max(got[i].score for i in range(len(clean))) < 0.3 and not any(got[i].spans for i in range(len(clean)))
+    assert all(got[len(clean) + i].score >= 0.7 for i in range(len(foul)))
+
+
+def test_toxicity_scores_equal_a_loop_over_tokens(spark, toxic_model):
+    """Rows alike, ties, nulls, very long texts and clashing columns among them; the model is the field's, the loop is not."""
+    rng = random.Random(6)
+    vocab = ["trash", "idiot", "moron", "train", "clown", "clock", "ünï", "the", "of"] + words(rng, 50)
+    rows = [(i, " ".join(rng.choices(vocab, k=rng.randrange(1, 60)))) for i in range(300)]
+    rows += [(1, rows[0][1]), (1, rows[0][1]), (400, None), (401, ""), (402, "12 !?"), (403, "the trash of " * 60_000), (404, "x" * 200_000)]
+    got = [(r.doc_id, round(r.score, 9), len(r.spans)) for r in toxicity.score(frame(spark, rows), toxic_model).collect()]
+    want = [(d, *brute.toxicity(t, toxic_model)) for d, t in rows]
+    assert sorted(got) == sorted((d, round(x, 9), n) for d, x, n in want)
+    kept = toxicity.reject(frame(spark, rows), toxic_model, 0.7)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, x, _ in want if x < 0.7)
+
+
+def test_toxic_spans_are_offsets_of_the_original(spark, toxic_model):
     text = "İİ you IDIOT, moron! fine"
-    assert {text[s.start : s.end].lower() for s in got[3].spans} <= {"idiot", "moron"}
-    assert toxicity.score(odd, toxicity.fit(docs, labels.limit(0))).count() == 3
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, text)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in toxicity.score(odd, toxic_model).collect()}
+    assert got[1].score == got[2].score < 0.5
+    assert [text[s.start : s.end] for s in got[3].spans] == ["IDIOT", "moron"]
+
+
+def test_toxicity_labels_repeated_unknown_or_absent(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
+    odd = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
+    for few in (labels.limit(0), labels.where("toxic = 0"), labels.withColumn("toxic", F.lit(None).cast("int")), labels.withColumn("toxic", F.lit(7))):
+        assert len({r.score for r in toxicity.score(odd, toxicity.fit(docs, few)).collect()}) >= 1
+    more = labels.union(labels).union(spark.createDataFrame([(None, 1), (10**9, 1)], "doc_id bigint, toxic int")).withColumn("text", F.lit("clash"))
+    a, b = toxicity.fit(docs, labels), toxicity.fit(docs, more)
+    assert np.array_equal(a.weights, b.weights) and a.scale == b.scale
 
 
 def test_marginals_equal_enumeration():
-    model = toxicity.Model(moves=(-1.0, 0.3, 0.7))
-    e = [0.2, 3.0, 0.5, 1.5]
+    moves, rng = (-1.0, 0.3, 0.7), np.random.default_rng(4)
     move = np.exp([[0.0, -1.0], [0.3, 0.7]])
-    total, toxic = 0.0, np.zeros(4)
-    for path in np.ndindex(2, 2, 2, 2):
-        w = np.prod([e[i] if s else 1.0 for i, s in enumerate(path)]) * np.prod([move[a, b] for a, b in zip(path, path[1:])])
-        total += w
-        toxic += w * np.array(path)
-    assert np.allclose(model.marginals(e), toxic / total)
+    chains = [np.exp(rng.normal(0, 2, n)) for n in (4, 1, 7, 2, 6, 1, 5)]
+    want = []
+    for e in chains:
+        total, toxic = 0.0, np.zeros(len(e))
+        for path in np.ndindex(*[2] * len(e)):
+            w = np.prod([e[i] if s else 1.0 for i, s in enumerate(path)]) * np.prod([move[a, b] for a, b in zip(path, path[1:])])
+            total += w
+            toxic += w * np.array(path)
+        want.append(toxic / total)
+    first = np.concatenate([np.arange(len(e)) == 0 for e in chains])
+    for rows in (0, 1, 3, 26, 40):
+        assert np.allclose(toxicity.marginals(np.concatenate(chains), first, moves, rows)[2], np.concatenate(want))
 
 
 def test_license_inheritance(spark):
