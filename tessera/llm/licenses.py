@@ -2,12 +2,13 @@
 
 Notices are compared as runs of terms (stop words aside), weighted by TF-IDF over the templates: windows as long
 as the template that start at one of its terms, across line breaks; each line; and the whole of a licence file.
-A run needs LEAST_TERMS of a template's terms ('mit' or 'released under' is no licence), but for lines with a cue.
-A run that comes near a template holds terms with LEAST squared of its squared weight, so texts and runs without
-them are left out before scores are summed, and no hit is lost. Of the templates that come near, the one with the
-most of its terms met (squared score times length) is the file's own licence. A directory's licence
-is that of its licence file. A file without its own takes that of the nearest directory above that has one,
-found by joining each distinct directory's ancestors with the licensed directories by path.
+A run counts if its cosine to the template is LEAST or more and it holds LEAST_TERMS of the template's terms, or all of
+them if it has fewer ('mit' or 'released under' is no licence, 'MIT License' is). No other gate stands before the
+scores: a run that comes near a template holds terms with LEAST squared of its squared weight, so texts and runs without
+them are left out first, and no hit is lost. Of the templates that come near, the one with the most of its terms met
+(squared score times length) is the file's own licence. A directory's licence is that of its licence file. A file
+without its own takes that of the nearest directory above that has one, found by joining each distinct directory's
+ancestors with the licensed directories by path.
 """
 
 from __future__ import annotations
@@ -19,20 +20,35 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: Short headers and the telling sentences of licence texts.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Apache License 2.0"),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("GPL-2.0", "Licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -40,13 +56,16 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights: public domain, CC0 1.0."),
     ("Proprietary", "All rights reserved."),
 )
-#: The longer notices of licences that differ from another's by a word or a number. The SQL knows TEMPLATES alone.
-LONGER = tuple(
+#: The notice that four licences share but for a word and a number, and the tag that any file may bear.
+TEMPLATES += tuple(
     (name, f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version {n} of the License")
-    for name, kind, n in (("GPL-2.0", "", 2), ("LGPL-3.0", "Lesser ", 3), ("AGPL-3.0", "Affero ", 3))
+    for name, kind, n in (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3"))
+)
+TEMPLATES += tuple(
+    (name, f"SPDX-License-Identifier: {name}{end}")
+    for name in sorted({name for name, _ in TEMPLATES} - {"Proprietary"})
+    for end in (("", "-only", "-or-later") if "GPL" in name else ("",))
 )
-#: A line counts with fewer than LEAST_TERMS of a template's terms if its lower-cased text holds one of these.
-CUES = ("licen", "copyright", "rights reserved", "public domain", "permission is hereby granted", "redistribution", "creative commons", "gnu general")
 STOP = frozenset("a an and any are as at be by for from in into is it its of on or that the this to was with you your work".split())
 LEAST = 0.6
 LEAST_TERMS = 3
@@ -88,12 +107,11 @@ def _telling(rows, least: float) -> list[str]:
 def own_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
     """files: path, text. Returns path, licence, score for files with a run of terms that comes near a template."""
     spark = files.sparkSession
-    every = TEMPLATES + LONGER
-    rows, idf, unknown = template_weights(every)
+    rows, idf, unknown = template_weights()
     weights = F.broadcast(spark.createDataFrame([(i, t, w) for i, _, t, w in rows], "template int, term string, weight double"))
     idfs = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
-    table = [(i, name, len(terms_of(text)), {t: w * w for k, _, t, w in rows if k == i}) for i, (name, text) in enumerate(every)]
-    templates = F.broadcast(spark.createDataFrame(table, "template int, licence string, n int, squares map<string,double>").withColumn("own", F.map_keys("squares")))
+    table = [(i, name, len(terms_of(text)), {t: w * w for k, _, t, w in rows if k == i}) for i, (name, text) in enumerate(TEMPLATES)]
+    templates = F.broadcast(spark.createDataFrame(table, "template int, licence string, n int, squares map<string,double>").withColumn("own", F.map_keys("squares")))  # fixed size
 
     def near(terms) -> F.Column:
         """By Cauchy and Schwarz no run of terms scores more than the root of this share."""
@@ -105,17 +123,14 @@ def own_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
 
     telling = "|".join(map(re.escape, _telling(rows, least)))
     texts = files.select("path", F.lower("text").alias("low")).where(F.rlike("low", F.lit(f"(?<![a-z0-9])(?:{telling})(?![a-z0-9])")))
-    cued = F.filter(F.split("low", "\n"), lambda c: F.rlike(c, F.lit("|".join(CUES))))
-    texts = texts.select("path", F.transform(F.split("low", "\n"), words).alias("lines"), F.transform(cued, words).alias("cued"))
-    texts = texts.withColumn("terms", F.flatten("lines"))
+    texts = texts.select("path", F.transform(F.split("low", "\n"), words).alias("lines")).withColumn("terms", F.flatten("lines"))
     texts = texts.withColumn("held", F.array_intersect(F.array(*[F.lit(t) for t in sorted(idf)]), F.col("terms")))
     both = texts.join(templates, near(F.col("held")))
     start = lambda i: F.greatest(F.lit(1), F.least(i + 1, F.size("terms") - F.col("n") + 1))
     windows = F.filter(F.transform("terms", lambda t, i: F.when(F.array_contains("own", t), F.slice("terms", start(i), F.col("n")))), lambda w: w.isNotNull())
     whole = F.when(F.rlike(_name(F.col("path")), F.lit(LICENSE_FILE)), F.array("terms")).otherwise(F.array().cast("array<array<string>>"))
-    enough = lambda run: near(run) & (F.size(F.array_intersect(F.col("own"), run)) >= LEAST_TERMS)
-    runs = F.concat(F.filter("cued", near), F.filter(F.concat("lines", windows, whole), enough))
-    runs = both.select("path", "template", "licence", "n", F.explode(runs).alias("run"))
+    enough = lambda run: near(run) & (F.size(F.array_intersect(F.col("own"), run)) >= F.least(F.lit(LEAST_TERMS), F.size("own")))
+    runs = both.select("path", "template", "licence", "n", F.explode(F.filter(F.concat("lines", windows, whole), enough)).alias("run"))
     runs = runs.withColumn("at", F.xxhash64("run")).dropDuplicates(["path", "template", "at"])
     tf = runs.select("path", "template", "licence", "n", "at", F.explode("run").alias("term")).groupBy("path", "template", "licence", "n", "at", "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = tf.join(idfs, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown))).join(weights, ["template", "term"], "left")
@@ -138,10 +153,11 @@ def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     """files: path, text. Returns path, licence, score, basis ('own', 'inherited' or null) and source (a directory).
 
     Null or empty texts have no licence of their own. Rows that share a path are one file: its best run of terms
-    counts. Of equally near templates the first licence by name is taken, of several licence files of a directory the
-    nearest to a template. A null path gets no licence.
+    counts, and each row has its result. Of equally near templates the first licence by name is taken, of several
+    licence files of a directory the nearest to a template. A null path gets no licence. Other columns are not read.
+    Texts are read once: what is found is written before it is used for files and for directories.
     """
-    own = own_licences(files.where("path IS NOT NULL"), least)
+    own = saved(own_licences(files.where("path IS NOT NULL"), least))
     ranked = F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")
     licensed = own.where(F.rlike(_name(F.col("path")), F.lit(LICENSE_FILE))).groupBy(_directory(F.col("path")).alias("above")).agg(ranked).select("above", F.col("b.licence").alias("up_licence"), (-F.col("b.s")).alias("up_score"))
     # inheritance is resolved once a directory, however many files it holds
@@ -160,8 +176,8 @@ def oracle_values() -> dict[str, str]:
     rows, idf, unknown = template_weights()
     return {
         "templates": ", ".join(f"({i}, '{n}', '{t}', {w!r}::DOUBLE)" for i, n, t, w in rows),
+        "lengths": ", ".join(f"({i}, {len(terms_of(text))})" for i, (_, text) in enumerate(TEMPLATES)),
         "idf": ", ".join(f"('{t}', {w!r}::DOUBLE)" for t, w in sorted(idf.items())),
         "unknown": f"{unknown!r}::DOUBLE",
-        "cues": "|".join(CUES),
         "stop": ", ".join(f"'{s}'" for s in sorted(STOP)),
     }

@@ -103,13 +103,22 @@ ORACLES = {
 WITH f AS (
   SELECT text, CASE WHEN doc_id % 4096 = 0 THEN top || '/LICENSE' WHEN doc_id % 64 = 0 THEN top || '/' || (doc_id // 64) || '/LICENSE' ELSE top || '/' || (doc_id // 64) || '/' || doc_id || '.txt' END AS path
   FROM (SELECT *, coalesce(source, '') || '/' || (doc_id // 4096) AS top FROM documents)
-), t(template, licence, term, weight) AS (VALUES {_L["templates"]}), i(term, idf) AS (VALUES {_L["idf"]}),
-l AS (SELECT DISTINCT path, line FROM (SELECT path, unnest(string_split(text, chr(10))) AS line FROM f) WHERE regexp_matches(lower(line), '{_L["cues"]}')),
-w AS (SELECT path, line, regexp_replace(term, '^[.-]+|[.-]+$', '', 'g') AS term FROM (SELECT path, line, unnest(regexp_split_to_array(lower(line), '[^a-z0-9.-]+')) AS term FROM l)),
-tf AS (SELECT path, line, w.term, count(*) * coalesce(any_value(idf), {_L["unknown"]}) AS w FROM w LEFT JOIN i ON i.term = w.term WHERE w.term <> '' AND w.term NOT IN ({_L["stop"]}) GROUP BY ALL),
-n AS (SELECT path, line, sqrt(sum(w * w)) AS norm FROM tf GROUP BY ALL),
-s AS (SELECT path, licence, round(sum(w * weight) / any_value(norm), 6) AS score FROM tf JOIN t USING (term) JOIN n USING (path, line) GROUP BY path, line, template, licence HAVING round(sum(w * weight) / any_value(norm), 6) >= {licenses.LEAST}),
-own AS (SELECT path, licence, score FROM s QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, licence) = 1),
+), t(template, licence, term, weight) AS (VALUES {_L["templates"]}), m(template, n) AS (VALUES {_L["lengths"]}), i(term, idf) AS (VALUES {_L["idf"]}),
+o AS (SELECT template, n, any_value(licence) AS licence, list(term) AS own FROM t JOIN m USING (template) GROUP BY template, n),
+g AS (
+  SELECT path, list_transform(string_split(lower(text), chr(10)), lambda x: list_filter(list_transform(regexp_split_to_array(x, '[^a-z0-9.-]+'), lambda y: regexp_replace(y, '^[.-]+|[.-]+$', '', 'g')), lambda y: y <> '' AND y NOT IN ({_L["stop"]}))) AS lines
+  FROM f WHERE text IS NOT NULL
+), w AS (SELECT path, lines, flatten(lines) AS terms FROM g),
+p AS (SELECT path, terms, unnest(terms) AS term, unnest(range(1, len(terms) + 1)) AS i FROM w),
+r0 AS (
+  SELECT path, template, n, own, licence, run FROM (SELECT path, unnest(lines) AS run FROM w) CROSS JOIN o
+  UNION ALL SELECT path, o.template, n, own, o.licence, terms[greatest(1, least(i, len(terms) - n + 1)) : greatest(1, least(i, len(terms) - n + 1)) + n - 1] FROM p JOIN t ON t.term = p.term JOIN o ON o.template = t.template
+  UNION ALL SELECT path, template, n, own, licence, terms FROM w CROSS JOIN o WHERE path LIKE '%/LICENSE'
+), r1 AS (SELECT DISTINCT path, template, n, licence, run FROM r0 WHERE len(list_intersect(own, run)) >= least({licenses.LEAST_TERMS}, len(own))),
+tf AS (SELECT path, template, n, licence, run, term, count(*) AS tf FROM (SELECT *, unnest(run) AS term FROM r1) GROUP BY ALL),
+v AS (SELECT tf.*, tf * coalesce(idf, {_L["unknown"]}) AS w, coalesce(weight, 0) AS weight FROM tf LEFT JOIN i ON i.term = tf.term LEFT JOIN t ON t.term = tf.term AND t.template = tf.template),
+s AS (SELECT path, n, licence, round(sum(w * weight) / sqrt(sum(w * w)), 6) AS score FROM v GROUP BY path, template, n, licence, run),
+own AS (SELECT path, licence, score FROM s WHERE score >= {licenses.LEAST} QUALIFY row_number() OVER (PARTITION BY path ORDER BY round(score * score * n, 6) DESC, score DESC, licence) = 1),
 up AS (SELECT regexp_replace(path, '/[^/]*$', '') AS above, licence, score FROM own WHERE path LIKE '%/LICENSE'),
 r AS (
   SELECT f.path, own.licence, own.score, up.above, up.licence AS up_licence, up.score AS up_score,

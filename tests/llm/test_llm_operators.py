@@ -424,17 +424,61 @@ def test_license_inheritance(spark):
     assert got["d/e.txt"] == ("CC-BY-NC-4.0", "inherited", "") and got["top.txt"][0] == "CC-BY-NC-4.0" and got[None] == (None, None, None)
 
 
+GPL = "#  This program is free software; you can redistribute it and/or modify\n#  it under the terms of the GNU {}General Public License as published by\n#  the Free Software Foundation; either version {} of the License, or\n#  (at your option) any later version.\n"
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+BSD = """Copyright (c) 2020, Someone. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice.
+"""
+BSD_3 = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
 def test_license_notices_wrapped_and_embedded(spark):
-    gpl = "#  This program is free software; you can redistribute it and/or modify\n#  it under the terms of the GNU {}General Public License as published by\n#  the Free Software Foundation; either version {} of the License, or\n#  (at your option) any later version.\n"
     rows = [
         ("mpl", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */", "MPL-2.0"),
         ("bsd", "// Copyright 2009 The Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n", "BSD-3-Clause"),
         ("long", f"{'alpha beta ' * 10}Licensed under the Apache License, Version 2.0. {'gamma delta ' * 10}", "Apache-2.0"),
-        ("gpl2", gpl.format("", 2), "GPL-2.0"), ("gpl3", gpl.format("", 3), "GPL-3.0"), ("lgpl3", gpl.format("Lesser ", 3), "LGPL-3.0"), ("agpl3", gpl.format("Affero ", 3), "AGPL-3.0"),
+        ("gpl2", GPL.format("", 2), "GPL-2.0"), ("gpl3", GPL.format("", 3), "GPL-3.0"), ("lgpl2", GPL.format("Lesser ", "2.1"), "LGPL-2.1"), ("lgpl3", GPL.format("Lesser ", 3), "LGPL-3.0"), ("agpl3", GPL.format("Affero ", 3), "AGPL-3.0"),
         ("short", "Licensed under the GNU\nGeneral Public License,\nversion 2.", "GPL-2.0"), ("d/COPYING", "Released\nunder the\nMIT License", "MIT"), ("none", "the right to reserve all of it, under the code of use", None),
+        ("mit", MIT, "MIT"), ("bsd2", BSD, "BSD-2-Clause"), ("bsd3", BSD + BSD_3, "BSD-3-Clause"), ("mit_named", "int x; // Licensed under the MIT License, version 2.0", "MIT"), ("bsd_named", "BSD 3-Clause License\n\nCopyright", "BSD-3-Clause"),
+        ("head2", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n", "GPL-2.0"), ("head3", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n", "GPL-3.0"),
+        ("apache", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n", "Apache-2.0"),
     ]
+    rows += [(f"spdx{i}", f"// SPDX-License-Identifier: {tag}\nint main() {{}}", want) for i, (tag, want) in enumerate([("Apache-2.0", "Apache-2.0"), ("MIT", "MIT"), ("GPL-2.0-only", "GPL-2.0"), ("GPL-3.0-or-later", "GPL-3.0"), ("BSD-3-Clause", "BSD-3-Clause"), ("Unheard-1.0", None)])]
+    # lines without any word that only licences use, once lost
+    rows += [("cue1", "Use of this source code is governed by a BSD-style", "BSD-3-Clause"), ("cue2", "This program is free software: you can redistribute it and/or modify", "GPL"), ("cue3", "any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "MIT")]
     got = {r.path: r.licence for r in licenses.own_licences(spark.createDataFrame([r[:2] for r in rows], "path string, text string")).collect()}
-    assert {p: got.get(p) for p, _, _ in rows} == {p: want for p, _, want in rows}
+    assert got.pop("cue2", "").find("GPL") >= 0
+    assert {p: got.get(p) for p, _, _ in rows if p != "cue2"} == {p: want for p, _, want in rows if p != "cue2"}
+
+
+def test_license_paths_that_repeat_ties_and_clashing_columns(spark):
+    tie = "Licensed under CC BY-SA 4.0.\nLicensed under CC BY-NC 4.0."
+    rows = [("a/LICENSE", tie), ("a/x", ""), ("a/x", ""), ("b/c", "nothing"), ("b/c", "MIT License"), ("b/LICENSE", "Licensed under CC BY 4.0."), ("b/COPYING", "This is licensed under the CC BY-SA 4.0 thing."), ("b/d", None)]
+    files = spark.createDataFrame(rows, "path string, text string").withColumns({c: F.lit("clash") for c in ("licence", "score", "folder", "above", "up", "template", "low", "term", "basis")})
+    got = sorted((r.path, r.licence, r.basis) for r in licenses.scan(files).collect())
+    # one length and score: first by name; several licence files: the nearest to a template; rows of one path: one file
+    assert got == sorted([("a/LICENSE", "CC-BY-NC-4.0", "own"), ("a/x", "CC-BY-NC-4.0", "inherited"), ("a/x", "CC-BY-NC-4.0", "inherited"), ("b/c", "MIT", "own"), ("b/c", "MIT", "own"), ("b/LICENSE", "CC-BY-4.0", "own"), ("b/COPYING", "CC-BY-SA-4.0", "own"), ("b/d", "CC-BY-4.0", "inherited")])
 
 
 def test_empty_tables(spark):
