@@ -21,6 +21,7 @@ from ..ship import ship
 WORD = r"[^\x20\x09-\x0D]+"
 
 _BASE = 0x9E3779B97F4A7C15
+_OTHER_BASE = 0xE7037ED1A0B428DB
 _STEP = 0xD6E8FEB86659FD93
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
@@ -86,7 +87,7 @@ _SPACE = np.ones(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-_CODE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_CODE, _OTHER_CODE = np.random.default_rng(20240607).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -151,14 +152,14 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over its bytes by differences of one running sum."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial over its bytes by differences of one running sum. other: a second, independent one."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = powers(_BASE, len(data) + 1)
+    up, down = powers(_OTHER_BASE if other else _BASE, len(data) + 1)
     run = np.empty(len(data) + 1, np.uint64)
     run[0] = 0
-    np.cumsum(_CODE[data] * up[: len(data)], out=run[1:])
+    np.cumsum((_OTHER_CODE if other else _CODE)[data] * up[: len(data)], out=run[1:])
     return mix((run[ends] - run[starts]) * down[starts])
 
 

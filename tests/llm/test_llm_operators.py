@@ -46,6 +46,42 @@ def test_substring_dedup(spark):
     assert sorted(map(tuple, got)) == sorted(brute.substring_dedup(rows))
 
 
+def test_anchors_occur_as_often_as_their_windows():
+    rng = random.Random(21)
+    rows = [words(rng, rng.randrange(0, 90), 12) for _ in range(60)] + [["again"] * 80, ["a", "b"] * 40] + [words(random.Random(3), 60, 50)] * 3
+    for k in (35, 20, 12, 5):
+        texts = pa.array([" ".join(r) for r in rows])
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        times = {}
+        for keys in substring_dedup._keys(k)(batch):
+            for x in keys.tolist():
+                times[x] = times.get(x, 0) + 1
+        places, anchor_of = {}, {}
+        for i, row, pos, anchors, _, _, _ in substring_dedup._windows(texts, k):
+            for r, p, a in zip(row.tolist(), pos.tolist(), anchors.tolist()):
+                w = tuple(rows[i + r][p : p + k])
+                places[w] = places.get(w, 0) + 1
+                assert anchor_of.setdefault(w, a) == a
+        assert sum(places.values()) == sum(max(0, len(r) - k + 1) for r in rows)
+        assert all(times[anchor_of[w]] >= n for w, n in places.items())
+
+
+def test_substring_dedup_with_a_full_sketch(spark, monkeypatch):
+    """A sketch whose every cell has met two keys excludes nothing: the second pass still gets all right."""
+    make = sketch.repeated
+
+    def full(*args):
+        made = make(*args)
+        made.raw = bytearray(b"\xff" * len(made.raw))
+        return made
+
+    monkeypatch.setattr(sketch, "repeated", full)
+    rng = random.Random(22)
+    rows = hard_rows() + [(5000 + i, " ".join(words(rng, 400, 50_000))) for i in range(2000)]
+    got = substring_dedup.with_digest(substring_dedup.remove_repeats(frame(spark, rows))).collect()
+    assert sorted(map(tuple, got)) == sorted(brute.substring_dedup(rows))
+
+
 def test_near_duplicates(spark):
     rows = [r for r in hard_rows() if r != (10, hard_rows()[8][1])]
     got = ngram_join.near_duplicates(frame(spark, rows)).collect()
