@@ -30,11 +30,10 @@ sql(
 sql(
     "regex_functions",
     r"""SELECT doc_id, regexp_extract(text, '([A-Za-z]+)', 1) AS first_word, CAST(regexp_count(text, '[0-9]+') AS BIGINT) AS n_numbers, CAST(size(regexp_extract_all(text, '[A-Z][a-z]+', 0)) AS BIGINT) AS n_caps,
-    regexp_replace(substring(text, 1, 60), '[aeiou]', '_') AS masked, regexp_like(text, 'the [a-z]+ing') AS has_ing, regexp_substr(text, '[0-9]+') AS number FROM documents""",
+    regexp_replace(text, '[aeiou]', '_') AS masked, regexp_like(text, 'the [a-z]+ing') AS has_ing, regexp_substr(text, '[0-9]+') AS number, CAST(regexp_instr(text, '[0-9]+') AS BIGINT) AS number_at FROM documents""",
     r"""SELECT doc_id, regexp_extract(text, '([A-Za-z]+)', 1) AS first_word, len(regexp_extract_all(text, '[0-9]+'))::BIGINT AS n_numbers, len(regexp_extract_all(text, '[A-Z][a-z]+'))::BIGINT AS n_caps,
-    regexp_replace(substring(text, 1, 60), '[aeiou]', '_', 'g') AS masked, regexp_matches(text, 'the [a-z]+ing') AS has_ing, nullif(regexp_extract(text, '[0-9]+'), '') AS number FROM documents""",
+    regexp_replace(text, '[aeiou]', '_', 'g') AS masked, regexp_matches(text, 'the [a-z]+ing') AS has_ing, nullif(regexp_extract(text, '[0-9]+'), '') AS number, CASE WHEN regexp_matches(text, '[0-9]') THEN length(regexp_split_to_array(text, '[0-9]+')[1]) + 1 WHEN text IS NOT NULL THEN 0 END::BIGINT AS number_at FROM documents""",
 )
-#: The whole text masked; the entry above keeps its SQL over the first 60 characters.
 sql(
     "regex_functions_whole_text",
     "SELECT doc_id, regexp_replace(text, '[aeiou]', '_') AS masked FROM documents",
@@ -60,8 +59,11 @@ sql(
 _MATH = """ROUND(sqrt(l_extendedprice), 8) AS sq, ROUND(cbrt(l_quantity), 8) AS cb, ROUND(ln(l_extendedprice), 8) AS ln_, ROUND(log10(l_extendedprice), 8) AS l10, ROUND(log2(l_quantity), 8) AS l2, ROUND(exp(l_discount), 8) AS ex,
     ROUND(sin(l_quantity), 8) AS sn, ROUND(atan2(l_quantity, 3), 8) AS at2, ROUND(degrees(l_discount), 8) AS deg, ROUND(radians(l_quantity), 8) AS rad, ROUND(power(l_quantity, 2), 4) AS pw, abs(l_discount - 1) AS ab, sign(l_discount - 0.05) AS sg,
     CAST(ceil(l_extendedprice) AS BIGINT) AS ce, CAST(floor(l_extendedprice) AS BIGINT) AS fl, greatest(l_discount, l_tax) AS gr, least(l_discount, l_tax) AS le, l_orderkey % 7 AS md, factorial(5) AS fa, round(2.5) AS r"""
-sql("math_functions", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_MATH.replace('factorial(5)', 'CAST(factorial(5) AS BIGINT)').replace('round(2.5)', 'CAST(round(2.5) AS DOUBLE)')} FROM lineitem WHERE l_orderkey < 400", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_MATH.replace('factorial(5)', 'factorial(5)::BIGINT').replace('sign(l_discount - 0.05)', 'sign(l_discount - 0.05)::DOUBLE').replace('round(2.5)', 'round(2.5)::DOUBLE')} FROM lineitem WHERE l_orderkey < 400")
-#: The same over all rows; the entry above keeps its SQL.
+sql(
+    "math_functions",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ROUND(cos(l_quantity), 8) AS co, ROUND(tan(l_discount), 8) AS ta, ROUND(asin(l_discount), 8) AS asi, ROUND(acos(l_tax), 8) AS aco, ROUND(atan(l_quantity), 8) AS ata, ROUND(sinh(l_tax), 8) AS sih,
+    ROUND(cosh(l_discount), 8) AS coh, ROUND(tanh(l_quantity), 8) AS tah, ROUND(cot(l_quantity), 8) AS ct, ROUND(pi() * l_quantity, 8) AS circ, ROUND(l_extendedprice, -2) AS hundreds, -l_tax AS neg, isnan(l_tax) AS nan, l_partkey % 5 AS md FROM lineitem""",
+)
 sql("math_functions_all_rows", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_MATH.replace('factorial(5)', 'CAST(factorial(5) AS BIGINT)').replace('round(2.5)', 'CAST(round(2.5) AS DOUBLE)')} FROM lineitem", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_MATH.replace('factorial(5)', 'factorial(5)::BIGINT').replace('sign(l_discount - 0.05)', 'sign(l_discount - 0.05)::DOUBLE').replace('round(2.5)', 'round(2.5)::DOUBLE')} FROM lineitem")
 sql(
     "math_functions_more",
@@ -99,14 +101,15 @@ def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT vec_id, i::BIGINT AS i, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) t(i) WHERE vec_id < 20")
+@query("SELECT vec_id, v::DOUBLE AS v FROM (SELECT vec_id, unnest(CASE WHEN len(big) > 0 THEN big ELSE [NULL] END) AS v FROM (SELECT vec_id, list_filter(embedding, lambda x: x > 0.25) AS big FROM embeddings))")
 def array_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "embeddings").where("vec_id < 20").select("vec_id", F.posexplode("embedding").alias("i", "v")).select("vec_id", F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("v"))
+    """The large components of each vector; a null for a vector without any."""
+    return load(spark, sf_dir, "embeddings").select("vec_id", F.explode_outer(F.filter("embedding", lambda x: x > 0.25)).alias("v")).select("vec_id", F.col("v").cast("double").alias("v"))
 
 
 @query("SELECT vec_id, (i - 1)::BIGINT AS i, embedding[i]::DOUBLE AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def array_explode_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector; array_explode keeps its SQL over the first 20."""
+    """Every component with its place."""
     return load(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v")).select("vec_id", F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("v"))
 
 
@@ -117,6 +120,34 @@ sql(
 )
 
 
+@query("SELECT p_partkey, [p_size, p_partkey] AS zipped, [p_size, -1, p_partkey] AS inserted, [p_size, p_size] AS twice, p_size::BIGINT AS least, [p_partkey, p_size] AS backwards FROM part")
+def array_functions_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("p_size").cast("int"), F.col("p_partkey").cast("int")
+    pairs = F.arrays_zip(F.array(a).alias("x"), F.array(b).alias("y"))
+    return load(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.array(pairs[0]["x"], pairs[0]["y"]).alias("zipped"),
+        F.array_insert(F.array(a, b), 2, F.lit(-1)).alias("inserted"),
+        F.array_repeat(a, 2).alias("twice"),
+        F.array_min(F.array_compact(F.array(a, F.lit(None).cast("int")))).cast("long").alias("least"),
+        F.reverse(F.array(a, b)).alias("backwards"),
+    )
+
+
+@query("SELECT s_suppkey, [s_nationkey, s_nationkey + 1] AS vals, (s_nationkey * 2 + 1)::BIGINT AS both, s_nationkey::BIGINT AS of_entries, 'a:1' AS text FROM supplier")
+def map_functions_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("s_nationkey").cast("int")
+    m = F.map_from_entries(F.array(F.struct(F.lit("a"), n), F.struct(F.lit("b"), n + 1)))
+    other = F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array(n + 1, n))
+    return load(spark, sf_dir, "supplier").select(
+        "s_suppkey",
+        F.array_sort(F.map_values(m)).alias("vals"),
+        F.element_at(F.map_zip_with(m, other, lambda k, x, y: x + y), "b").cast("long").alias("both"),
+        F.element_at(m, "a").cast("long").alias("of_entries"),
+        F.element_at(F.transform(F.map_entries(F.str_to_map(F.lit("a:1"))), lambda e: F.concat_ws(":", e["key"], e["value"])), 1).alias("text"),
+    )
+
+
 @query("SELECT s_suppkey, 'a' AS k1, s_nationkey::BIGINT AS v1, 2::BIGINT AS n, s_nationkey > 10 AS has_b, (s_nationkey * 2)::BIGINT AS doubled FROM supplier")
 def map_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = load(spark, sf_dir, "supplier")
@@ -144,3 +175,30 @@ sql(
     "SELECT n_nationkey, from_csv(concat_ws(',', CAST(n_nationkey AS STRING), n_name), 'k INT, n STRING').n AS name, to_csv(named_struct('k', n_nationkey, 'r', n_regionkey)) AS csv, from_xml(concat('<p><a>', n_name, '</a></p>'), 'a STRING').a AS x, xpath_string(concat('<p><a>', n_name, '</a></p>'), 'p/a') AS xp FROM nation",
     "SELECT n_nationkey, n_name AS name, n_nationkey || ',' || n_regionkey AS csv, n_name AS x, n_name AS xp FROM nation",
 )
+_SOUND = "translate(upper(c_mktsegment), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230127022455012623010702')"
+_ONCE = f"left({_SOUND}, 1) || replace(substr({_SOUND}, 2), '7', '')"
+for _d in "0123456":
+    _ONCE = f"regexp_replace({_ONCE}, '{_d}+', '{_d}', 'g')"
+sql(
+    "string_functions_search",
+    "SELECT c_custkey, soundex(c_mktsegment) AS sx, CAST(locate('I', c_mktsegment, 2) AS BIGINT) AS lo, array_join(flatten(sentences(concat(c_mktsegment, ' is one. It, ', c_mktsegment, ', is two!'))), '|') AS se, CAST(size(sentences(concat(c_mktsegment, ' is one. It is two.'))) AS BIGINT) AS ns, CAST(char_length(c_name) AS BIGINT) AS cl, CAST(find_in_set(c_mktsegment, concat('x,', c_mktsegment)) AS BIGINT) AS fi FROM customer",
+    f"SELECT c_custkey, left(c_mktsegment, 1) || left(rpad(replace(substr({_ONCE}, 2), '0', ''), 3, '0'), 3) AS sx, CASE WHEN strpos(substr(c_mktsegment, 2), 'I') > 0 THEN strpos(substr(c_mktsegment, 2), 'I') + 1 ELSE 0 END::BIGINT AS lo, c_mktsegment || '|is|one|It|' || c_mktsegment || '|is|two' AS se, 2::BIGINT AS ns, length(c_name)::BIGINT AS cl, 2::BIGINT AS fi FROM customer",
+)
+sql(
+    "date_functions_built",
+    """SELECT o_orderkey, next_day(CAST(o_orderdate AS DATE), 'MON') AS monday, make_timestamp_ntz(year(o_orderdate), 2, 3, 4, 5, 6.5) AS made, CAST(o_orderdate + make_dt_interval(1, 2, 3, 4) AS TIMESTAMP_NTZ) AS later,
+    CAST(weekday(o_orderdate) AS BIGINT) AS wd, to_date(date_format(o_orderdate, 'dd.MM.yyyy'), 'dd.MM.yyyy') AS back FROM orders""",
+    """SELECT o_orderkey, (o_orderdate::DATE + (7 - (isodow(o_orderdate) - 1))::INTEGER)::DATE AS monday, make_timestamp(year(o_orderdate), 2, 3, 4, 5, 6.5) AS made, o_orderdate + INTERVAL '1 day 2 hours 3 minutes 4 seconds' AS later,
+    isodow(o_orderdate) - 1 AS wd, o_orderdate::DATE AS back FROM orders""",
+)
+sql(
+    "json_functions_variant",
+    """SELECT event_id, t.k AS tuple_k, schema_of_json('{"a": 1, "b": ["x"]}') AS sch, variant_get(parse_json(concat('{"n": [', event_id, ', 7]}')), '$.n[1]', 'int') AS second, v.key AS var_key, CAST(v.value AS STRING) AS var_value, schema_of_variant(parse_json('[1]')) AS vs
+    FROM events, LATERAL json_tuple(props, 'k') AS t(k), LATERAL variant_explode(parse_json(concat('{"n": ', event_id, '}'))) AS v""",
+    """SELECT event_id, props->>'$.k' AS tuple_k, 'STRUCT<a: BIGINT, b: ARRAY<STRING>>' AS sch, 7::INTEGER AS second, 'n' AS var_key, event_id::VARCHAR AS var_value, 'ARRAY<BIGINT>' AS vs FROM events""",
+)
+sql(
+    "xml_functions",
+    "SELECT n_nationkey, regexp_replace(to_xml(named_struct('k', n_nationkey, 'n', n_name)), '\\\\s+', '') AS x, array_join(xpath(concat('<p><a>', n_name, '</a><a>z</a></p>'), 'p/a/text()'), ',') AS xs, CAST(xpath_long(concat('<p><a>', n_nationkey, '</a><a>5</a></p>'), 'sum(p/a)') AS BIGINT) AS total, xpath_boolean(concat('<p><a>', n_nationkey, '</a></p>'), 'p/a > 3') AS big FROM nation",
+    "SELECT n_nationkey, '<ROW><k>' || n_nationkey || '</k><n>' || replace(n_name, ' ', '') || '</n></ROW>' AS x, n_name || ',z' AS xs, (n_nationkey + 5)::BIGINT AS total, n_nationkey > 3 AS big FROM nation",
+)

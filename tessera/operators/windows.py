@@ -11,8 +11,8 @@ sql("ranking", "SELECT event_id, CAST(row_number() OVER w AS INT) AS rn, CAST(ra
 sql("distribution", "SELECT event_id, CAST(ntile(7) OVER (PARTITION BY event_type ORDER BY value, event_id) AS INT) AS nt, ROUND(percent_rank() OVER (PARTITION BY event_type ORDER BY value), 8) AS pr, ROUND(cume_dist() OVER (PARTITION BY event_type ORDER BY value), 8) AS cd FROM events")
 sql(
     "offsets",
-    "SELECT event_id, lag(event_id) OVER w AS prev, lead(event_id, 2) OVER w AS next2, first_value(event_id) OVER w AS first_id, nth_value(event_id, 2) OVER w AS second_id, lag(nullif(event_id % 3, 0)) IGNORE NULLS OVER w AS prev_mod FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)",
-    "SELECT event_id, lag(event_id) OVER w AS prev, lead(event_id, 2) OVER w AS next2, first_value(event_id) OVER w AS first_id, nth_value(event_id, 2) OVER w AS second_id, lag(nullif(event_id % 3, 0) IGNORE NULLS) OVER w AS prev_mod FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)",
+    "SELECT event_id, lag(event_id) OVER w AS prev, lead(event_id, 2) OVER w AS next2, first_value(event_id) OVER w AS first_id, nth_value(event_id, 2) OVER w AS second_id, last_value(event_id) OVER w AS last_id, lag(nullif(event_id % 3, 0)) IGNORE NULLS OVER w AS prev_mod FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)",
+    "SELECT event_id, lag(event_id) OVER w AS prev, lead(event_id, 2) OVER w AS next2, first_value(event_id) OVER w AS first_id, nth_value(event_id, 2) OVER w AS second_id, last_value(event_id) OVER w AS last_id, lag(nullif(event_id % 3, 0) IGNORE NULLS) OVER w AS prev_mod FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)",
 )
 sql("rows_frame", "SELECT event_id, CAST(SUM(CAST(value AS DECIMAL(18,6))) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS DOUBLE) AS s, CAST(COUNT(*) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS BIGINT) AS n FROM events")
 sql(

@@ -48,6 +48,10 @@ def sql(name: str, text: str, oracle: str | None = None) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one that the cluster names; a temporary one only where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    """A new folder below the shared one that the cluster names; only a local session may go without, in a temporary one."""
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not shared and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    shared = shared or tempfile.mkdtemp(prefix="spark-")
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"

@@ -46,6 +46,29 @@ def xml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _again(spark, sf_dir, "xml", {"rowTag": "nation"})
 
 
+_HARD = """(VALUES (1, 'plain', 1.5), (2, 'a "quoted" word, and a comma', NULL), (3, NULL, -0.25), (4, 'two' || chr(10) || 'lines', 1e10), (5, 'ünï' || chr(9) || 'tab \\ slash', 0.1)) AS t(k, s, d)"""
+
+
+def _hard_again(spark: SparkSession, kind: str, options: dict) -> DataFrame:
+    """Nulls, quotes, separators, line breaks and letters beyond ASCII, written and read back."""
+    path = scratch(spark)
+    spark.sql(f"SELECT CAST(k AS BIGINT) AS k, s, CAST(d AS DOUBLE) AS d FROM {_HARD}".replace("\\", "\\\\")).write.format(kind).options(**options).save(path)
+    return spark.read.format(kind).schema("k BIGINT, s STRING, d DOUBLE").options(**options).load(path)
+
+
+_HARD_SQL = f"SELECT k::BIGINT AS k, s, d::DOUBLE AS d FROM {_HARD}"
+
+
+@query(_HARD_SQL)
+def csv_hard_values_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hard_again(spark, "csv", {"multiLine": "true", "escape": '"', "header": "true"})
+
+
+@query(_HARD_SQL)
+def json_hard_values_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hard_again(spark, "json", {})
+
+
 @query("SELECT n_name AS value FROM nation")
 def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
@@ -55,9 +78,10 @@ def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_orderpriority, o_orderstatus FROM orders WHERE o_orderstatus = 'P'")
 def partitioned_write_pruned_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows are dealt by the partition column before writing, so that each folder gets few files; the read prunes folders."""
+    """Rows are dealt by the partition column and a salt before writing, so that each folder gets few files but is the work of several tasks; the read prunes folders."""
     path = scratch(spark)
-    load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus").repartition("o_orderstatus").write.partitionBy("o_orderstatus").parquet(path)
+    salt = F.pmod(F.xxhash64("o_orderkey"), F.lit(8))
+    load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus").repartition("o_orderstatus", salt).write.partitionBy("o_orderstatus").parquet(path)
     return spark.read.parquet(path).where("o_orderstatus = 'P'")
 
 
