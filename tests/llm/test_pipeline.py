@@ -4,7 +4,7 @@ import brute
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing
+from tessera.llm import mixing, toxicity
 from tessera.llm.common import saved
 
 SF = "/root/testdata/sf0.001"
@@ -18,7 +18,9 @@ def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     pairs = lambda df: [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
     kept = stage(spark, "toxicity", docs)
-    assert kept.columns == docs.columns and kept.count() <= docs.count()
+    model = toxicity.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic"))
+    fine = {d for d, t in pairs(docs) if brute.toxicity(t, model)[0] < corpus_pipeline.TOXIC}
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(fine) and len(fine) < docs.count()
 
     one = stage(spark, "ngram_jaccard_join", kept)
     want = {d for d, _, c in brute.components(pairs(kept)) if d == c}
@@ -40,6 +42,26 @@ def test_stages(spark):
     plan = {r.doc_id: r.n_copies for r in mixing.mix_plan(safe).collect() if r.n_copies}
     assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == plan
 
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert rows(corpus_pipeline.run(spark, SF)) == rows(mixed)
+
+
+def test_which_of_rows_alike_in_id_and_text_stays_does_not_hang_on_their_order(spark):
+    rows = [(1, "one two three", lang, source, 7) for lang in ("en", "de", None) for source in ("a", "b", None)] + [(2, "other words", "en", "a", 1)]
+    kept = []
+    for k in range(4):
+        docs = spark.createDataFrame(rows[k:] + rows[:k], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(k + 1)
+        kept.append(sorted(map(str, stage(spark, "ngram_jaccard_join", docs).collect())))
+    assert len(kept[0]) == 2 and all(k == kept[0] for k in kept)
+
+
+def test_stages_without_labels_or_benchmark_leave_all_rows(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name in ("toxicity", "benchmark_decontamination"):
+        assert dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path)).count() == docs.count()
+
 
 def test_hard_rows(spark):
     rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, "one two", None, None, 7), (2, "one two", None, None, 7), (2, "other text", "en", "a", 10), (3, "passwd=abcdefghijklmnop", "en", "a", 23), (4, "w " * 60_000, "en", "b", 120_000)]
