@@ -5,7 +5,8 @@ ends). A known word scores by its frequency in each language. For an unseen word
 the first n for which any n-gram of the word is known in any language, the word scores the mean over those
 n-grams. What a language lacks costs it a fixed penalty. A text's score is the mean over its words.
 
-The model is fitted on at most SAMPLE labelled rows a language, those with the smallest hash of the id.
+The model is fitted on at most SAMPLE labelled rows a language, those with the smallest hash of the id, and on no more
+than SAMPLE_BYTES of their texts (the last one whole). That bounds the table of frequencies that the driver gathers.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .common import in_train, small_batches
 
 #: Most labelled rows of each language that the model is fitted on.
 SAMPLE = 2500
+#: Bytes of those rows' texts after which no further row is taken.
+SAMPLE_BYTES = 16 << 20
 #: Least times that a word or n-gram occurs in the sample to be known.
 LEAST = 2
 MOST_N = 5
@@ -102,15 +105,18 @@ class Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Model:
-    """From doc_id, text and lang of rows with neither null."""
+    """From doc_id, text and lang of rows with neither null. Rows that share an id are taken or left together."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     # counts by range of the hash tell where a language's sample ends, so only rows up to there are ranked
     at = F.xxhash64("doc_id")
     ranges = rows.groupBy("lang", F.shiftright(at, 64 - _RANGE_BITS).alias("range")).agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("lang").orderBy("range")) - F.col("n")
     last = ranges.withColumn("before", before).where(F.col("before") < sample).groupBy("lang").agg(F.max("range").alias("last"))
-    few = rows.select("doc_id", "lang", at.alias("at")).join(F.broadcast(last), "lang").where(F.shiftright("at", 64 - _RANGE_BITS) <= F.col("last"))
-    chosen = few.withColumn("_at", F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))).where(F.col("_at") <= sample)
+    few = rows.select("doc_id", "lang", at.alias("at"), F.octet_length("text").cast("long").alias("size")).join(F.broadcast(last), "lang").where(F.shiftright("at", 64 - _RANGE_BITS) <= F.col("last"))
+    order = Window.partitionBy("lang").orderBy("at", "doc_id")
+    chosen = few.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
+    sizes = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    chosen = chosen.withColumn("before_bytes", F.coalesce(sizes, F.lit(0))).where(F.col("before_bytes") < SAMPLE_BYTES)
     ids = chosen.select("doc_id").distinct()  # at most `sample` a language
     picked = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang")
     counts = picked.mapInArrow(_counted, "lang string, n int, gram string, count bigint").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import brute
 import numpy as np
@@ -380,6 +381,18 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.identify(odd, none).collect()} == {"und"}
 
 
+def test_language_id_equals_a_plain_loop(spark):
+    """Learned and predicted row by row in Python, on a whole table and on rows that are hard."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(10**6 + i, t, lang) for i, (t, lang) in enumerate([(None, "en"), ("", "de"), ("12 -!", "fr"), ("xqzj vwk", None), ("der die das " * 40_000, "de"), ("q" * 100_000, None), ("the of", "en"), ("the of", "en")])]
+    docs = docs.union(spark.createDataFrame(odd, docs.schema)).withColumns({c: F.lit("clash") for c in ("at", "n", "gram", "count", "place", "size", "lang_pred", "score")})
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    held = lambda d: zlib.crc32(str(d).encode()) % 3 == 1
+    model = brute.language(None, [(t, lang) for d, t, lang in rows if lang is not None and t is not None and not held(d)])
+    got = sorted((r.doc_id, r.lang_pred, r.held_out) for r in langid.train_and_identify(docs).collect())
+    assert got == sorted((d, "und" if t is None else brute.language(t, model), held(d)) for d, t, _ in rows)
+
+
 @pytest.fixture(scope="module")
 def toxic_model(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
