@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import load, query, sql
@@ -112,14 +112,19 @@ sql(
 
 
 def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
-    """Rows with low <= point < high, as an equi-join on buckets of `width`: each interval is dealt to the buckets it meets.
+    """Rows with low <= point < high, as an equi-join on buckets, in levels whose buckets are width, 2 width, 4 width, ...
 
-    No nested loop over all pairs: a point meets only the intervals of its own bucket.
+    Each interval lies at the level where it meets at most three buckets, however wide it is, and a point looks into its
+    bucket at each level that any interval lies at (64 at most). No nested loop over all pairs. Nulls and empty
+    intervals match nothing.
     """
-    bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
-    a = left.withColumn("_b", bucket(point))
-    b = right.where(F.col(low) < F.col(high)).withColumn("_b", F.explode(F.sequence(bucket(low), bucket(high))))
-    return a.join(b, "_b").where((F.col(low) <= F.col(point)) & (F.col(point) < F.col(high))).drop("_b")
+    sized = right.where(F.col(low) < F.col(high))
+    level = F.greatest(F.lit(0), F.least(F.lit(63), F.ceil(F.log2((F.col(high) - F.col(low)) / F.lit(width))).cast("int")))
+    levels = sorted(r[0] for r in sized.select(level).distinct().collect())  # at most 64 numbers
+    bucket = lambda c: F.floor(F.col(c) / (F.lit(width) * F.pow(F.lit(2.0), F.col("_l")))).cast("long")
+    a = left.withColumn("_l", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).withColumn("_b", bucket(point))
+    b = sized.withColumn("_l", level).withColumn("_b", F.explode(F.sequence(bucket(low), bucket(high))))
+    return a.join(b, ["_l", "_b"]).where((F.col(low) <= F.col(point)) & (F.col(point) < F.col(high))).drop("_l", "_b")
 
 
 @query("SELECT event_id, p_partkey FROM events JOIN (SELECT p_partkey, p_size + (p_partkey % 1000) / 1000.0::DOUBLE AS lo FROM part) p ON value >= lo AND value < lo + 0.0005::DOUBLE")
@@ -139,20 +144,25 @@ def theta_range_join_all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join(events, spans, "value", "lo", "hi", 4.0).select("event_id", "p_partkey")
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: str, by: str, values: list[str]) -> DataFrame:
-    """For each left row the values of the last right row of its key at or before it: one union, one window, no pairs.
+def asof_join(left: DataFrame, right: DataFrame, on: str, by: str, values: list[str], span: str = "day") -> DataFrame:
+    """For each left row the values of the last right row of its key at or before it: unions and windows, no pairs.
 
+    A key is cut into spans of time (a unit of date_trunc), so that one that holds much of all rows is many groups. Each
+    span has a row more, with the last right row of the spans before it, of which there is one a key and span.
     `on` and `by` have the same names on both sides; of right rows with one key and time the values must agree.
     """
+    cut = F.date_trunc(span, F.col(on)) if dict(left.dtypes)[on].startswith("timestamp") else F.floor(F.col(on) / 1000)
     lcols = [c for c in left.columns if c not in (on, by)]
-    a = left.select(by, on, F.lit(1).alias("_side"), *lcols, *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values], F.lit(None).cast("boolean").alias("_has"))
-    b = right.select(by, on, F.lit(0).alias("_side"), *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in lcols], *values, F.lit(True).alias("_has"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(by).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("_has"), F.struct(*values)), ignorenulls=True).over(w)
-    out = a.union(b).withColumn("_last", last).where("_side = 1")
-    return out.select(by, on, *lcols, *[F.col(f"_last.{v}").alias(v) for v in values])
+    held = F.struct(*values)
+    a = left.select(by, on, cut.alias("_cut"), F.lit(2).alias("_side"), F.struct(*lcols).alias("_left"), F.lit(None).alias("_held"))
+    b = right.where(F.col(on).isNotNull()).select(by, on, cut.alias("_cut"), F.lit(1).alias("_side"), F.lit(None).alias("_left"), held.alias("_held"))
+    # one row a key and span: its last right row if any, carried on to later spans
+    lasts = a.select(by, "_cut").distinct().join(b.groupBy(by, "_cut").agg(F.max_by("_held", on).alias("_held")), [by, "_cut"], "full")
+    carried = F.last("_held", ignorenulls=True).over(Window.partitionBy(by).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1))
+    c = lasts.select(by, F.lit(None).alias(on), "_cut", F.lit(0).alias("_side"), F.lit(None).alias("_left"), carried.alias("_held"))
+    w = Window.partitionBy(by, "_cut").orderBy(F.col(on).asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    out = a.union(b).union(c).withColumn("_last", F.last("_held", ignorenulls=True).over(w)).where("_side = 2")
+    return out.select(by, on, *[F.col(f"_left.{c}").alias(c) for c in lcols], *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
 @query(
@@ -165,11 +175,14 @@ def asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof_join(buys, views, "ts", "user_id", ["view_id"]).select("event_id", "view_id")
 
 
-sql(
-    "interval_join",
-    "SELECT a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 6 HOURS",
-    "SELECT a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR",
-)
+@query("SELECT a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR")
+def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a user's events within six hours, joined by user and six-hour bucket, so that a busy user is many keys."""
+    e = load(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    bucket = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(6 * 3600 * 10**6)).cast("long")
+    a = e.select(F.col("event_id").alias("first_id"), "user_id", F.col("ts").alias("ta"), F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
+    b = e.select(F.col("event_id").alias("second_id"), "user_id", F.col("ts").alias("tb"), bucket.alias("bucket"))
+    return a.join(b, ["user_id", "bucket"]).where((F.col("tb") > F.col("ta")) & (F.col("tb") <= F.col("ta") + F.expr("INTERVAL 6 HOURS"))).select("first_id", "second_id")
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, parts: int = 16) -> DataFrame:

@@ -13,6 +13,27 @@ def test_range_join_with_edges_and_nulls(spark):
     assert relational.range_join(a.limit(0), b, "x", "lo", "hi", 2.5).count() == 0
 
 
+def test_range_join_of_wide_intervals_meets_few_buckets(spark):
+    rng = __import__("random").Random(4)
+    a = spark.createDataFrame([(i, rng.uniform(-50, 1e6)) for i in range(300)], "a int, x double")
+    b = spark.createDataFrame([(i, lo, lo + rng.choice([0.5, 3.0, 1e4, 9e5])) for i, lo in enumerate(rng.uniform(-100, 9e5) for _ in range(100))], "b int, lo double, hi double")
+    want = {(r.a, r.b) for r in a.join(b, (F.col("lo") <= F.col("x")) & (F.col("x") < F.col("hi"))).collect()}
+    got = relational.range_join(a, b, "x", "lo", "hi", 1.0)
+    assert {(r.a, r.b) for r in got.collect()} == want
+
+
+def test_asof_join_carries_over_spans(spark):
+    rng = __import__("random").Random(5)
+    a = spark.createDataFrame([(rng.choice("abc"), rng.randrange(0, 20_000), i) for i in range(400)] + [(None, 5, 900), ("a", None, 901)], "k string, t int, l int")
+    b = spark.createDataFrame([(k, t, t * 2) for k in "ab" for t in rng.sample(range(20_000), 25)] + [("c", 15_500, None)], "k string, t int, v int")
+    rights = [tuple(r) for r in b.collect()]
+    got = {r.l: r.v for r in relational.asof_join(a, b, "t", "k", ["v"]).collect()}
+    for r in a.where("t IS NOT NULL AND k IS NOT NULL").collect():
+        before = [x for x in rights if x[0] == r.k and x[1] <= r.t]
+        assert got[r.l] == (max(before, key=lambda x: x[1])[2] if before else None)
+    assert len(got) == 402
+
+
 def test_asof_join_takes_last_at_or_before(spark):
     a = spark.createDataFrame([("k", 5, "a"), ("k", 1, "b"), ("z", 5, "c"), ("k", 3, "d")], "k string, t int, l string")
     b = spark.createDataFrame([("k", 3, 30), ("k", 5, None), ("k", 4, 40)], "k string, t int, v int")
