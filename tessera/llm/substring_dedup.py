@@ -228,7 +228,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     size = sketch.text_bytes(rows)
     anchors = size / 6.4 * 2 / (window - min(GRAM, window) + 2)
     seen = spark.sparkContext.broadcast(sketch.repeated(rows.select("text"), _keys(window), sketch.bits_for(anchors * ROOM / 2)))
-    n_slices = max(24, size // 24_000_000)
+    n_slices = max(24, size // 8_000_000)
     keys = rows.mapInArrow(_candidates(seen, window, n_slices), "slice int, packed binary")
     lone = keys.groupBy("slice").applyInArrow(_once, "rk bigint, rk2 int, lone array<int>").groupBy("rk", "rk2").agg(F.collect_list("lone").alias("lone"))
     kind = docs.schema["doc_id"].dataType.simpleString()
