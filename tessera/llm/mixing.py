@@ -1,8 +1,9 @@
 """Mixing sources to target weights, with built-in functions only.
 
 A source's target comes from its weight by water filling: all sources share the budget by weight, none takes
-more than `most` times its size, and what that leaves over is shared again by weight. Instead of repeating,
-sources are sorted by cap / weight: those filled are a prefix of that order, so running sums give the level.
+more than `most` times its size, and what that leaves over is shared again by weight. A round is two sums over the
+table of sources, which tell the share of those that still take more; rounds end when none is filled any more. The
+rank that gives a source its weight is counted by ranges of the source, so no task holds all of them.
 A document is emitted floor(rate) times, and once more if its hash, seeded, falls below the fraction.
 """
 
@@ -27,28 +28,33 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _weighted(sizes: DataFrame, weights) -> DataFrame:
+    """source, source_size, weight: one row a source; weights go round the sources in order."""
+    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    order = F.col("source").asc_nulls_last()
+    ranges = saved(by.repartitionByRange(order).withColumn("range", F.spark_partition_id()))
+    counts = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # a row a partition
+    at = F.row_number().over(Window.partitionBy("range").orderBy(order)) + F.col("before") - 1
+    weight = F.element_at(F.array(*map(F.lit, weights)), (at % len(weights) + 1).cast("int"))
+    return saved(ranges.join(F.broadcast(before), "range").select("source", "source_size", weight.alias("weight")))
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """sizes: source, size. Returns source, source_size, target, rate: one row a source.
 
     Weights go round the sources by code point, null last. A source of size 0 has target 0 and rate 0.
-    Only the table of sources (one row each, after a partial aggregation) is ordered as a whole.
     """
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    at = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    w = F.element_at(F.array(*map(F.lit, weights)), ((at - 1) % len(weights) + 1).cast("int"))
-    every = Window.partitionBy(F.lit(1))
-    by = by.withColumn("weight", w).withColumn("cap", F.col("source_size") * most)
-    filled = Window.partitionBy(F.lit(1)).orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    by = (
-        by.withColumn("budget", F.sum("source_size").over(every) * F.lit(share))
-        .withColumn("left", F.col("budget") - F.coalesce(F.sum("cap").over(filled), F.lit(0)))
-        .withColumn("weights", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(filled), F.lit(0)))
-        .withColumn("open", F.col("cap") * F.col("weights") > F.col("left") * F.col("weight"))
-    )
-    # the first source (in the order above) that its share doesn't fill sets the level for all that follow
-    level = F.min_by(F.struct("left", "weights"), F.when(F.col("open"), F.col("cap") / F.col("weight"))).over(every)
-    by = by.withColumn("level", level)
-    target = F.when(F.col("open") | (F.col("cap") * F.col("level.weights") > F.col("level.left") * F.col("weight")), F.col("level.left") * F.col("weight") / F.col("level.weights")).otherwise(F.col("cap").cast("double"))
+    by = _weighted(sizes, weights).withColumn("cap", F.col("source_size") * most)
+    total, open_weight = by.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    budget = left = float(total) * share
+    is_open = lambda: F.col("cap") * F.lit(open_weight) > F.lit(left) * F.col("weight")
+    while True:
+        filled, still = by.agg(F.coalesce(F.sum(F.when(~is_open(), F.col("cap"))), F.lit(0)), F.coalesce(F.sum(F.when(is_open(), F.col("weight"))), F.lit(0))).first()
+        if still in (0, open_weight):  # all are filled, or none more than before
+            break
+        left, open_weight = budget - filled, still
+    target = F.when(is_open(), F.lit(left) * F.col("weight") / F.lit(open_weight)).otherwise(F.col("cap").cast("double"))
     return by.select("source", "source_size", target.alias("target"), F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0).alias("rate"))
 
 
@@ -79,7 +85,7 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     of copies; a null text has size 0; a null source is a source of its own, the last. Empty table: no rows.
     """
     sizes = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    targets = saved(source_targets(sizes, weights, share, most)).withColumnRenamed("source", "_source")
+    targets = source_targets(sizes, weights, share, most).withColumnRenamed("source", "_source")
     both = _with_target(sizes, "source", targets)
     return both.select("doc_id", "source", "size", "source_size", "target", copies(F.col("doc_id"), F.col("rate"), seed).alias("n_copies"))
 
@@ -92,7 +98,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     no rows. Texts are read twice, for sizes and for the mix, and are not shuffled where targets can be broadcast.
     """
     sizes = docs.select("source", word_count(F.col("text")).alias("size"))
-    targets = saved(source_targets(sizes, weights, share, most)).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
+    targets = source_targets(sizes, weights, share, most).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
     rows = docs.drop("copy")
     packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
     many = _with_target(packed, "row.source", targets).withColumn("n", copies(F.col("row.doc_id"), F.col("_rate"), seed)).where("n > 0")

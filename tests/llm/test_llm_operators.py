@@ -280,6 +280,27 @@ def test_mixing_targets_and_copies(spark):
     assert out.to_dict() == {r.doc_id: r.n_copies for r in plan.itertuples() if r.n_copies}
 
 
+def test_targets_of_many_sources_fill_round_by_round(spark):
+    """Sizes over six orders of magnitude, so that many rounds fill some; against the plain procedure."""
+    rng = random.Random(9)
+    rows = [(f"h{i:05d}é" if i else None, int(10 ** rng.uniform(0, 6)) if i % 50 else 0) for i in range(5000)]
+    got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(rows, "source string, size bigint").repartition(7)).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, (s, _) in enumerate(order)}
+    size, want = dict(rows), {}
+    budget = 1.5 * sum(size.values())
+    left, rest = budget, set(size)
+    while rest:
+        total = sum(weight[s] for s in rest)
+        full = {s for s in rest if left * weight[s] / total >= 2 * size[s]}
+        if not full:
+            want |= {s: left * weight[s] / total for s in rest}
+            break
+        want |= {s: 2.0 * size[s] for s in full}
+        rest, left = rest - full, budget - sum(2 * size[s] for s in set(size) - (rest - full))
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) <= 1e-9 * max(1.0, want[s]) for s in got)
+
+
 def test_mix_shuffles_no_text_and_beyond_the_broadcast_gives_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"s{i % 40}" if i % 41 else None, "w " * (i % 30)) for i in range(2000)], "doc_id bigint, source string, text string").withColumn("_salt", F.lit(1))
     rows = lambda: sorted(map(str, mixing.mix(docs).collect()))
