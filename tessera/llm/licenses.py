@@ -91,17 +91,17 @@ def template_weights(templates=TEMPLATES) -> tuple[list[tuple[int, str, str, flo
     return rows, idf, math.log(1 + len(counts)) + 1
 
 
-def _telling(rows, least: float) -> list[str]:
-    """Terms of which every run that scores `least` holds one: the rest of each template has too little weight."""
-    found = set()
-    for i in {r[0] for r in rows}:
+def _telling(rows, least: float) -> dict[str, list[int]]:
+    """Terms, with their templates, of which every run that scores `least` holds one: the rest of each template has too little weight."""
+    found: dict[str, list[int]] = {}
+    for i in sorted({r[0] for r in rows}):
         left = 1.0
         for _, _, term, weight in sorted((r for r in rows if r[0] == i), key=lambda r: -r[3]):
             if left < least * least - 1e-6:
                 break
-            found.add(term)
+            found.setdefault(term, []).append(i)
             left -= weight * weight
-    return sorted(found)
+    return found
 
 
 def own_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
@@ -121,11 +121,14 @@ def own_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
         found = F.transform(F.split(line, _SPLIT), lambda t: F.regexp_replace(t, _EDGE, ""))
         return F.filter(found, lambda t: (t != "") & ~t.isin(*sorted(STOP)))
 
-    telling = "|".join(map(re.escape, _telling(rows, least)))
+    telling = _telling(rows, least)
+    index = F.create_map(*[x for term, ids in sorted(telling.items()) for x in (F.lit(term), F.array(*map(F.lit, ids)))])
+    telling = "|".join(map(re.escape, sorted(telling)))
     texts = files.select("path", F.lower("text").alias("low")).where(F.rlike("low", F.lit(f"(?<![a-z0-9])(?:{telling})(?![a-z0-9])")))
     texts = texts.select("path", F.transform(F.split("low", "\n"), words).alias("lines")).withColumn("terms", F.flatten("lines"))
     texts = texts.withColumn("held", F.array_intersect(F.array(*[F.lit(t) for t in sorted(idf)]), F.col("terms")))
-    both = texts.join(templates, near(F.col("held")))
+    maybe = F.flatten(F.filter(F.transform("held", lambda t: F.try_element_at(index, t)), lambda ids: ids.isNotNull()))
+    both = texts.withColumn("template", F.explode(F.array_distinct(maybe))).join(templates, "template").where(near(F.col("held")))
     start = lambda i: F.greatest(F.lit(1), F.least(i + 1, F.size("terms") - F.col("n") + 1))
     windows = F.filter(F.transform("terms", lambda t, i: F.when(F.array_contains("own", t), F.slice("terms", start(i), F.col("n")))), lambda w: w.isNotNull())
     whole = F.when(F.rlike(_name(F.col("path")), F.lit(LICENSE_FILE)), F.array("terms")).otherwise(F.array().cast("array<array<string>>"))

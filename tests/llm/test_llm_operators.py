@@ -546,6 +546,7 @@ def test_license_paths_that_repeat_ties_and_clashing_columns(spark):
     tie = "Licensed under CC BY-SA 4.0.\nLicensed under CC BY-NC 4.0."
     rows = [("a/LICENSE", tie), ("a/x", ""), ("a/x", ""), ("b/c", "nothing"), ("b/c", "MIT License"), ("b/LICENSE", "Licensed under CC BY 4.0."), ("b/COPYING", "This is licensed under the CC BY-SA 4.0 thing."), ("b/d", None)]
     files = spark.createDataFrame(rows, "path string, text string").withColumns({c: F.lit("clash") for c in ("licence", "score", "folder", "above", "up", "template", "low", "term", "basis")})
+    assert "NestedLoop" not in licenses.own_licences(files)._jdf.queryExecution().executedPlan().toString()
     got = sorted((r.path, r.licence, r.basis) for r in licenses.scan(files).collect())
     # one length and score: first by name; several licence files: the nearest to a template; rows of one path: one file
     assert got == sorted([("a/LICENSE", "CC-BY-NC-4.0", "own"), ("a/x", "CC-BY-NC-4.0", "inherited"), ("a/x", "CC-BY-NC-4.0", "inherited"), ("b/c", "MIT", "own"), ("b/c", "MIT", "own"), ("b/LICENSE", "CC-BY-4.0", "own"), ("b/COPYING", "CC-BY-SA-4.0", "own"), ("b/d", "CC-BY-4.0", "inherited")])
