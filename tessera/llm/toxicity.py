@@ -43,8 +43,8 @@ OFFENDING = 0.5
 #: Hashed features, as a power of two.
 BITS = 20
 STEPS = 80
-#: Words that each Python worker remembers, and tokens that are tagged at once.
-REMEMBERED, AT_ONCE = 300_000, 400_000
+#: Words that each Python worker remembers, and tokens that are tagged, and contexts that are held, at once.
+REMEMBERED, AT_ONCE, HELD = 200_000, 150_000, 60_000
 
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -139,15 +139,22 @@ class Model:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each word with a hash of the words beside it, once a batch and label."""
+    """Each word with a hash of the words beside it and the label; repeats are left out as far as they are held."""
+
+    def out(seen) -> pa.RecordBatch:
+        words, places, labels = zip(*seen) if seen else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in words], pa.string()), pa.array(places, pa.int64()), pa.array(labels, pa.int32())], names=["word", "place", "toxic"])
+
+    seen: set[tuple[bytes, int, int]] = set()
     for batch in batches:
-        seen: set[tuple[bytes, int, int]] = set()
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             words = [b"", *words_of(text), b""]
             for before, w, after in zip(words, words[1:], words[2:]):
                 seen.add((w, xxhash.xxh64_intdigest(before + b" " + after) >> 1, toxic))
-        words, places, labels = zip(*seen) if seen else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in words], pa.string()), pa.array(places, pa.int64()), pa.array(labels, pa.int32())], names=["word", "place", "toxic"])
+                if len(seen) >= HELD:
+                    yield out(seen)
+                    seen.clear()
+    yield out(seen)
 
 
 def _entries(n_other: int, n_toxic: int, tried: int):
@@ -203,8 +210,15 @@ def _segments(shared):
             w = word.decode("utf-8", "replace")
             return int(w in whole or any(w[:n] in beginnings for n in BEGINNINGS if len(w) >= n))
 
+        def rows(out) -> pa.RecordBatch:
+            held = list(out.values())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(out), pa.int64()), pa.array([r[0] for r in held], pa.int32()), pa.array([[w.decode("utf-8", "replace") for w in r[1]] for r in held], pa.list_(pa.string())), pa.array([r[2] for r in held], pa.list_(pa.int32()))],
+                names=["at", "kind", "words", "flags"],
+            )
+
+        out: dict[int, tuple[int, list[bytes], list[int]]] = {}
         for batch in batches:
-            out: dict[int, tuple[int, list[bytes], list[int]]] = {}
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 words = words_of(text)
                 for i in range(0, len(words), SEGMENT):
@@ -214,11 +228,10 @@ def _segments(shared):
                     flags = [known[w] if w in known else known.setdefault(w, listed(w)) for w in part] if toxic else [0] * len(part)
                     if not toxic or any(flags):
                         out[xxhash.xxh64_intdigest(b" ".join(part), toxic) >> 1] = (toxic, part, flags)
-            rows = list(out.values())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(out), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([[w.decode("utf-8", "replace") for w in r[1]] for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows], pa.list_(pa.int32()))],
-                names=["at", "kind", "words", "flags"],
-            )
+                    if len(out) * SEGMENT >= HELD:
+                        yield rows(out)
+                        out.clear()
+        yield rows(out)
 
     return run
 
