@@ -40,6 +40,8 @@ ORDERS = 3
 HOT = 32
 #: Hash buckets of tokens by which hot ones are found, and how many times the mean a bucket holds before it is dealt.
 BUCKETS, HEAVY = 65_536, 8
+#: Tasks over which the classes of a component are dealt.
+SALTS = 8
 _FLUSH = 200_000
 
 
@@ -212,6 +214,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     members = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = members.select("node", "root").join(lowest, "root").select("node", "component_id")
+    # a large component is dealt over salts; a class alone needs no join
+    lowest = members.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    lowest = lowest.select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    named = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(lowest, ["root", "salt"], "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
     return rows.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
