@@ -414,6 +414,12 @@ def test_language_id_equals_a_plain_loop(spark):
     assert got == sorted((d, "und" if t is None else brute.language(t, model), held(d)) for d, t, _ in rows)
 
 
+def test_language_id_ties_go_to_the_first_by_name(spark):
+    docs = spark.createDataFrame([(i, "alpha beta gamma alpha", lang) for i, lang in enumerate(["zz", "mm", "aa"] * 4)], "doc_id bigint, text string, lang string")
+    got = langid.identify(docs, langid.fit(docs)).collect()
+    assert {r.lang_pred for r in got} == {"aa"} and all(abs(r.score - 1 / 3) < 1e-6 for r in got) and len(got) == 12
+
+
 @pytest.fixture(scope="module")
 def toxic_model(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
