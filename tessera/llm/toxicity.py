@@ -25,6 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -236,21 +237,30 @@ def _segments(shared):
     return run
 
 
-def _fit_field(segments: list[tuple[list[bytes], list[int]]], steps: int = STEPS) -> Model:
-    """Weights of greatest likelihood, less a square penalty, of the labelled segments."""
+def _many_hashed(words: list[bytes], features) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of all words, and the number of the word that each belongs to; a part of the words at a time."""
+    hashed, of_word = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for i in range(0, len(words), 5000):
+        made = [features(w) for w in words[i : i + 5000]]
+        hashed.append(_hashed([f for fs in made for f in fs]).astype(np.int32))
+        of_word.append(np.repeat(np.arange(i, i + len(made), dtype=np.int32), [len(fs) for fs in made]))
+    return np.concatenate(hashed), np.concatenate(of_word)
+
+
+def _fit_field(segments: pa.Table, steps: int = STEPS) -> Model:
+    """Weights of greatest likelihood, less a square penalty, of the labelled segments: words and flags, lists of one length."""
     model = Model()
     # each segment fills SEGMENT places; those left over stand alone and don't count
-    number: dict[bytes, int] = {}
-    at, y, live = np.zeros((len(segments), SEGMENT), np.int64), np.zeros((len(segments), SEGMENT)), np.zeros((len(segments), SEGMENT), bool)
-    for i, (words, flags) in enumerate(segments):
-        at[i, : len(words)], y[i, : len(words)], live[i, : len(words)] = [number.setdefault(w, len(number)) for w in words], flags, True
+    tokens = pc.list_flatten(segments.column("words").combine_chunks()).dictionary_encode()
+    lengths = pc.list_value_length(segments.column("words")).to_numpy().astype(np.int64)
+    place = np.arange(len(tokens)) + np.repeat(np.arange(len(lengths)) * SEGMENT - (np.cumsum(lengths) - lengths), lengths)
+    at, y, live = np.zeros(len(lengths) * SEGMENT, np.int64), np.zeros(len(lengths) * SEGMENT), np.zeros(len(lengths) * SEGMENT, bool)
+    at[place], y[place], live[place] = tokens.indices.to_numpy(), pc.list_flatten(segments.column("flags").combine_chunks()).to_numpy(), True
     first = ~live
-    first[:, 0] = True
-    at, y, live, first = at.ravel(), y.ravel(), live.ravel(), first.ravel()
-    words, linked = list(number), ~first[1:]
-    own = [features_of(w) for w in words]
-    feature, of_word = _hashed([f for fs in own for f in fs]), np.repeat(np.arange(len(own)), [len(fs) for fs in own])
-    before, after = _hashed([b"<" + w for w in words]), _hashed([b">" + w for w in words])
+    first[::SEGMENT] = True
+    words, linked = [w.encode() for w in tokens.dictionary.to_pylist()], ~first[1:]
+    feature, of_word = _many_hashed(words, features_of)
+    before, after = _many_hashed(words, lambda w: [b"<" + w])[0], _many_hashed(words, lambda w: [b">" + w])[0]
     used, where = np.unique(np.concatenate((feature, before, after)), return_inverse=True)
     feature, before, after = np.split(where, [len(feature), len(feature) + len(before)])
     n, k = len(words), len(used)
@@ -315,11 +325,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     picked = saved(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
     segments = picked.mapInArrow(_segments(spark.sparkContext.broadcast(_lexicon(picked))), "at bigint, kind int, words array<string>, flags array<int>").dropDuplicates(["at"])
     segments = saved(segments)
-    of_kind = lambda kind: segments.where(F.col("kind") == kind).orderBy("at").limit(SEGMENTS)
-    rows = of_kind(1).union(of_kind(0)).collect()  # bounded, in words too
-    if not any(r["kind"] for r in rows):
+    counts = {r["kind"]: r["count"] for r in segments.groupBy("kind").count().collect()}
+    if not counts.get(1):
         return Model()
-    model = _fit_field([([w.encode() for w in r["words"]], r["flags"]) for r in rows])
+
+    def of_kind(kind: int) -> DataFrame:
+        """The SEGMENTS with the smallest hash; a bound on hashes that leaves half as many again keeps others in their tasks."""
+        most = 2**63 - 1 if counts.get(kind, 0) <= 2 * SEGMENTS else int(2**63 * 1.5 * SEGMENTS / counts[kind])
+        return segments.where((F.col("kind") == kind) & (F.col("at") <= most)).orderBy("at").limit(SEGMENTS).select("words", "flags")
+
+    model = _fit_field(of_kind(1).union(of_kind(0)).toArrow())  # bounded, in words too
     sums = picked.select(F.col("toxic").alias("doc_id"), "text").mapInArrow(_tagged(spark.sparkContext.broadcast(model), _sums), "doc_id int, squares double, surely double")
     model.scale = _fit_scale([tuple(r) for r in sums.collect()])  # three numbers a document of the sample
     return model
