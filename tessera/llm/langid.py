@@ -79,22 +79,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Log10 relative frequencies: words (by bytes) and n-grams (by length and string) to a row of `table`."""
 
-    def __init__(self, rows: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]):
-        self.langs = sorted({r[0] for r in rows})
+    def __init__(self, counts: pa.Table):
+        """counts: lang, n, gram, count, total (of the language and n)."""
+        langs = counts.column("lang").to_pylist()
+        self.langs = sorted(set(langs))
         at = {lang: i for i, lang in enumerate(self.langs)}
         self.words: dict[bytes, int] = {}
         self.grams: dict[tuple[int, str], int] = {}
-        index: dict[tuple[int, str], int] = {}
-        for _, n, gram, _ in rows:
-            index.setdefault((n, gram), len(index))
-        self.table = np.full((len(index), len(self.langs)), PENALTY, np.float32)
-        for lang, n, gram, count in rows:
-            self.table[index[n, gram], at[lang]] = max(PENALTY, math.log10(count / totals[lang, n]))
-        for (n, gram), i in index.items():
+        rows = []
+        for n, gram in zip(counts.column("n").to_pylist(), counts.column("gram").to_pylist()):
             if n:
-                self.grams[n, gram] = i
+                rows.append(self.grams.setdefault((n, gram), len(self.grams) + len(self.words)))
             else:
-                self.words[gram.encode()] = i
+                rows.append(self.words.setdefault(gram.encode(), len(self.grams) + len(self.words)))
+        self.table = np.full((len(self.grams) + len(self.words), len(self.langs)), PENALTY, np.float32)
+        share = counts.column("count").to_numpy() / counts.column("total").to_numpy()
+        self.table[np.array(rows, np.int64), np.array([at[lang] for lang in langs], np.int64)] = np.maximum(PENALTY, np.log10(share))
 
     def unseen(self, word: bytes) -> np.ndarray:
         for n in range(MOST_N, 0, -1):
@@ -121,8 +121,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Model:
     picked = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang")
     counts = picked.mapInArrow(_counted, "lang string, n int, gram string, count bigint").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
     totals = Window.partitionBy("lang", "n")
-    kept = counts.withColumn("total", F.sum("count").over(totals)).where(F.col("count") >= least).select("lang", "n", "gram", "count", "total").collect()
-    return Model([(r[0], r[1], r[2], r[3]) for r in kept], {(r[0], r[1]): r[4] for r in kept})
+    kept = counts.withColumn("total", F.sum("count").over(totals)).where(F.col("count") >= least).select("lang", "n", "gram", "count", "total").toArrow()
+    return Model(kept)
 
 
 class _Rows(dict):
