@@ -45,7 +45,7 @@ OFFENDING = 0.5
 BITS = 20
 STEPS = 80
 #: Words that each Python worker remembers, and tokens that are tagged, and contexts that are held, at once.
-REMEMBERED, AT_ONCE, HELD = 200_000, 150_000, 60_000
+REMEMBERED, AT_ONCE, HELD = 100_000, 100_000, 60_000
 
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -121,11 +121,14 @@ class Model:
 
     def of_words(self, words: list[bytes]) -> np.ndarray:
         """What each word adds to its own potential, to that of the word after it and to that of the word before it."""
-        if not words:
-            return np.zeros((0, 3))
-        own = [features_of(w) for w in words]
-        sums = np.add.reduceat(self.weights[_hashed([f for fs in own for f in fs])].astype(float), np.cumsum([0] + [len(fs) for fs in own])[:-1])
-        return np.stack((sums, self.weights[_hashed([b"<" + w for w in words])], self.weights[_hashed([b">" + w for w in words])]), axis=1)
+        out = np.zeros((len(words), 3))
+        for i in range(0, len(words), 5000):  # few features at a time
+            some = words[i : i + 5000]
+            own = [features_of(w) for w in some]
+            out[i : i + 5000, 0] = np.add.reduceat(self.weights[_hashed([f for fs in own for f in fs])].astype(float), np.cumsum([0] + [len(fs) for fs in own])[:-1])
+            out[i : i + 5000, 1] = self.weights[_hashed([b"<" + w for w in some])]
+            out[i : i + 5000, 2] = self.weights[_hashed([b">" + w for w in some])]
+        return out
 
     def potentials(self, parts: np.ndarray, first: np.ndarray) -> np.ndarray:
         """parts: of_words() of each token in turn."""
