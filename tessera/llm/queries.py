@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, langid, licenses, mixing, ngram_join, secrets, substring_dedup, toxicity
+from . import ann, chat, decontaminate, hard_negatives, langid, licenses, mixing, ngram_join, prefix_trie, secrets, substring_dedup, toxicity, url_filters
 from .common import in_train, table
 
 
@@ -92,12 +92,73 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_chat_formatting, op4_license_scans, op5_secret_scans, op6_language_id, op7_nearest_neighbours, op8_source_mixing, op9_ngram_jaccard_join, op10_benchmark_decontamination)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+RULES = [
+    url_filters.Rule("com", "/", "allow"),
+    url_filters.Rule("example.com", "/en/", "block"),
+    url_filters.Rule("www.example.com", "/en/", "allow"),
+    url_filters.Rule("net", "/es/", "block"),
+    url_filters.Rule("net", "/fr/", "block"),
+]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_chat_formatting, op4_license_scans, op5_secret_scans, op6_language_id, op7_nearest_neighbours, op8_source_mixing, op9_ngram_jaccard_join, op10_benchmark_decontamination, op11_hard_negatives, op12_url_filters, op13_prefix_trie)}
 
 _CONTROL = r"</?s>|\[/?INST\]|<</?SYS>>|<<ROLE:[0-9A-F]*>>|<</ROLE>>|<<ESC>>"
 
 _L = licenses.oracle_values()
 
+
+def _url_filters_sql(rules: list[url_filters.Rule]) -> str:
+    """Rounds of whole numbers, as the operator takes them."""
+    low = lambda x: f"translate({x}, '{url_filters.UPPER}', '{url_filters.LOWER}')"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rounds = "".join(
+        f""", r{k + 1} AS (
+  SELECT bad, host, sum(rank)::BIGINT AS rank FROM (
+    SELECT bad, host, rank * {100 - url_filters.DAMPING} // 100 AS rank FROM r0
+    UNION ALL SELECT f.bad, f.dst, (r.rank * {url_filters.DAMPING} // 100) // f.degree FROM r{k} r JOIN f ON f.bad = r.bad AND f.src = r.host
+  ) GROUP BY bad, host
+)"""
+        for k in range(url_filters.ROUNDS)
+    )
+    return f"""
+WITH u AS (
+  SELECT row_number() OVER () AS i, page_id, html, {low(f"coalesce(regexp_extract(url, {quoted(url_filters.URL)}, 1), '')")} AS host, coalesce(regexp_extract(url, {quoted(url_filters.URL)}, 2), '') AS path FROM pages
+), l(rhost, rpath, verdict) AS (VALUES {", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in rules)}),
+j AS (
+  SELECT i, page_id, host, path, rhost || rpath AS rule, verdict AS ruled FROM u LEFT JOIN l ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  QUALIFY row_number() OVER (PARTITION BY i ORDER BY length(rhost || rpath) DESC NULLS LAST, rhost || rpath DESC) = 1
+), h AS (SELECT DISTINCT host FROM u WHERE host <> ''),
+k AS (SELECT host AS src, regexp_replace(host, '^[^.]*[.]', '') AS dst FROM h),
+k2 AS (SELECT src, dst FROM k WHERE src <> dst AND dst IN (SELECT host FROM h)),
+e AS (
+  SELECT src, dst FROM (SELECT host AS src, {low(f"unnest(regexp_extract_all(html, {quoted(url_filters.LINK)}, 1))")} AS dst FROM u) WHERE src <> '' AND dst <> '' AND src <> dst
+  UNION SELECT src, dst FROM k2 UNION SELECT dst, src FROM k2
+), b AS (SELECT false AS bad, src, dst FROM e UNION ALL SELECT true, dst, src FROM e),
+f AS (SELECT *, count(*) OVER (PARTITION BY bad, src) AS degree FROM b),
+s AS (SELECT ruled = 'block' AS bad, host, count(*) AS n FROM j WHERE ruled IS NOT NULL GROUP BY ALL),
+r0 AS (SELECT bad, host, (n::HUGEINT * {url_filters.MASS} // sum(n) OVER (PARTITION BY bad))::BIGINT AS rank FROM s){rounds},
+v AS (SELECT host, sum(CASE WHEN bad THEN 0 ELSE rank END)::BIGINT AS trust, sum(CASE WHEN bad THEN rank ELSE 0 END)::BIGINT AS distrust FROM r{url_filters.ROUNDS} GROUP BY host)
+SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN distrust::HUGEINT * 100 > trust::HUGEINT * {url_filters.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(trust, 0)::BIGINT AS trust, coalesce(distrust, 0)::BIGINT AS distrust
+FROM j LEFT JOIN v ON v.host = j.host"""
+
+
+
 ORACLES = {
     "op4_license_scans": f"""
 WITH f AS (
@@ -244,4 +305,44 @@ covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnes
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN covered ON covered.doc_id = dw.doc_id LEFT JOIN its ON its.doc_id = dw.doc_id""",
+    "op11_hard_negatives": """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY embedding, label) = 1
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10""",
+    "op12_url_filters": _url_filters_sql(RULES),
+    "op13_prefix_trie": """
+WITH t AS (
+  SELECT conv_id, key, size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, key) AS pos
+  FROM (SELECT *, sha256(length(role) || ':' || role || text) AS key, length(text) AS size FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL))
+), c AS (
+  SELECT conv_id, xor(list_reduce([4294967295] || flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, 0 AS part, pos, key, size FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND pos <= h
+  UNION ALL SELECT c.conv_id, 1, pos, key, size FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h
+), p AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(key, '') OVER w AS path, size FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c
+), n AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size FROM p GROUP BY depth, path
+), k AS (SELECT left(path, 64 * (depth - 1)) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+d AS (
+  SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ends FROM (SELECT conv_id, path FROM p QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) = 1) GROUP BY path
+), a AS (
+  SELECT left(n.path, 64 * j) AS path, sum(CASE WHEN k.path IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * size) AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS j FROM n) n LEFT JOIN k ON k.path = n.path GROUP BY 1
+)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM n JOIN a ON a.path = n.path LEFT JOIN k ON k.path = n.path LEFT JOIN d ON d.path = n.path LEFT JOIN n up ON n.depth > 0 AND up.path = left(n.path, 64 * (n.depth - 1))""",
 }
