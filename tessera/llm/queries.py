@@ -121,6 +121,9 @@ _CONTROL = r"</?s>|\[/?INST\]|<</?SYS>>|<<ROLE:[0-9A-F]*>>|<</ROLE>>|<<ESC>>"
 
 _L = licenses.oracle_values()
 
+#: The SQL engine's patterns have no lookahead, so line ends are marked there.
+_KEY = "'" + secrets.pem_key(ahead=False).replace("'", "''") + "'"
+
 
 def _url_filters_sql(rules: list[url_filters.Rule]) -> str:
     """Rounds of whole numbers, as the operator takes them."""
@@ -217,33 +220,33 @@ WITH r AS (
 SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(t) AS turns_sha256, length(l)::BIGINT AS loss_chars, sha256(l) AS loss_sha256,
   (plain + CASE WHEN bad THEN 7 + more ELSE 0 END)::BIGINT AS formatted_chars, bad AS escaped, true AS exact
 FROM g""",
-    "op5_secret_scans": r"""
+    "op5_secret_scans": rf"""
 WITH k(rank, kind, least) AS (VALUES
   (0, 'assign', 12), (1, 'access', 18), (2, 'hex', 16), (3, 'github', 1), (4, 'slack', 1), (5, 'jwt', 1), (6, 'private_key', 1)
 ), m AS (
   SELECT doc_id, rank, kind, least,
     CASE rank WHEN 0 THEN regexp_extract_all(text, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0)
-      WHEN 1 THEN regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0) WHEN 2 THEN regexp_extract_all(text, '[0-9a-f]{16,}', 0)
-      WHEN 3 THEN regexp_extract_all(text, 'gh[pousr]_[A-Za-z0-9]{36}', 0) WHEN 4 THEN regexp_extract_all(text, 'xox[abprs]-[A-Za-z0-9-]{10,}', 0)
-      WHEN 5 THEN regexp_extract_all(text, 'eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+', 0)
-      ELSE regexp_extract_all(text, '-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----', 0) END AS hits,
+      WHEN 1 THEN regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0) WHEN 2 THEN regexp_extract_all(text, '[0-9a-f]{{16,}}', 0)
+      WHEN 3 THEN regexp_extract_all(text, 'gh[pousr]_[A-Za-z0-9]{{36}}', 0) WHEN 4 THEN regexp_extract_all(text, 'xox[abprs]-[A-Za-z0-9-]{{10,}}', 0)
+      WHEN 5 THEN regexp_extract_all(text, 'eyJ[A-Za-z0-9_-]{{8,}}\.eyJ[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]+', 0)
+      ELSE regexp_extract_all(text, {_KEY}, 0) END AS hits,
     CASE WHEN rank = 0 THEN regexp_extract_all(text, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) END AS held,
     text
-  FROM documents CROSS JOIN k
+  FROM (SELECT doc_id, rank, kind, least, CASE WHEN rank = 6 THEN regexp_replace(text, '\r?\n|\\r\\n|\\n|\r', chr(1) || '\0', 'g') || chr(1) ELSE text END AS text FROM documents CROSS JOIN k)
 ), w AS (
   SELECT doc_id, rank, kind, least, hits, coalesce(held, hits) AS held, unnest(range(1, len(hits) + 1)) AS i, text FROM m WHERE len(hits) > 0
 ), pieces AS (
   SELECT doc_id, rank, kind, i, least, held, hits,
     CASE rank WHEN 0 THEN regexp_split_to_array(text, '(?i:(?:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?(?:[A-Za-z0-9+/_.=-]+)')
-      WHEN 1 THEN regexp_split_to_array(text, 'AKIA[A-Z0-9]+') WHEN 2 THEN regexp_split_to_array(text, '[0-9a-f]{16,}')
-      WHEN 3 THEN regexp_split_to_array(text, 'gh[pousr]_[A-Za-z0-9]{36}') WHEN 4 THEN regexp_split_to_array(text, 'xox[abprs]-[A-Za-z0-9-]{10,}')
-      WHEN 5 THEN regexp_split_to_array(text, 'eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+')
-      ELSE regexp_split_to_array(text, '-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----') END AS p
+      WHEN 1 THEN regexp_split_to_array(text, 'AKIA[A-Z0-9]+') WHEN 2 THEN regexp_split_to_array(text, '[0-9a-f]{{16,}}')
+      WHEN 3 THEN regexp_split_to_array(text, 'gh[pousr]_[A-Za-z0-9]{{36}}') WHEN 4 THEN regexp_split_to_array(text, 'xox[abprs]-[A-Za-z0-9-]{{10,}}')
+      WHEN 5 THEN regexp_split_to_array(text, 'eyJ[A-Za-z0-9_-]{{8,}}\.eyJ[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]+')
+      ELSE regexp_split_to_array(text, {_KEY}) END AS p
   FROM w
 ), s AS (
   SELECT doc_id, rank, kind, list_sum(list_transform(p[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0)::BIGINT AS start_at,
     length(hits[i]) AS n
-  FROM pieces WHERE length(held[i]) >= least
+  FROM (SELECT * REPLACE (CASE WHEN rank = 6 THEN list_transform(p, lambda x: replace(x, chr(1), '')) ELSE p END AS p, CASE WHEN rank = 6 THEN list_transform(hits, lambda x: replace(x, chr(1), '')) ELSE hits END AS hits) FROM pieces) WHERE length(held[i]) >= least
 ), a AS (
   SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
     coalesce(string_agg(kind || ':' || start_at || ':' || (start_at + n), ',' ORDER BY start_at, rank) FILTER (WHERE rank < 3), '') AS base,

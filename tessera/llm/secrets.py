@@ -41,15 +41,35 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]+", 0, 16),
 )
-_EOL = r"(?:\r?\n|\\r\\n|\\n|\r)"
-_LEAD = r"(?:[\x20\t>#*/|\"'+,]|-(?!-)){0,16}"
-_TAIL = r"[\x20\t\"',;+\\]{0,8}"
-_HEADER = rf"{_TAIL}{_EOL}{_LEAD}(?:[A-Za-z0-9-]{{1,40}}:\x20[^\r\n\\]{{0,200}}(?={_EOL}))?(?!-----)"
-_BODY = rf"{_TAIL}{_EOL}?{_LEAD}(?:[A-Za-z0-9+/]{{16,}}+={{0,2}}|[A-Za-z0-9+/]{{1,15}}+={{0,2}}(?={_TAIL}(?:{_EOL}|-----END|$)))"
-_END = rf"(?:{_TAIL}{_EOL})*+{_TAIL}{_LEAD}-----END [A-Z ]{{0,20}}PRIVATE KEY-----"
-#: From BEGIN through headers and the base64 body to the END line, or to the last base64 line where END is missing.
-#: Lines can be indented, quoted or ended by an escaped \n, as in JSON.
-PEM_KEY = rf"-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY-----(?:(?:{_HEADER})*(?:{_BODY})++(?:{_END})?|{_END})?"
+
+
+def pem_key(ahead: bool = True) -> str:
+    """A private key: from BEGIN through headers and the base64 body to the END line, or to the last base64 line where END is missing.
+
+    Lines can be indented, quoted, marked as in a patch or a comment, or ended by an escaped \n, as in JSON; a header's
+    value and the number of lines have no bound. Without body or END the BEGIN line alone is the match. Repeats are
+    possessive, so that the matcher loops over lines and needs no stack for them. ahead: false for an engine that has
+    neither possessive repeats nor lookahead; there each line's end must be preceded by \x01, and the text ended by it.
+    """
+    some = "*+" if ahead else "*"
+    more, maybe = ("++", "?+") if ahead else ("+", "?")
+    eol = r"(?:\r?\n|\\r\\n|\\n|\r)" if ahead else r"(?:\x01?(?:\r?\n|\\r\\n|\\n|\r))"
+    lead = rf"(?:[\x20\t>#*|\"',]|[/+-]+[\x20\t]){some}"
+    tail = r"(?:[\x20\t\"',;+]|\\(?![rn]))*+" if ahead else r"[\x20\t\"',;+\\]*"
+    label = r"(?:(?!PRIVATE KEY)[A-Z0-9 ])*+PRIVATE KEY(?: BLOCK)?-----" if ahead else r"[A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----"
+    value = rf"(?:[^\r\n\\{'' if ahead else '\\x01'}]|\\[^rn\r\n{'' if ahead else '\\x01'}]){some}"
+    header = rf"{tail}{eol}{lead}(?:[A-Za-z][A-Za-z0-9-]{some}:[\x20\t]{value}{'' if ahead else '\\\\?\\x01'})?"
+    run, short = r"[A-Za-z0-9+/]{16,}={0,2}", r"(?:[A-Za-z0-9+/]{1,15}={0,2}|={1,2}[A-Za-z0-9+/]{4})"
+    end = rf"(?:{tail}{eol}){some}{tail}{lead}-?-----END {label}"
+    if ahead:
+        body = rf"{tail}{eol}?{lead}-?(?:{run}|{short}(?={tail}(?:{eol}|-----END|$)))"
+    else:
+        body = rf"{tail}{eol}?{lead}-?(?:{run}|{short}{tail}\x01)"
+        end = rf"(?:{tail}{eol}?{lead}-?{short})?{end}"
+    return rf"-----BEGIN {label}(?:(?:{header}){some}(?:(?:{body}){more}(?:{end}){maybe}|(?:{tail}{eol})?{lead}-?-----END {label})){maybe}"
+
+
+PEM_KEY = pem_key()
 ADDED = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
