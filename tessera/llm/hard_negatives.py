@@ -206,8 +206,9 @@ def mine(rows: DataFrame, anchors: Column, positives: int = 5, negatives: int =
     """
     small_batches(rows.sparkSession)
     found = "anchor_id bigint, positive_id bigint, positive_score bigint, vec_id bigint, score bigint"
+    few = max(1, -(-rows.count() // BLOCK))  # no more tasks than full blocks: each task hands on its own first k of each anchor
     rows = usable(rows)
-    blocks = _blocks(rows, scale)
+    blocks = _blocks(rows.coalesce(few), scale)
     asked = saved(rows.where(anchors))
     few = max(1, -(-asked.count() // BLOCK))
     first = _met(blocks, _blocks(asked.repartition(few, "vec_id"), scale)).mapInArrow(_searcher(0, positives, low, high), found)
