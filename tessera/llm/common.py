@@ -7,6 +7,7 @@ texts of a batch at once, so that the cost is a few nanoseconds a byte and no Py
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,24 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows as Parquet in a new folder of the shared one, read from there, and the folder's path.
+
+    Unlike a checkpoint it keeps columns apart, so later reads take only those they need.
+    """
+    spark = df.sparkSession
+    ensure_shared(spark)
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that written() made, once no frame reads it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of texts hold at most so many rows, so that a Python worker's memory is bounded.
 

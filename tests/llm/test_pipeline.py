@@ -1,5 +1,7 @@
 """Each stage of the pipeline against a brute-force version on its own input."""
 
+import os
+
 import brute
 import corpus_pipeline
 from pyspark.sql import functions as F
@@ -43,7 +45,10 @@ def test_stages(spark):
     assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == plan
 
     rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    shared = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(shared))
     assert rows(corpus_pipeline.run(spark, SF)) == rows(mixed)
+    assert sum(f.endswith(".parquet") for f in set(os.listdir(shared)) - before) == 1  # the last stage's input; earlier files are gone
 
 
 def test_which_of_rows_alike_in_id_and_text_stays_does_not_hang_on_their_order(spark):
