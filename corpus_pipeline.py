@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, mixing, ngram_join, secrets, toxicity
-from tessera.llm.common import saved, table
+from tessera.llm.common import removed, table, written
 
 #: Score from which a document is rejected as toxic.
 TOXIC = 0.7
@@ -87,9 +87,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs = docs if k == len(STAGES) - 1 else saved(docs)
-    return docs
+    """All stages over documents; each stage's rows are written as Parquet to the shared folder and read again.
+
+    A stage's files go once the next one's are written; only those that the result reads stay.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs, path = written(stage(spark, docs, sf_dir))
+        if before:
+            removed(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
