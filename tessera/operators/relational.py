@@ -224,7 +224,7 @@ def approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("l_returnflag", (F.abs(F.col("n") - F.col("exact")) <= 0.08 * F.col("exact")).alias("within"))
 
 
-sql("percentiles", "SELECT event_type, ROUND(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 6) AS p50, ROUND(percentile_cont(0.9) WITHIN GROUP (ORDER BY value), 6) AS p90, ROUND(MEDIAN(value), 6) AS med FROM events GROUP BY event_type")
+sql("percentiles_of_users", "SELECT user_id, ROUND(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 6) AS p50, ROUND(percentile_cont(0.9) WITHIN GROUP (ORDER BY value), 6) AS p90, ROUND(MEDIAN(value), 6) AS med FROM events GROUP BY user_id")
 sql(
     "mode_of",
     "SELECT o_custkey, mode() WITHIN GROUP (ORDER BY o_orderpriority) AS priority, CAST(COUNT(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey",
