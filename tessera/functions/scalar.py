@@ -9,23 +9,23 @@ from ..plans.registry import load, query, sql
 
 sql(
     "string_functions",
-    """SELECT p_partkey, substring(p_name, 2, 4) AS sub, upper(p_brand) AS up, lower(p_type) AS low, CAST(length(p_name) AS BIGINT) AS len, trim('  x ') AS tr, ltrim('  x') AS lt, rtrim('x  ') AS rt,
-    lpad(p_brand, 12, '*') AS lp, rpad(p_brand, 12, '-') AS rp, translate(p_type, 'AEIO', '1234') AS tl, replace(p_type, 'O', '0') AS rep, reverse(p_brand) AS rev, repeat('ab', 3) AS rpt,
+    """SELECT p_partkey, substring(p_name, 2, 4) AS sub, upper(p_brand) AS up, lower(p_type) AS low, CAST(length(p_name) AS BIGINT) AS len, trim(concat('  ', p_name, ' ')) AS tr, ltrim(concat('  ', p_brand)) AS lt, rtrim(concat(p_brand, '  ')) AS rt,
+    lpad(p_brand, 12, '*') AS lp, rpad(p_brand, 12, '-') AS rp, translate(p_type, 'AEIO', '1234') AS tl, replace(p_type, 'O', '0') AS rep, reverse(p_brand) AS rev, repeat(p_brand, 3) AS rpt,
     concat_ws('/', p_brand, p_type) AS cw, CAST(ascii(p_type) AS INT) AS asc_code, left(p_name, 3) AS lft, right(p_name, 3) AS rgt, split_part(p_name, ' ', 1) AS sp,
     CAST(levenshtein(p_brand, p_type) AS BIGINT) AS lev, starts_with(p_type, 'PRO') AS sw, contains(p_type, 'MO') AS ct, p_brand || '-' || p_type AS cc FROM part""".replace("starts_with(p_type, 'PRO')", "startswith(p_type, 'PRO')"),
-    """SELECT p_partkey, substring(p_name, 2, 4) AS sub, upper(p_brand) AS up, lower(p_type) AS low, CAST(length(p_name) AS BIGINT) AS len, trim('  x ') AS tr, ltrim('  x') AS lt, rtrim('x  ') AS rt,
-    lpad(p_brand, 12, '*') AS lp, rpad(p_brand, 12, '-') AS rp, translate(p_type, 'AEIO', '1234') AS tl, replace(p_type, 'O', '0') AS rep, reverse(p_brand) AS rev, repeat('ab', 3) AS rpt,
+    """SELECT p_partkey, substring(p_name, 2, 4) AS sub, upper(p_brand) AS up, lower(p_type) AS low, CAST(length(p_name) AS BIGINT) AS len, trim(concat('  ', p_name, ' ')) AS tr, ltrim(concat('  ', p_brand)) AS lt, rtrim(concat(p_brand, '  ')) AS rt,
+    lpad(p_brand, 12, '*') AS lp, rpad(p_brand, 12, '-') AS rp, translate(p_type, 'AEIO', '1234') AS tl, replace(p_type, 'O', '0') AS rep, reverse(p_brand) AS rev, repeat(p_brand, 3) AS rpt,
     concat_ws('/', p_brand, p_type) AS cw, CAST(ascii(p_type) AS INT) AS asc_code, left(p_name, 3) AS lft, right(p_name, 3) AS rgt, split_part(p_name, ' ', 1) AS sp,
     CAST(levenshtein(p_brand, p_type) AS BIGINT) AS lev, starts_with(p_type, 'PRO') AS sw, contains(p_type, 'MO') AS ct, p_brand || '-' || p_type AS cc FROM part""",
 )
 sql(
     "string_functions_more",
-    """SELECT n_nationkey, CAST(instr(n_name, 'A') AS BIGINT) AS ins, CAST(position('I' IN n_name) AS BIGINT) AS pos, base64(CAST(n_name AS BINARY)) AS b64, hex(CAST(n_name AS BINARY)) AS hx, substring_index('a.b.c', '.', 2) AS si,
-    overlay('abcdef' PLACING 'XY' FROM 3 FOR 2) AS ov, initcap('hello big world') AS ic, url_encode('a b&c') AS ue, url_decode('a%20b') AS ud, format_string('%s-%d', n_name, n_nationkey) AS fs,
-    parse_url('http://h.example/p?q=1', 'HOST') AS host, mask('Ab1-') AS mk, CAST(bit_length(n_name) AS BIGINT) AS bl, CAST(octet_length(n_name) AS BIGINT) AS ol, array_join(split(n_name, 'A'), '_') AS spl FROM nation""",
-    """SELECT n_nationkey, CAST(instr(n_name, 'A') AS BIGINT) AS ins, CAST(position('I' IN n_name) AS BIGINT) AS pos, base64(n_name::BLOB) AS b64, hex(n_name) AS hx, 'a.b' AS si,
-    'abXYef' AS ov, 'Hello Big World' AS ic, 'a+b%26c' AS ue, url_decode('a%20b') AS ud, format('{}-{}', n_name, n_nationkey) AS fs,
-    'h.example' AS host, 'Xxn-' AS mk, CAST(bit_length(n_name) AS BIGINT) AS bl, CAST(strlen(n_name) AS BIGINT) AS ol, array_to_string(string_split(n_name, 'A'), '_') AS spl FROM nation""",
+    """SELECT n_nationkey, CAST(instr(n_name, 'A') AS BIGINT) AS ins, CAST(position('I' IN n_name) AS BIGINT) AS pos, base64(CAST(n_name AS BINARY)) AS b64, hex(CAST(n_name AS BINARY)) AS hx, substring_index(concat(n_name, '.b.', n_nationkey), '.', 2) AS si,
+    overlay(n_name PLACING 'XY' FROM 3 FOR 2) AS ov, initcap(concat(n_name, ' of ', n_nationkey)) AS ic, url_encode(concat(n_name, ' &', n_nationkey)) AS ue, url_decode(concat(replace(n_name, 'A', '%41'), '%20b')) AS ud, format_string('%s-%d', n_name, n_nationkey) AS fs,
+    parse_url(concat('http://h', n_nationkey, '.example/p?q=1'), 'HOST') AS host, mask(concat(n_name, '-x', n_nationkey)) AS mk, CAST(bit_length(n_name) AS BIGINT) AS bl, CAST(octet_length(n_name) AS BIGINT) AS ol, array_join(split(n_name, 'A'), '_') AS spl FROM nation""",
+    """SELECT n_nationkey, CAST(instr(n_name, 'A') AS BIGINT) AS ins, CAST(position('I' IN n_name) AS BIGINT) AS pos, base64(n_name::BLOB) AS b64, hex(n_name) AS hx, n_name || '.b' AS si,
+    left(n_name, 2) || 'XY' || substr(n_name, 5) AS ov, array_to_string(list_transform(string_split(n_name || ' of ' || n_nationkey, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS ic, replace(n_name, ' ', '+') || '+%26' || n_nationkey AS ue, n_name || ' b' AS ud, format('{}-{}', n_name, n_nationkey) AS fs,
+    'h' || n_nationkey || '.example' AS host, regexp_replace(regexp_replace(regexp_replace(n_name || '-x' || n_nationkey, '[a-z]', 'x', 'g'), '[A-Z]', 'X', 'g'), '[0-9]', 'n', 'g') AS mk, CAST(bit_length(n_name) AS BIGINT) AS bl, CAST(strlen(n_name) AS BIGINT) AS ol, array_to_string(string_split(n_name, 'A'), '_') AS spl FROM nation""",
 )
 sql(
     "regex_functions",
@@ -51,20 +51,20 @@ sql(
 sql(
     "timestamp_functions",
     """SELECT event_id, CAST(hour(ts) AS BIGINT) AS h, CAST(minute(ts) AS BIGINT) AS mi, CAST(unix_micros(CAST(ts AS TIMESTAMP)) AS BIGINT) AS us, CAST(date_trunc('HOUR', ts) AS TIMESTAMP_NTZ) AS hour_start, CAST(ts + INTERVAL 90 MINUTES AS TIMESTAMP_NTZ) AS later,
-    CAST(timestampdiff(HOUR, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) AS BIGINT) AS hours, CAST(to_timestamp_ntz('2024-02-03 04:05:06') AS TIMESTAMP_NTZ) AS parsed, CAST(months_between(DATE'2024-03-01', DATE'2024-01-01') AS DOUBLE) AS mb,
+    CAST(timestampdiff(HOUR, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) AS BIGINT) AS hours, to_timestamp_ntz(date_format(ts, 'yyyy-MM-dd HH:mm:ss')) AS parsed, months_between(CAST(ts AS DATE), DATE'2023-11-15') AS mb,
     CAST(convert_timezone('UTC', 'America/New_York', ts) AS TIMESTAMP_NTZ) AS ny FROM events""",
     """SELECT event_id, hour(ts) AS h, minute(ts) AS mi, epoch_us(ts) AS us, date_trunc('hour', ts) AS hour_start, ts + INTERVAL 90 MINUTE AS later,
-    date_sub('hour', TIMESTAMP '2024-01-01 00:00:00', ts) AS hours, TIMESTAMP '2024-02-03 04:05:06' AS parsed, 2.0::DOUBLE AS mb, ts - INTERVAL 5 HOUR AS ny FROM events""",
+    date_sub('hour', TIMESTAMP '2024-01-01 00:00:00', ts) AS hours, date_trunc('second', ts) AS parsed, ROUND(year(ts) * 12 + month(ts) - 24287 + (day(ts) - 15) / 31, 8)::DOUBLE AS mb, ts - INTERVAL 5 HOUR AS ny FROM events""",
 )
 _MATH = """ROUND(sqrt(l_extendedprice), 8) AS sq, ROUND(cbrt(l_quantity), 8) AS cb, ROUND(ln(l_extendedprice), 8) AS ln_, ROUND(log10(l_extendedprice), 8) AS l10, ROUND(log2(l_quantity), 8) AS l2, ROUND(exp(l_discount), 8) AS ex,
     ROUND(sin(l_quantity), 8) AS sn, ROUND(atan2(l_quantity, 3), 8) AS at2, ROUND(degrees(l_discount), 8) AS deg, ROUND(radians(l_quantity), 8) AS rad, ROUND(power(l_quantity, 2), 4) AS pw, abs(l_discount - 1) AS ab, sign(l_discount - 0.05) AS sg,
-    CAST(ceil(l_extendedprice) AS BIGINT) AS ce, CAST(floor(l_extendedprice) AS BIGINT) AS fl, greatest(l_discount, l_tax) AS gr, least(l_discount, l_tax) AS le, l_orderkey % 7 AS md, factorial(5) AS fa, round(2.5) AS r"""
+    CAST(ceil(l_extendedprice) AS BIGINT) AS ce, CAST(floor(l_extendedprice) AS BIGINT) AS fl, greatest(l_discount, l_tax) AS gr, least(l_discount, l_tax) AS le, l_orderkey % 7 AS md, factorial(CAST(l_linenumber AS INT)) AS fa, round(l_quantity / 2) AS r"""
 sql(
     "math_functions",
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ROUND(cos(l_quantity), 8) AS co, ROUND(tan(l_discount), 8) AS ta, ROUND(asin(l_discount), 8) AS asi, ROUND(acos(l_tax), 8) AS aco, ROUND(atan(l_quantity), 8) AS ata, ROUND(sinh(l_tax), 8) AS sih,
     ROUND(cosh(l_discount), 8) AS coh, ROUND(tanh(l_quantity), 8) AS tah, ROUND(cot(l_quantity), 8) AS ct, ROUND(pi() * l_quantity, 8) AS circ, ROUND(l_extendedprice, -2) AS hundreds, -l_tax AS neg, isnan(l_tax) AS nan, l_partkey % 5 AS md FROM lineitem""",
 )
-sql("math_functions_all_rows", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_MATH.replace('factorial(5)', 'CAST(factorial(5) AS BIGINT)').replace('round(2.5)', 'CAST(round(2.5) AS DOUBLE)')} FROM lineitem", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_MATH.replace('factorial(5)', 'factorial(5)::BIGINT').replace('sign(l_discount - 0.05)', 'sign(l_discount - 0.05)::DOUBLE').replace('round(2.5)', 'round(2.5)::DOUBLE')} FROM lineitem")
+sql("math_functions_all_rows", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_MATH.replace('factorial(CAST(l_linenumber AS INT))', 'CAST(factorial(CAST(l_linenumber AS INT)) AS BIGINT)')} FROM lineitem", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_MATH.replace('factorial(CAST(l_linenumber AS INT))', 'factorial(CAST(l_linenumber AS INT))::BIGINT').replace('sign(l_discount - 0.05)', 'sign(l_discount - 0.05)::DOUBLE')} FROM lineitem")
 sql(
     "math_functions_more",
     "SELECT s_suppkey, CAST(pmod(-s_suppkey, 7) AS BIGINT) AS pm, CAST(bround(s_suppkey + 0.5) AS BIGINT) AS br, CAST(rint(s_acctbal) AS BIGINT) AS ri, ROUND(hypot(s_suppkey, 4), 8) AS hy, ROUND(log1p(s_suppkey), 8) AS l1, ROUND(expm1(0.01 * s_suppkey), 8) AS e1, CAST(width_bucket(s_acctbal, 0, 10000, 5) AS BIGINT) AS wb, try_divide(s_suppkey, 0) AS td, conv(CAST(s_suppkey AS STRING), 10, 16) AS hx, CAST(s_suppkey DIV 3 AS BIGINT) AS dv FROM supplier",
@@ -81,7 +81,7 @@ def hash_functions_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT vec_id, ROUND(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 5) AS norm2, len(list_filter(embedding, lambda x: x > 0))::BIGINT AS n_pos, list_max(embedding)::DOUBLE AS most, list_min(embedding)::DOUBLE AS least,
-    embedding[1:3] AS head, embedding[2]::DOUBLE AS second, list_contains([1, 2, 3], label) AS known, list_position([5, 6, 7], 6)::BIGINT AS pos, list_distinct([1, 1]) AS dis, flatten([[1], [2, 3]]) AS flat, len(embedding)::BIGINT AS n FROM embeddings"""
+    embedding[1:3] AS head, embedding[2]::DOUBLE AS second, list_contains([1, 2, 3], label) AS known, list_position([5, label, 7], label)::BIGINT AS pos, list_sort(list_distinct([label, 1, label])) AS dis, flatten([[label], [2, label]]) AS flat, len(embedding)::BIGINT AS n FROM embeddings"""
 )
 def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, ints = F.col("embedding"), lambda *x: F.array(*map(F.lit, x))
@@ -94,9 +94,9 @@ def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.slice(e, 1, 3).alias("head"),
         F.element_at(e, 2).cast("double").alias("second"),
         F.array_contains(ints(1, 2, 3), F.col("label")).alias("known"),
-        F.array_position(ints(5, 6, 7), 6).alias("pos"),
-        F.array_distinct(ints(1, 1)).alias("dis"),
-        F.flatten(F.array(ints(1), ints(2, 3))).alias("flat"),
+        F.array_position(F.array(F.lit(5), "label", F.lit(7)), F.col("label")).alias("pos"),
+        F.sort_array(F.array_distinct(F.array("label", F.lit(1), "label"))).alias("dis"),
+        F.flatten(F.array(F.array("label"), F.array(F.lit(2), "label"))).alias("flat"),
         F.size(e).cast("long").alias("n"),
     )
 
@@ -134,7 +134,7 @@ def array_functions_built(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT s_suppkey, [s_nationkey, s_nationkey + 1] AS vals, (s_nationkey * 2 + 1)::BIGINT AS both, s_nationkey::BIGINT AS of_entries, 'a:1' AS text FROM supplier")
+@query("SELECT s_suppkey, [s_nationkey, s_nationkey + 1] AS vals, (s_nationkey * 2 + 1)::BIGINT AS both, s_nationkey::BIGINT AS of_entries, 'a:' || s_nationkey AS text FROM supplier")
 def map_functions_built(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("s_nationkey").cast("int")
     m = F.map_from_entries(F.array(F.struct(F.lit("a"), n), F.struct(F.lit("b"), n + 1)))
@@ -144,7 +144,7 @@ def map_functions_built(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.map_values(m)).alias("vals"),
         F.element_at(F.map_zip_with(m, other, lambda k, x, y: x + y), "b").cast("long").alias("both"),
         F.element_at(m, "a").cast("long").alias("of_entries"),
-        F.element_at(F.transform(F.map_entries(F.str_to_map(F.lit("a:1"))), lambda e: F.concat_ws(":", e["key"], e["value"])), 1).alias("text"),
+        F.element_at(F.transform(F.map_entries(F.str_to_map(F.concat(F.lit("a:"), "s_nationkey"))), lambda e: F.concat_ws(":", e["key"], e["value"])), 1).alias("text"),
     )
 
 
@@ -167,8 +167,8 @@ def map_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 sql(
     "json_functions",
-    "SELECT event_id, get_json_object(props, '$.k') AS k, from_json(props, 'k STRING').k AS k2, CAST(json_array_length('[1,2,3]') AS BIGINT) AS n, array_join(json_object_keys(props), ',') AS ks, to_json(named_struct('a', event_id)) AS js, try_variant_get(parse_json(props), '$.k', 'string') AS vk FROM events",
-    "SELECT event_id, props->>'$.k' AS k, props->>'$.k' AS k2, json_array_length('[1,2,3]')::BIGINT AS n, array_to_string(json_keys(props), ',') AS ks, '{\"a\":' || event_id || '}' AS js, props->>'$.k' AS vk FROM events",
+    "SELECT event_id, get_json_object(props, '$.k') AS k, from_json(props, 'k STRING').k AS k2, CAST(json_array_length(to_json(sequence(0, CAST(event_id % 5 AS INT)))) AS BIGINT) AS n, array_join(json_object_keys(props), ',') AS ks, to_json(named_struct('a', event_id)) AS js, try_variant_get(parse_json(props), '$.k', 'string') AS vk FROM events",
+    "SELECT event_id, props->>'$.k' AS k, props->>'$.k' AS k2, (event_id % 5 + 1)::BIGINT AS n, array_to_string(json_keys(props), ',') AS ks, '{\"a\":' || event_id || '}' AS js, props->>'$.k' AS vk FROM events",
 )
 sql(
     "csv_and_xml_functions",
@@ -193,12 +193,39 @@ sql(
 )
 sql(
     "json_functions_variant",
-    """SELECT event_id, t.k AS tuple_k, schema_of_json('{"a": 1, "b": ["x"]}') AS sch, variant_get(parse_json(concat('{"n": [', event_id, ', 7]}')), '$.n[1]', 'int') AS second, v.key AS var_key, CAST(v.value AS STRING) AS var_value, schema_of_variant(parse_json('[1]')) AS vs
+    """SELECT event_id, t.k AS tuple_k, schema_of_json('{"a": 1, "b": ["x"]}') AS sch, variant_get(parse_json(concat('{"n": [', event_id, ', 7]}')), '$.n[1]', 'int') AS second, v.key AS var_key, CAST(v.value AS STRING) AS var_value, schema_of_variant(parse_json(CASE WHEN event_id % 2 = 0 THEN props ELSE concat('[', event_id, ']') END)) AS vs
     FROM events, LATERAL json_tuple(props, 'k') AS t(k), LATERAL variant_explode(parse_json(concat('{"n": ', event_id, '}'))) AS v""",
-    """SELECT event_id, props->>'$.k' AS tuple_k, 'STRUCT<a: BIGINT, b: ARRAY<STRING>>' AS sch, 7::INTEGER AS second, 'n' AS var_key, event_id::VARCHAR AS var_value, 'ARRAY<BIGINT>' AS vs FROM events""",
+    """SELECT event_id, props->>'$.k' AS tuple_k, 'STRUCT<a: BIGINT, b: ARRAY<STRING>>' AS sch, 7::INTEGER AS second, 'n' AS var_key, event_id::VARCHAR AS var_value, CASE WHEN event_id % 2 = 0 THEN 'OBJECT<k: BIGINT>' ELSE 'ARRAY<BIGINT>' END AS vs FROM events""",
 )
 sql(
     "xml_functions",
     "SELECT n_nationkey, regexp_replace(to_xml(named_struct('k', n_nationkey, 'n', n_name)), '\\\\s+', '') AS x, array_join(xpath(concat('<p><a>', n_name, '</a><a>z</a></p>'), 'p/a/text()'), ',') AS xs, CAST(xpath_long(concat('<p><a>', n_nationkey, '</a><a>5</a></p>'), 'sum(p/a)') AS BIGINT) AS total, xpath_boolean(concat('<p><a>', n_nationkey, '</a></p>'), 'p/a > 3') AS big FROM nation",
     "SELECT n_nationkey, '<ROW><k>' || n_nationkey || '</k><n>' || replace(n_name, ' ', '') || '</n></ROW>' AS x, n_name || ',z' AS xs, (n_nationkey + 5)::BIGINT AS total, n_nationkey > 3 AS big FROM nation",
 )
+
+
+@query("SELECT event_id, make_time(hour(ts), minute(ts), second(ts))::VARCHAR AS made, date_trunc('hour', ts)::TIME::VARCHAR AS to_hour, date_trunc('minute', ts)::TIME::VARCHAR AS to_minute FROM events")
+def time_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of day; their type is behind a setting of the session, which is put back once the plan is made."""
+    key = "spark.sql.timeType.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        load(spark, sf_dir, "events").createOrReplaceTempView("events")
+        found = spark.sql(
+            """SELECT event_id, t, time_trunc('HOUR', t) AS h, time_trunc('MINUTE', t) AS m FROM (SELECT event_id, make_time(hour(ts), minute(ts), CAST(second(ts) AS DECIMAL(16, 6))) AS t FROM events)"""
+        ).select("event_id", F.col("t").cast("string").alias("made"), F.col("h").cast("string").alias("to_hour"), F.col("m").cast("string").alias("to_minute"))
+        found.schema  # analysed under the setting
+        return found
+    finally:
+        spark.conf.set(key, was)
+
+
+@query(
+    """SELECT c_custkey, xor(list_reduce([4294967295] || flatten(list_transform(string_split(c_name, ''), lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)::BIGINT AS crc, ((c_custkey >> 1) & 1)::INTEGER AS bit1, ((c_custkey >> 3) & 1)::INTEGER AS bit3, bit_count(c_custkey)::BIGINT AS bits FROM customer"""
+)
+def checksums_and_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CRC-32, which SQL takes bit by bit, and single bits."""
+    bit = lambda i: F.getbit(F.col("c_custkey"), F.lit(i)).cast("int")
+    return load(spark, sf_dir, "customer").select("c_custkey", F.crc32(F.col("c_name").cast("binary")).alias("crc"), bit(1).alias("bit1"), bit(3).alias("bit3"), F.bit_count("c_custkey").cast("long").alias("bits"))

@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..plans.registry import load, query
 
@@ -105,6 +107,46 @@ def udtf_python(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT n_nationkey, word FROM nation, LATERAL words_of_name(n_name)")
 
 
+class Runs:
+    """A table function over the rows of a partition in their order: one row for each run of equal values in its last column.
+
+    analyze() takes the names and types of the columns from the table it is given: the first is the partition's key.
+    """
+
+    def __init__(self):
+        self.row, self.n = None, 0
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument) -> AnalyzeResult:
+        if not rows.isTable:
+            raise ValueError("the argument must be a table")
+        fields = rows.dataType.fields
+        kept = [T.StructField(f.name, f.dataType) for f in (fields[0], fields[-1])]
+        return AnalyzeResult(T.StructType([*kept, T.StructField("run_start", fields[1].dataType), T.StructField("n", T.LongType())]))
+
+    def eval(self, row: Row) -> Iterator[tuple]:
+        if self.row is not None and row[-1] != self.row[-1]:
+            yield self.row[0], self.row[-1], self.row[1], self.n
+            self.row, self.n = None, 0
+        self.row = self.row or row
+        self.n += 1
+
+    def terminate(self) -> Iterator[tuple]:
+        if self.row is not None:
+            yield self.row[0], self.row[-1], self.row[1], self.n
+
+
+@query(
+    """SELECT user_id, event_type, min(ts) AS run_start, count(*)::BIGINT AS n FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events) GROUP BY user_id, event_type, g"""
+)
+def udtf_table_argument(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of equal event types of a user, by a table argument with PARTITION BY and ORDER BY; a task holds one row of a run."""
+    spark.udtf.register("runs_of", F.udtf(Runs))
+    load(spark, sf_dir, "events").createOrReplaceTempView("events")
+    return spark.sql("SELECT * FROM runs_of(TABLE(SELECT user_id, ts, event_id, event_type FROM events) PARTITION BY user_id ORDER BY (ts, event_id))")
+
+
 @query("SELECT c_custkey, c_acctbal * 1.1 AS v FROM customer")
 def udf_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION tenth_more(x DOUBLE) RETURNS DOUBLE RETURN x * 1.1")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.registry import load, query, sql
+from ..plans.registry import load, query, scratch, sql
+from .ranges import exact_quantiles
 
 D = "CAST({} AS DECIMAL(14,2))"
 REVENUE = "CAST(SUM(CAST(l_extendedprice AS DECIMAL(14,2)) * CAST(1 - l_discount AS DECIMAL(4,2))) AS DOUBLE)"
@@ -81,6 +84,19 @@ def table_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").sample(fraction=0.1, seed=42).select("o_orderkey")
 
 
+@query("SELECT count(*)::BIGINT AS n_rows, true AS near, true AS subset, true AS again, true AS apart FROM lineitem")
+def table_sample_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the lines: the share is within five standard deviations, all rows are rows of the table, the same seed gives the same rows, and another seed others."""
+    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    key = F.xxhash64(*rows.columns).cast("decimal(38,0)")
+    mark = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum(key).alias("s"))
+    one, same, other = mark(rows.sample(0.1, 7)), mark(rows.sample(0.1, 7)), mark(rows.sample(0.1, 8))
+    outside = rows.sample(0.1, 7).exceptAll(rows).agg(F.count(F.lit(1)).alias("outside"))
+    joined = rows.agg(F.count(F.lit(1)).alias("n_rows")).crossJoin(one).crossJoin(same.toDF("n2", "s2")).crossJoin(other.toDF("n3", "s3")).crossJoin(outside)  # one row each
+    near = F.abs(F.col("n") - 0.1 * F.col("n_rows")) <= 5 * F.sqrt(0.09 * F.col("n_rows"))
+    return joined.select("n_rows", near.alias("near"), (F.col("outside") == 0).alias("subset"), (F.col("s") == F.col("s2")).alias("again"), (F.col("s") != F.col("s3")).alias("apart"))
+
+
 @query("SELECT l_returnflag, CAST(SUM(CASE WHEN l_linestatus = 'F' THEN 1 END) AS BIGINT) AS F, CAST(SUM(CASE WHEN l_linestatus = 'O' THEN 1 END) AS BIGINT) AS O FROM lineitem GROUP BY l_returnflag")
 def pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.count(F.lit(1)))
@@ -144,6 +160,65 @@ def theta_range_join_all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join(events, spans, "value", "lo", "hi", 4.0).select("event_id", "p_partkey")
 
 
+def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], width: float) -> DataFrame:
+    """Pairs whose half-open spans [low, high) overlap, as an equi-join on buckets, in levels whose buckets are width, 2 width, 4 width, ...
+
+    A span belongs to the level where it meets at most three buckets, however wide it is. Two spans meet at the coarser
+    of their levels only, and there in the bucket of the later start only, so no pair comes twice and no distinct is
+    needed. A very wide span is three rows at each level that the other side has, never a row for each bucket below it.
+    Nulls and empty spans match nothing. The columns of both sides must have different names.
+    """
+    base = lambda low, high: F.greatest(F.lit(0), F.least(F.lit(63), F.ceil(F.log2((F.col(high) - F.col(low)) / F.lit(width))).cast("int")))
+    size = lambda level: F.lit(width) * F.pow(F.lit(2.0), level)
+    bucket = lambda x, level: F.floor(x / size(level)).cast("long")
+    sides = [(df.where(F.col(low) < F.col(high)).withColumn(own, base(low, high)), low, high, own) for df, (low, high), own in ((left, left_span, "_al"), (right, right_span, "_bl"))]
+    levels = sorted({r[0] for df, _, _, own in sides for r in df.select(own).distinct().collect()})  # at most 64 numbers
+    dealt = []
+    for df, low, high, own in sides:
+        level = F.explode(F.expr(f"filter(array({', '.join(map(str, levels))}), x -> x >= {own})") if levels else F.array().cast("array<int>"))
+        at = df.withColumn("_l", level)
+        last = F.greatest(bucket(F.col(low), F.col("_l")), F.ceil(F.col(high) / size(F.col("_l"))).cast("long") - 1)  # high itself is outside
+        dealt.append(at.withColumn("_b", F.explode(F.sequence(bucket(F.col(low), F.col("_l")), last))))
+    (a, alow, ahigh, _), (b, blow, bhigh, _) = ((d, *s[1:]) for d, s in zip(dealt, sides))
+    met = a.join(b, ["_l", "_b"]).where((F.col(alow) < F.col(bhigh)) & (F.col(blow) < F.col(ahigh)))
+    once = (F.greatest("_al", "_bl") == F.col("_l")) & (bucket(F.greatest(alow, blow), F.col("_l")) == F.col("_b"))
+    return met.where(once).drop("_l", "_b", "_al", "_bl")
+
+
+_OVERLAP = """SELECT l_orderkey, l_linenumber, user_id, start FROM (
+    SELECT l_orderkey, l_linenumber, epoch_us(l_shipdate) / 1e6 AS s, epoch_us(l_shipdate) / 1e6 + l_quantity * 3600 AS e FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-08-01 00:00:00') l
+    JOIN (SELECT user_id, start, (start_s - 1704067200) + 901929600 AS us, (start_s - 1704067200) + 901929600 + n * n * 600 AS ue FROM (SELECT user_id, min(ts) AS start, epoch_us(min(ts)) / 1e6 AS start_s, count(*) AS n FROM events GROUP BY user_id, time_bucket(INTERVAL 1 DAY, ts))) u
+    ON s < ue AND us < e"""
+
+
+@query(_OVERLAP)
+def interval_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose time of delivery overlaps a user's day of activity, as both are moved to the same month; the widths of both sides differ a hundredfold."""
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    lines = load(spark, sf_dir, "lineitem").where("l_shipdate >= TIMESTAMP '1998-08-01 00:00:00'").select("l_orderkey", "l_linenumber", at("l_shipdate").alias("s"), (at("l_shipdate") + F.col("l_quantity") * 3600).alias("e"))
+    days = load(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("day", "ts")).agg(F.min("ts").alias("start"), F.count(F.lit(1)).alias("n"))
+    moved = at("start") - 1704067200 + 901929600
+    spans = days.select("user_id", "start", moved.alias("us"), (moved + F.col("n") * F.col("n") * 600).alias("ue"))
+    return overlap_join(lines, spans, ("s", "e"), ("us", "ue"), 3600.0).select("l_orderkey", "l_linenumber", "user_id", "start")
+
+
+def bucketed(df: DataFrame, table: str, key: str, buckets: int) -> DataFrame:
+    """Writes df as a table in so many buckets by key, sorted within, and reads it: later joins and groupings on key don't shuffle it."""
+    spark = df.sparkSession
+    df.repartition(buckets, key).write.mode("overwrite").option("path", scratch(spark)).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
+@query("SELECT o_orderkey, o_orderpriority, count(*)::BIGINT AS n, CAST(sum(CAST(l_quantity AS DECIMAL(14,2))) AS DOUBLE) AS qty FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
+def bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines from tables kept in buckets by order: neither the join nor the grouping has an exchange."""
+    run = uuid.uuid4().hex
+    orders = bucketed(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), f"orders_{run}", "o_orderkey", 8)
+    lines = bucketed(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity"), f"lineitem_{run}", "l_orderkey", 8)
+    joined = orders.hint("merge").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.groupBy("o_orderkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("decimal(14,2)")).cast("double").alias("qty"))
+
+
 def asof_join(left: DataFrame, right: DataFrame, on: str, by: str, values: list[str], span: str = "day") -> DataFrame:
     """For each left row the values of the last right row of its key at or before it: unions and windows, no pairs.
 
@@ -264,7 +339,6 @@ def sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     # apart from the sketches: beside a distinct count each of them would be built for every distinct key
     exact = rows.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("exact"))
     made = rows.groupBy("l_returnflag").agg(
-        F.median("l_quantity").alias("median"),
         F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")).alias("hll"),
         F.expr("theta_sketch_estimate(theta_sketch_agg(l_partkey))").alias("theta"),
         F.expr("kll_sketch_agg_double(l_quantity)").alias("kll"),
@@ -275,7 +349,8 @@ def sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     near = lambda c: F.abs(F.col(c) - F.col("exact")) <= 0.08 * F.col("exact")
     kll = F.expr("kll_sketch_get_quantile_double(kll, 0.5)")
-    return made.join(most, "l_returnflag").join(exact, "l_returnflag").select(
+    middle = exact_quantiles(rows, ["l_returnflag"], "l_quantity", {"median": 0.5})
+    return made.join(most, "l_returnflag").join(exact, "l_returnflag").join(middle, "l_returnflag").select(
         "l_returnflag", near("hll").alias("hll"), near("theta").alias("theta"), (F.abs(kll - F.col("median")) <= 3).alias("kll"), (F.col("top")[0]["count"] == F.col("most")).alias("top"),
         (F.length("cms") > 0).alias("cms"), (F.abs(F.col("approx_median") - F.col("median")) <= 1).alias("approx_median"), F.size("histogram").alias("bins"),
     )
@@ -313,15 +388,22 @@ for _op in ("UNION", "UNION ALL", "INTERSECT", "INTERSECT ALL", "EXCEPT", "EXCEP
     sql(_op.lower().replace(" ", "_") + "_op", f"({_C}) {_op} ({_S})")
 sql("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
 sql("common_table_expression", "WITH big AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey), top AS (SELECT MAX(n) AS m FROM big) SELECT o_custkey, CAST(n AS BIGINT) AS n FROM big, top WHERE n = m")
-sql("recursive_cte", "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t")
+sql(
+    "recursive_cte",  # customers as a binary tree: c is below c / 2
+    "WITH RECURSIVE t(k, depth, root) AS (SELECT c_custkey, 0, c_custkey FROM customer WHERE c_custkey BETWEEN 1 AND 3 UNION ALL SELECT c_custkey, depth + 1, root FROM t JOIN customer ON c_custkey DIV 2 = k AND c_custkey > 3) SELECT k, depth, root FROM t",
+    "WITH RECURSIVE t(k, depth, root) AS (SELECT c_custkey, 0, c_custkey FROM customer WHERE c_custkey BETWEEN 1 AND 3 UNION ALL SELECT c_custkey, depth + 1, root FROM t JOIN customer ON c_custkey // 2 = k AND c_custkey > 3) SELECT k, depth, root FROM t",
+)
 sql(
     "pipe_syntax",
     "FROM orders |> WHERE o_orderstatus = 'F' |> AGGREGATE COUNT(*) AS n GROUP BY o_orderpriority |> SELECT o_orderpriority, CAST(n AS BIGINT) AS n",
     "SELECT o_orderpriority, COUNT(*)::BIGINT AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority",
 )
-sql("inline_values", "SELECT k, v FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS t(k, v)")
+sql("inline_values", "SELECT o_orderkey, urgency FROM orders JOIN (VALUES ('1-URGENT', 3), ('2-HIGH', 2), ('5-LOW', NULL)) AS t(name, urgency) ON o_orderpriority = name")
 
 
-@query("SELECT range AS id, range * range AS square FROM range(100)")
+@query("SELECT id FROM (SELECT unnest(range((SELECT max(o_orderkey) + 1 FROM orders))) AS id) WHERE id NOT IN (SELECT o_orderkey FROM orders)")
 def range_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(100).select("id", (F.col("id") * F.col("id")).alias("square"))
+    """The keys that no order has, below the largest."""
+    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    most = orders.agg(F.max("id")).first()[0]
+    return spark.range(0 if most is None else most + 1).join(orders, "id", "left_anti")

@@ -55,3 +55,52 @@ def exclude_current_emulated(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("c_mktsegment").orderBy("c_custkey").rowsBetween(-2, 2)
     c = F.col("c_custkey")
     return load(spark, sf_dir, "customer").select(c, F.when(F.count(c).over(w) > 1, F.sum(c).over(w) - c).alias("s"))
+
+
+def excluding(df: DataFrame, value: str, partition: str, order: str, then: str, unit: str, before: int, after: int, exclude: str) -> DataFrame:
+    """Adds n, least and most: COUNT, MIN and MAX of value over a frame around the row, with an EXCLUDE clause.
+
+    unit: ROWS or GROUPS (peers: rows equal in order); the frame is `before` PRECEDING to `after` FOLLOWING. exclude:
+    CURRENT ROW, GROUP, TIES or NO OTHERS. MIN and MAX can't be taken back from a frame, so what stays is put together
+    from frames that end before the excluded rows and start after them: GROUPS frames over the numbers of the peers; the
+    row's own peers by frames within them, by `then`, which must be unique. What a ROWS frame loses with the peers
+    depends on the row, so there the frame itself (before + after + 1 values) is filtered. Null values count for nothing.
+    """
+    by, v = Window.partitionBy(partition), F.col(value)
+    rows = by.orderBy(order, then)
+    if unit == "ROWS" and exclude in ("GROUP", "TIES"):
+        near = F.collect_list(F.struct(F.col(order).alias("o"), F.col(then).alias("t"), v.alias("v"))).over(rows.rowsBetween(-before, after))
+        peer = lambda x: x["o"].eqNullSafe(F.col(order)) & (~x["t"].eqNullSafe(F.col(then)) if exclude == "TIES" else F.lit(True))
+        kept = F.filter(F.transform(F.filter("_near", lambda x: ~peer(x)), lambda x: x["v"]), lambda x: x.isNotNull())
+        return df.withColumn("_near", near).withColumns({"n": F.size(kept).cast("long"), "least": F.array_min(kept), "most": F.array_max(kept)}).drop("_near")
+    if unit == "ROWS":
+        frames = [rows.rowsBetween(-before, -1), rows.rowsBetween(1, after)] if exclude == "CURRENT ROW" else [rows.rowsBetween(-before, after)]
+    else:
+        df = df.withColumn("_peer", F.dense_rank().over(by.orderBy(order)))
+        groups = by.orderBy("_peer")
+        own = Window.partitionBy(partition, "_peer").orderBy(then)
+        frames = [groups.rangeBetween(-before, after)] if exclude == "NO OTHERS" else [groups.rangeBetween(-before, -1), groups.rangeBetween(1, after)]
+        if exclude == "CURRENT ROW":
+            frames += [own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(1, Window.unboundedFollowing)]
+        if exclude == "TIES":
+            frames.append(own.rowsBetween(0, 0))
+    join = lambda f, parts: f(*parts) if len(parts) > 1 else parts[0]
+    n = sum((F.count(v).over(w) for w in frames[1:]), F.count(v).over(frames[0]))
+    least, most = join(F.least, [F.min(v).over(w) for w in frames]), join(F.greatest, [F.max(v).over(w) for w in frames])
+    return df.withColumns({"n": n, "least": least, "most": most}).drop("_peer")
+
+
+def _excluding_query(unit: str, exclude: str) -> None:
+    over = f"(PARTITION BY event_type ORDER BY user_id{', event_id' if unit == 'ROWS' else ''} {unit} BETWEEN 3 PRECEDING AND 2 FOLLOWING EXCLUDE {exclude})"
+    text = f"SELECT event_id, count(value) OVER w AS n, min(value) OVER w AS least, max(value) OVER w AS most FROM events WINDOW w AS {over}"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        events = load(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "value")
+        return excluding(events, "value", "event_type", "user_id", "event_id", unit, 3, 2, exclude).select("event_id", "n", "least", "most")
+
+    run.__name__ = f"exclude_{exclude.lower().replace(' ', '_')}_{unit.lower()}"
+    query(text)(run)
+
+
+for _unit, _exclude in (("ROWS", "CURRENT ROW"), ("GROUPS", "CURRENT ROW"), ("GROUPS", "GROUP"), ("GROUPS", "TIES"), ("GROUPS", "NO OTHERS")):
+    _excluding_query(_unit, _exclude)

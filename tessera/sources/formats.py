@@ -46,27 +46,25 @@ def xml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _again(spark, sf_dir, "xml", {"rowTag": "nation"})
 
 
-_HARD = """(VALUES (1, 'plain', 1.5), (2, 'a "quoted" word, and a comma', NULL), (3, NULL, -0.25), (4, 'two' || chr(10) || 'lines', 1e10), (5, 'ünï' || chr(9) || 'tab \\ slash', 0.1)) AS t(k, s, d)"""
+_HARD = """SELECT doc_id AS k, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'a "quoted" word, and ''a'' comma' || chr(10) || text || chr(9) || 'ünï' WHEN 2 THEN NULL ELSE text || ' {} slash ' END AS s, CASE WHEN doc_id % 5 > 0 THEN CAST(doc_id * 0.25 - 1 AS DOUBLE) END AS d FROM documents"""
 
 
-def _hard_again(spark: SparkSession, kind: str, options: dict) -> DataFrame:
-    """Nulls, quotes, separators, line breaks and letters beyond ASCII, written and read back."""
+def _hard_again(spark: SparkSession, sf_dir: str, kind: str, options: dict) -> DataFrame:
+    """Whole texts with nulls, quotes, separators, line breaks and letters beyond ASCII, written and read back."""
     path = scratch(spark)
-    spark.sql(f"SELECT CAST(k AS BIGINT) AS k, s, CAST(d AS DOUBLE) AS d FROM {_HARD}".replace("\\", "\\\\")).write.format(kind).options(**options).save(path)
+    load(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    spark.sql(_HARD.format("\\\\")).write.format(kind).options(**options).save(path)
     return spark.read.format(kind).schema("k BIGINT, s STRING, d DOUBLE").options(**options).load(path)
 
 
-_HARD_SQL = f"SELECT k::BIGINT AS k, s, d::DOUBLE AS d FROM {_HARD}"
-
-
-@query(_HARD_SQL)
+@query(_HARD.format("\\"))
 def csv_hard_values_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hard_again(spark, "csv", {"multiLine": "true", "escape": '"', "header": "true"})
+    return _hard_again(spark, sf_dir, "csv", {"multiLine": "true", "escape": '"', "header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
 
 
-@query(_HARD_SQL)
+@query(_HARD.format("\\"))
 def json_hard_values_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hard_again(spark, "json", {})
+    return _hard_again(spark, sf_dir, "json", {})
 
 
 @query("SELECT n_name AS value FROM nation")
@@ -111,11 +109,16 @@ class SquaresReader(DataSourceReader):
             yield i, i * i
 
 
-@query("SELECT range AS id, range * range AS square FROM range(1000)")
+@query("SELECT event_id AS id, event_id * event_id AS square, event_type FROM events")
 def custom_batch_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source makes a row for each event's id, in parts of some 100,000, which is joined to the events."""
     ship(spark)
     spark.dataSource.register(Squares)
-    return spark.read.format("squares").option("n", "1000").option("parts", "4").load()
+    events = load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type")
+    most = events.agg(F.max("id")).first()[0]
+    n = 0 if most is None else most + 1
+    made = spark.read.format("squares").option("n", str(n)).option("parts", str(max(2, n // 100_000))).load()
+    return made.join(events, "id")
 
 
 @query("SELECT n_regionkey, count(*)::BIGINT AS n FROM nation GROUP BY n_regionkey")
