@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -38,7 +39,7 @@ def sql(name: str, text: str, oracle: str | None = None) -> None:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         for t in TABLES:
-            if t in text:
+            if re.search(rf"\b{t}\b", text):
                 load(spark, sf_dir, t).createOrReplaceTempView(t)
         return spark.sql(text)
 

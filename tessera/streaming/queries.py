@@ -165,30 +165,3 @@ def transform_with_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         return run_to_end(s, "update").groupBy("event_type").agg(F.max("n").alias("n"))
     finally:
         spark.conf.set(key, was)
-
-
-def _hand_made(spark: SparkSession, files: list[list[tuple]], schema: str) -> DataFrame:
-    """A stream of small files, one a batch, in their order."""
-    path = scratch(spark)
-    for rows in files:
-        spark.createDataFrame(rows, schema).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(schema.replace("ts string", "ts timestamp")).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-@query("SELECT 3::BIGINT AS n_kept, 1::BIGINT AS n_dropped")
-def late_data_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An event behind the watermark by the time it comes isn't counted; the stream's reports say how many were dropped."""
-    days = (["2024-01-01 00:00:00", "2024-01-02 00:00:00"], ["2024-01-10 00:00:00"], ["2024-01-01 00:30:00"], [_SENTINEL])
-    s, reports = _hand_made(spark, [[(t,) for t in d] for d in days], "ts string"), []
-    counted = run_to_end(s.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour")).agg(F.count(F.lit(1)).alias("n")).select("window.start", "n"), "append", reports)
-    dropped = sum(op["numRowsDroppedByWatermark"] for r in reports for op in r["stateOperators"])
-    kept = counted.where(F.col("start") < F.lit(_SENTINEL).cast("timestamp"))
-    return kept.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_kept"), F.lit(dropped).cast("bigint").alias("n_dropped"))
-
-
-@query("SELECT k, n::BIGINT AS n FROM (VALUES ('a', 2), ('b', 1)) AS t(k, n)")
-def dedup_state_expires(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A repeat within the watermark's hour is dropped, in its batch and in later ones; one that comes when the state is gone passes."""
-    files = [[("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:30"), ("b", "2024-01-01 00:10:00")], [("a", "2024-01-01 00:20:00")], [("z", "2024-01-03 00:00:00")], [("z", "2024-01-03 00:00:01")], [("a", "2024-01-03 00:30:00")]]
-    s = _hand_made(spark, files, "k string, ts string").withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["k"])
-    return run_to_end(s.select("k"), "append").where("k != 'z'").groupBy("k").agg(F.count(F.lit(1)).alias("n"))

@@ -5,7 +5,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tessera.streaming import stateful
-from tessera.streaming.queries import run_to_files
+from tessera.streaming.queries import run_to_end, run_to_files
 
 KIND = "event_id bigint, ts string, user_id bigint, event_type string, value double"
 
@@ -52,3 +52,18 @@ def test_slices_of_nothing(spark, tmp_path):
     none = spark.createDataFrame([], stateful._COLUMNS)
     stateful.slices(none, f"{tmp_path}/in", 3, ("end",))
     assert [r.event_type for r in spark.read.parquet(f"{tmp_path}/in").collect()] == ["end"]
+
+
+def test_rows_behind_the_watermark_are_dropped_and_reported(spark, tmp_path):
+    s = files(spark, tmp_path / "in", [[(1, "01 00:00", 1), (2, "02 00:00", 1)], [(3, "10 00:00", 1)], [(4, "01 00:30", 1)], [(5, "28 00:00", 1)]])
+    reports = []
+    counted = run_to_end(s.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour")).agg(F.count(F.lit(1)).alias("n")).select("window.start", "n"), "append", reports)
+    assert counted.agg(F.sum("n")).first()[0] == 3  # the last window stays open
+    assert sum(op["numRowsDroppedByWatermark"] for r in reports for op in r["stateOperators"]) == 1
+
+
+def test_a_repeat_passes_once_its_key_is_forgotten(spark, tmp_path):
+    s = files(spark, tmp_path / "in", [[(1, "01 00:00", 1), (2, "01 00:01", 1), (3, "01 00:10", 2)], [(4, "01 00:20", 1)], [(5, "03 00:00", 9)], [(6, "03 00:01", 9)], [(7, "03 00:30", 1)]])
+    once = run_to_end(s.withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["user_id"]).select("user_id", "event_id"), "append")
+    got = sorted((r.user_id, r.event_id) for r in once.where("user_id < 9").collect())
+    assert [u for u, _ in got] == [1, 1, 2] and got[1][1] == 7 and got[2] == (2, 3)
