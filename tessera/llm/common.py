@@ -145,7 +145,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, offs - offs[0]
 
 
-def blocks(offs: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def blocks(offs: np.ndarray, most: int = 500_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most so many bytes (a longer text is a range of its own)."""
     i, n = 0, len(offs) - 1
     while i < n:
