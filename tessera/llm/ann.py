@@ -1,7 +1,8 @@
 """Nearest neighbours by inner product over low-dimensional stable projections, indexed by a kd-tree.
 
 Largest inner product is smallest distance once each vector x gets one more coordinate sqrt(M^2 - |x|^2), with
-M the largest norm, and a query gets 0 there: |q - x|^2 = |q|^2 + M^2 - 2 q.x. Gaussian (2-stable) projections
+M the largest norm, and a query gets 0 there: |q - x|^2 = |q|^2 + M^2 - 2 q.x. The order doesn't hang on the query's
+length, so queries are stretched to length M, where near and far vectors differ most. Gaussian (2-stable) projections
 to DIMS dimensions keep distances up to a chi-square factor: projected^2 / true^2 has DIMS degrees of freedom.
 
 The upper levels of the kd-tree are fitted on a bounded sample of projected vectors, and every vector is put
@@ -10,7 +11,8 @@ sample of the cell, so cells stay near CELL vectors however many there are. A qu
 by leaf in order of projected distance, verifying each leaf's vectors by true inner products. It stops once the next
 leaf's projected distance passes the test: were there a nearer vector than the worst kept one beyond it, its
 projection would be that far with probability below 1 - CONFIDENCE. The same test picks the other cells that the
-query must still visit, with the bound that it has by then; there it goes on in the same way.
+query must still visit, at CELL_CONFIDENCE, since a box's distance is well below that of most vectors in it: first
+the FIRST nearest boxes, which lower the bound to about its final value, then, with that bound, all others that pass.
 
 Equal vectors are one class, with its smallest ids: a class has at most K + 1 that can matter. Classes are ranked by
 score and then by their smallest id before any is cut, so that ties go to the smaller ids.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import math
 import pickle
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +35,21 @@ from .common import saved
 K = 20
 DIMS = 8
 CONFIDENCE = 0.97
+#: Of the test that whole cells must pass.
+CELL_CONFIDENCE = 0.6
+#: Cells that a query visits after its own and before all others.
+FIRST = 16
 #: Most vectors that the upper tree is fitted on.
 SAMPLE = 20_000
-CELL, LEAF = 4096, 256
+CELL, LEAF = 2048, 256
 #: Vectors that a tree is fitted on for each of its cells.
 PER_CELL = 16
 #: Most queries that are searched in one cell at once.
 QUERY_BLOCK = 4096
 #: Room for rounding between a matrix product and the exact sum, as a share of the two norms' product.
 _ROUNDING = 1e-12
+#: Most pairs of query and cell that a worker tests at once.
+_PAIRS = 4_000_000
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -80,6 +89,17 @@ def _projected(x: np.ndarray, norm: float | None, proj: np.ndarray) -> np.ndarra
     return out
 
 
+def _stretch(q: np.ndarray, norm: float) -> np.ndarray:
+    """What each query is multiplied with, to be as long as the longest vector."""
+    length = np.sqrt((q**2).sum(axis=1))
+    return np.divide(norm, length, out=np.ones(len(q)), where=length > 0)
+
+
+def _far(q: np.ndarray, stretch: np.ndarray, norm: float, score: np.ndarray) -> np.ndarray:
+    """Squared distance from stretched queries of the vectors with these inner products with the queries themselves."""
+    return np.maximum(0.0, (q**2).sum(axis=1) * stretch**2 + norm**2 - 2 * stretch * score)
+
+
 class Tree:
     """Median splits of the widest dimension; leaf i of the tree is cell i, a box of the projected space."""
 
@@ -120,15 +140,19 @@ class Tree:
         return out
 
     def near(self, points: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which points reach which cells' boxes (squared distance at most `reach`): down the tree, far branches left out."""
+        """Which points reach which cells' boxes (squared distance at most `reach`)."""
+        return self.near_with_gaps(points, reach)[:2]
+
+    def near_with_gaps(self, points: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """near(), and those squared distances: down the tree, far branches left out."""
         who, node = np.arange(len(points)), np.ones(len(points), np.int64)
         for level in range(self.depth + 1):
             gap = (np.maximum(0.0, np.maximum(self.lo[node] - points[who], points[who] - self.hi[node])) ** 2).sum(axis=1)
             keep = gap <= reach[who]
-            who, node = who[keep], node[keep]
+            who, node, gap = who[keep], node[keep], gap[keep]
             if level < self.depth:
                 who, node = np.repeat(who, 2), np.repeat(2 * node, 2) + np.tile([0, 1], len(node))
-        return who, node - self.cells
+        return who, node - self.cells, gap
 
 
 class Index:
@@ -149,17 +173,25 @@ class Index:
                 cell[mine] = self.first[c] + self.lower[c].cell(points[mine])
         return cell
 
+    @property
+    def cells(self) -> int:
+        """Cells that hold vectors."""
+        return self.upper.cells + sum(tree.cells - 1 for tree in self.lower.values())
+
     def near(self, points: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        who, cell = self.upper.near(points, reach)
-        out = [(who, cell)]
+        return self.near_with_gaps(points, reach)[:2]
+
+    def near_with_gaps(self, points: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        who, cell, gap = self.upper.near_with_gaps(points, reach)
+        out = [(who, cell, gap)]
         for c in np.unique(cell):
             if c in self.lower:
                 mine = who[cell == c]
-                i, inner = self.lower[c].near(points[mine], reach[mine])
-                out.append((mine[i], self.first[c] + inner))
-        who, cell = (np.concatenate(x) for x in zip(*out))
+                i, inner, inner_gap = self.lower[c].near_with_gaps(points[mine], reach[mine])
+                out.append((mine[i], self.first[c] + inner, inner_gap))
+        who, cell, gap = (np.concatenate(x) for x in zip(*out))
         keep = ~np.isin(cell, list(self.lower))
-        return who[keep], cell[keep]
+        return who[keep], cell[keep], gap[keep]
 
 
 def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -170,7 +202,7 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _search(q: np.ndarray, qp: np.ndarray, bound: np.ndarray, x: np.ndarray, xp: np.ndarray, ids: np.ndarray, norm: float, tau: float, keep: int) -> tuple[np.ndarray, np.ndarray]:
+def _search(q: np.ndarray, proj: np.ndarray, bound: np.ndarray, x: np.ndarray, xp: np.ndarray, ids: np.ndarray, norm: float, tau: float, keep: int) -> tuple[np.ndarray, np.ndarray]:
     """Best inner products (-inf where none) and rows of x for each query, ties by ids; bound: one it has from elsewhere."""
     best, at = np.full((len(q), keep), -np.inf), np.full((len(q), keep), -1, np.int64)
     if not len(x) or not len(q):
@@ -180,16 +212,15 @@ def _search(q: np.ndarray, qp: np.ndarray, bound: np.ndarray, x: np.ndarray, xp:
     leaf = tree.cell(xp)
     rows = np.argsort(leaf, kind="stable")
     cuts = np.searchsorted(leaf[rows], np.arange(2**depth + 1))
-    gaps = tree.gaps(qp)
+    stretch = _stretch(q, norm)
+    gaps = tree.gaps(_projected(q * stretch[:, None], None, proj))
     order = np.argsort(gaps, axis=1)
-    square = (q**2).sum(axis=1)
-    q2, room = square + norm**2, np.sqrt(square) * norm * _ROUNDING * q.shape[1]
+    room = np.sqrt((q**2).sum(axis=1)) * norm * _ROUNDING * q.shape[1]
     live = np.arange(len(q))
     for rank in range(2**depth):
         leaves = order[live, rank]
         worst = np.maximum(best[live, -1], bound[live])
-        far = np.maximum(0.0, q2[live] - 2 * worst)
-        go = gaps[live, leaves] <= tau * far  # -inf: nothing kept yet, goes on
+        go = gaps[live, leaves] <= tau * _far(q[live], stretch[live], norm, worst)  # -inf: nothing kept yet, goes on
         live, leaves = live[go], leaves[go]
         if not len(live):
             break
@@ -218,7 +249,7 @@ def _search(q: np.ndarray, qp: np.ndarray, bound: np.ndarray, x: np.ndarray, xp:
     return best, at
 
 
-_FOUND = "query_id bigint, vec_id bigint, score double, home boolean, bound double"
+_FOUND = "query_id bigint, vec_id bigint, score double"
 
 
 def _in_cell(width: int, norm: float, dims: int, tau: float, k: int):
@@ -227,20 +258,18 @@ def _in_cell(width: int, norm: float, dims: int, tau: float, k: int):
     def run(queries: pa.Table, points: pa.Table) -> pa.Table:
         q, x = _matrix(queries.column("query"), width), _matrix(points.column("embedding"), width)
         own = queries.column("query_id").to_numpy()
-        home = queries.column("home").to_numpy(zero_copy_only=False).astype(bool)
         bound = queries.column("bound").to_numpy(zero_copy_only=False)
         members = points.column("ids").to_pylist()
         ids = np.array([m[0] for m in members], np.int64)
         # of classes in order of score and smallest id, the first k + 1 hold the k nearest, the query itself aside
-        best, at = _search(q, _projected(q, None, proj), bound, x, _projected(x, norm, proj), ids, norm, tau, k + 1)
-        out: tuple[list, ...] = ([], [], [], [], [])
+        best, at = _search(q, proj, bound, x, _projected(x, norm, proj), ids, norm, tau, k + 1)
+        out: tuple[list, ...] = ([], [], [])
         for i in range(len(q)):
             pairs = sorted(((-s, v) for s, r in zip(best[i].tolist(), at[i]) if r >= 0 for v in members[r] if v != own[i]))[:k]
-            worst = -pairs[-1][0] if len(pairs) >= k else -math.inf
             for s, v in pairs or [(math.nan, None)]:
-                for c, value in zip(out, (own[i], v, -s, home[i], worst)):
+                for c, value in zip(out, (own[i], v, -s)):
                     c.append(value)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.bool_()), pa.array(out[4], pa.float64())], names=["query_id", "vec_id", "score", "home", "bound"])
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -264,22 +293,27 @@ def _lower_trees(placed: DataFrame, counts: dict[int, int], upper: Tree, width:
     return {r["cell"]: pickle.loads(r["tree"]) for r in picked.groupBy("cell").applyInArrow(fitted, "cell bigint, tree binary").collect()}
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, dims: int = DIMS, confidence: float = CONFIDENCE, sample: int = SAMPLE, cell_size: int = CELL) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, dims: int = DIMS, confidence: float = CONFIDENCE, sample: int = SAMPLE, cell_size: int = CELL, cell_confidence: float = CELL_CONFIDENCE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query (all, if fewer), ties to smaller vec_id.
 
     vectors: vec_id, embedding; queries: the same columns, and every row of vectors but those with the query's
     own vec_id is a candidate. Null ids, and vectors that are null, zero or hold null or non-finite components,
     take no part; nor do vectors of another length than most have. Rows that share a vec_id count once. Other columns
     are not read. Without usable vectors or queries there are no rows.
-    The index takes some 150 bytes a cell in the driver and in each worker: 40 MB for a thousand million vectors.
+    The index takes some 150 bytes a cell in the driver and in each worker: 80 MB for a thousand million vectors.
     """
+    return nearest_and_visits(vectors, queries, k, dims, confidence, sample, cell_size, cell_confidence)[0]
+
+
+def nearest_and_visits(vectors: DataFrame, queries: DataFrame, k: int = K, dims: int = DIMS, confidence: float = CONFIDENCE, sample: int = SAMPLE, cell_size: int = CELL, cell_confidence: float = CELL_CONFIDENCE) -> tuple[DataFrame, DataFrame, int]:
+    """What nearest() returns; query_id, cell of each visit; and how many cells there are."""
     spark = vectors.sparkSession
     ship(spark)
     base, asked = usable(vectors), usable(queries)
     common = base.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     nothing = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     if common is None:
-        return nothing
+        return nothing, spark.createDataFrame([], "query_id bigint, cell bigint"), 0
     width = common["n"]
     # equal vectors are one class; of its ids only the smallest k + 1 can be among a query's k nearest
     by = Window.partitionBy("embedding").orderBy("vec_id")
@@ -288,7 +322,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, dims: int = DIMS
     square = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     n, norm2 = classes.agg(F.count(F.lit(1)), F.max(square)).first()
     norm = math.sqrt(norm2) * (1 + 1e-12)
-    proj, tau = _projection(width, dims), chi_square_quantile(confidence, dims)
+    proj, tau, cell_tau = _projection(width, dims), chi_square_quantile(confidence, dims), chi_square_quantile(cell_confidence, dims)
     fitted = classes.select("embedding").orderBy(F.xxhash64(F.element_at("ids", 1)), F.element_at("ids", 1)).limit(sample).toArrow()
     points = _projected(_matrix(fitted.column("embedding"), width), norm, proj)
     depth = max(0, min(round(math.log2(max(1, n / cell_size))), int(math.log2(max(1, len(points) / PER_CELL)))))
@@ -306,7 +340,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, dims: int = DIMS
     placed = saved(placing(spark.sparkContext.broadcast(upper)))
     counts = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # a row a cell of the upper tree
     lower = _lower_trees(placed, counts, upper, width, norm, proj, cell_size)
-    index = spark.sparkContext.broadcast(Index(upper, lower))
+    whole = Index(upper, lower)
+    index = spark.sparkContext.broadcast(whole)
     if lower:
         placed = saved(placing(index))
 
@@ -315,36 +350,59 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, dims: int = DIMS
     def home(batches):
         for batch in batches:
             q = _matrix(batch.column("embedding"), width)
-            cell = index.value.cell(_projected(q, None, proj))
+            cell = index.value.cell(_projected(q * _stretch(q, norm)[:, None], None, proj))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(cell), pa.array(np.full(len(q), -np.inf))], names=["query_id", "cell", "bound"])
 
-    def visits(batches):
-        for batch in batches:
-            q = _matrix(batch.column("query"), width)
-            bound = batch.column("bound").to_numpy(zero_copy_only=False)
-            qp = _projected(q, None, proj)
-            far = np.maximum(0.0, (q**2).sum(axis=1) + norm**2 - 2 * bound)
-            who, cell = index.value.near(qp, tau * far)
-            new = cell != index.value.cell(qp)[who]
-            who, cell = who[new], cell[new]
-            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(who)), pa.array(cell), pa.array(bound[who])], names=["query_id", "cell", "bound"])
+    def visits(most: int | None):
+        """Cells that pass the test and aren't in `seen` (all or, of each query, the `most` nearest)."""
 
+        def run(batches):
+            for batch in batches:
+                step = max(1, _PAIRS // whole_cells)
+                for i in range(0, batch.num_rows, step):
+                    part = batch.slice(i, step)
+                    q = _matrix(part.column("query"), width)
+                    bound = part.column("bound").to_numpy(zero_copy_only=False)
+                    stretch = _stretch(q, norm)
+                    who, cell, gap = index.value.near_with_gaps(_projected(q * stretch[:, None], None, proj), cell_tau * _far(q, stretch, norm, bound))
+                    seen = part.column("seen")
+                    had = np.repeat(np.arange(len(q)), seen.value_lengths().to_numpy()) * whole_numbers + seen.flatten().to_numpy()
+                    new = ~np.isin(who * whole_numbers + cell, had)
+                    who, cell, gap = who[new], cell[new], gap[new]
+                    if most is not None:
+                        order = np.lexsort((cell, gap, who))
+                        who, cell = who[order], cell[order]
+                        near = np.arange(len(who)) - np.searchsorted(who, who, "left") < most
+                        who, cell = who[near], cell[near]
+                    yield pa.RecordBatch.from_arrays([part.column("query_id").take(pa.array(who)), pa.array(cell), pa.array(bound[who])], names=["query_id", "cell", "bound"])
+
+        return run
+
+    whole_cells = whole.cells
+    whole_numbers = upper.cells + sum(tree.cells for tree in lower.values())
     shape = "query_id bigint, cell bigint, bound double"
     vector_of = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     run = _in_cell(width, norm, dims, tau, k)
 
-    def search(pairs: DataFrame, at_home: bool) -> DataFrame:
+    def search(pairs: DataFrame) -> DataFrame:
         """pairs: query_id, cell, bound. A cell that many queries visit gets them, and its vectors, in several blocks."""
-        pairs = saved(pairs)
         blocks = pairs.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks"))
         left = pairs.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
-        left = left.join(vector_of, "query_id").select("query_id", "query", "cell", "block", F.lit(at_home).alias("home"), "bound")
+        left = left.join(vector_of, "query_id").select("query_id", "query", "cell", "block", "bound")
         right = placed.join(blocks, "cell").select("embedding", "ids", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
         return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInArrow(run, _FOUND)
 
-    first = saved(search(asked.select("vec_id", "embedding").mapInArrow(home, shape), True))
-    bounds = first.groupBy("query_id").agg(F.max("bound").alias("bound"))
-    more = vector_of.join(bounds, "query_id").select("query_id", "query", "bound").mapInArrow(visits, shape)
-    found = first.union(search(more, False)).where("vec_id IS NOT NULL")
+    pairs = [saved(asked.select("vec_id", "embedding").mapInArrow(home, shape))]
+    found = saved(search(pairs[0]))
+    for most in (FIRST, None):
+        # at most k rows and one visit for each of the few cells so far
+        kth = F.try_element_at(F.sort_array(F.collect_list(F.when(F.col("vec_id").isNotNull(), F.col("score"))), asc=False), F.lit(k))
+        bounds = found.groupBy("query_id").agg(F.coalesce(kth, F.lit(float("-inf"))).alias("bound"))
+        seen = reduce(DataFrame.union, pairs).groupBy("query_id").agg(F.collect_list("cell").alias("seen"))
+        pairs.append(saved(vector_of.join(bounds, "query_id").join(seen, "query_id").mapInArrow(visits(most), shape)))
+        found = found.union(search(pairs[-1]))
+        if most is not None:
+            found = saved(found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.where("vec_id IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", "vec_id", "score"), reduce(DataFrame.union, pairs).select("query_id", "cell"), whole_cells

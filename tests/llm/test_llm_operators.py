@@ -375,6 +375,26 @@ def test_nearest_over_many_cells(spark):
     assert len(got) == 100 * 20 and hit >= 0.95 * len(got)
 
 
+def test_nearest_prunes_cells_of_clustered_vectors(spark):
+    """250,000 vectors in 2,000 clusters, cells of 2,048: a query visits at most a fifth of the cells and finds nine in ten neighbours."""
+    rng = np.random.default_rng(11)
+    n, width = 250_000, 32
+    x = rng.standard_normal((2000, width))[rng.integers(0, 2000, n)] + 0.25 * rng.standard_normal((n, width))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    vectors = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), width).cast(pa.list_(pa.float32()))})).repartition(8)
+    found, visits, cells = ann.nearest_and_visits(vectors, vectors.where("vec_id % 1000 = 0"))
+    got = found.toPandas()
+    assert visits.count() == visits.distinct().count() and not got.duplicated(["query_id", "vec_id"]).any()
+    share = visits.count() / 250 / cells
+    x, hit = x.astype(float), 0
+    for i in range(0, n, 1000):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hit += len(set(np.argpartition(-s, 20)[:20]) & set(got[got.query_id == i].vec_id))
+    print(f"cells {cells}, visited {share:.3f}, recall {hit / len(got):.4f}")
+    assert cells >= 100 and share <= 0.2 and len(got) == 250 * 20 and hit >= 0.9 * len(got)
+
+
 def test_index_puts_points_into_boxes_that_reach_them():
     rng = np.random.default_rng(6)
     x = rng.standard_normal((5000, 4))
