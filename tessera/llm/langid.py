@@ -6,12 +6,13 @@ the first n for which any n-gram of the word is known in any language, the word
 n-grams. What a language lacks costs it a fixed penalty. A text's score is the mean over its words.
 
 The model is fitted on at most SAMPLE labelled rows a language, those with the smallest hash of the id, and on no more
-than SAMPLE_BYTES of their texts (the last one whole). That bounds the table of frequencies that the driver gathers.
+than SAMPLE_BYTES of their texts (the last one whole). Of what they hold, the model keeps at most ENTRIES frequencies: each
+language's most frequent words and n-grams of each length, an equal share each. So neither the driver nor a worker
+holds more, however many languages there are; only pairs of a gram and a language that has it take room.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_train, small_batches
+from .common import in_train, saved, small_batches
 
 #: Most labelled rows of each language that the model is fitted on.
 SAMPLE = 2500
@@ -29,10 +30,12 @@ SAMPLE_BYTES = 16 << 20
 #: Least times that a word or n-gram occurs in the sample to be known.
 LEAST = 2
 MOST_N = 5
+#: Most frequencies in the model, over all languages (some 150 bytes each in every Python worker).
+ENTRIES = 1_500_000
 #: Lower log10 frequency than any that a sample of this size has.
 PENALTY = -7.0
 #: Unseen words that each Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Ranges of the hash of an id, as a power of two.
 _RANGE_BITS = 12
 
@@ -77,34 +80,45 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log10 relative frequencies: words (by bytes) and n-grams (by length and string) to a row of `table`."""
+    """Log10 relative frequencies of words (by bytes) and n-grams (by length and string), as gains over PENALTY.
+
+    Each word or n-gram has a row; row i's gains are those from start[i] to start[i + 1], one for each language that has it.
+    """
 
     def __init__(self, counts: pa.Table):
         """counts: lang, n, gram, count, total (of the language and n)."""
-        langs = counts.column("lang").to_pylist()
-        self.langs = sorted(set(langs))
-        at = {lang: i for i, lang in enumerate(self.langs)}
+        names = counts.column("lang").to_pylist()
+        self.langs = sorted(set(names))
+        number = {lang: i for i, lang in enumerate(self.langs)}
+        lang = np.fromiter((number[x] for x in names), np.int32, len(names))
         self.words: dict[bytes, int] = {}
         self.grams: dict[tuple[int, str], int] = {}
-        rows = []
-        for n, gram in zip(counts.column("n").to_pylist(), counts.column("gram").to_pylist()):
-            if n:
-                rows.append(self.grams.setdefault((n, gram), len(self.grams) + len(self.words)))
-            else:
-                rows.append(self.words.setdefault(gram.encode(), len(self.grams) + len(self.words)))
-        self.table = np.full((len(self.grams) + len(self.words), len(self.langs)), PENALTY, np.float32)
-        share = counts.column("count").to_numpy() / counts.column("total").to_numpy()
-        self.table[np.array(rows, np.int64), np.array([at[lang] for lang in langs], np.int64)] = np.maximum(PENALTY, np.log10(share))
-
-    def unseen(self, word: bytes) -> np.ndarray:
+        row = np.zeros(len(names), np.int64)
+        for i, (n, gram) in enumerate(zip(counts.column("n").to_pylist(), counts.column("gram").to_pylist())):
+            rows, key = (self.grams, (n, gram)) if n else (self.words, gram.encode())
+            row[i] = rows.setdefault(key, len(self.grams) + len(self.words))
+        gain = np.maximum(0.0, np.log10(counts.column("count").to_numpy() / counts.column("total").to_numpy()) - PENALTY)
+        order = np.lexsort((lang, row))
+        self.lang, self.gain = lang[order], gain[order].astype(np.float32)
+        self.start = np.searchsorted(row[order], np.arange(len(self.grams) + len(self.words) + 1))
+
+    def gains(self, rows: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Of each language, over rows that count so many times."""
+        sizes = self.start[rows + 1] - self.start[rows]
+        at = np.repeat(self.start[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return np.bincount(self.lang[at], self.gain[at] * np.repeat(times, sizes).astype(np.float64), len(self.langs))
+
+    def unseen(self, word: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The languages in which an unseen word gains, and what."""
         for n in range(MOST_N, 0, -1):
             found = [i for g in grams(word, n) if (i := self.grams.get((n, g))) is not None]
             if found:
-                return self.table[found].mean(axis=0)
-        return np.full(len(self.langs), PENALTY, np.float32)
+                gain = self.gains(np.array(found), np.ones(len(found))) / len(found)
+                return np.flatnonzero(gain), gain[gain != 0]
+        return np.zeros(0, np.int64), np.zeros(0)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Model:
+def fit(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST, entries: int = ENTRIES) -> Model:
     """From doc_id, text and lang of rows with neither null. Rows that share an id are taken or left together."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     # counts by range of the hash tell where a language's sample ends, so only rows up to there are ranked
@@ -121,41 +135,37 @@ def fit(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Model:
     picked = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang")
     counts = picked.mapInArrow(_counted, "lang string, n int, gram string, count bigint").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
     totals = Window.partitionBy("lang", "n")
-    kept = counts.withColumn("total", F.sum("count").over(totals)).where(F.col("count") >= least).select("lang", "n", "gram", "count", "total").toArrow()
-    return Model(kept)
+    known = saved(counts.withColumn("total", F.sum("count").over(totals)).where(F.col("count") >= least))
+    share = entries // max(1, known.select("lang", "n").distinct().count())
+    frequent = Window.partitionBy("lang", "n").orderBy(F.desc("count"), "gram")
+    kept = known.withColumn("place", F.row_number().over(frequent)).where(F.col("place") <= share)
+    return Model(kept.select("lang", "n", "gram", "count", "total").toArrow())
 
 
-class _Rows(dict):
-    """Word to row: known words, and unseen ones as they come."""
+class _Unseen(dict):
+    """Unseen words and what they gain, as they come; all are forgotten once there are too many."""
 
     def __init__(self, model: Model):
-        super().__init__(model.words)
-        self.model, self.known = model, len(model.table)
-        self.table = np.concatenate((model.table, np.zeros((REMEMBERED + 1, len(model.langs)), np.float32)))
-        self.n = 0
+        super().__init__()
+        self.model = model
 
-    def __missing__(self, word: bytes) -> int:
-        if self.n >= REMEMBERED:
-            for w in [w for w, i in self.items() if i >= self.known]:
-                del self[w]
-            self.n = 0
-        at = self.known + self.n
-        self.table[at] = self.model.unseen(word)
-        self[word] = at
-        self.n += 1
-        return at
+    def __missing__(self, word: bytes) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = self.model.unseen(word)
+        return found
 
 
-_ROWS: dict[int, _Rows] = {}
+_SEEN: dict[int, _Unseen] = {}
 
 
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        rows = _ROWS.get(id(model))
-        if rows is None:
-            _ROWS.clear()
-            rows = _ROWS[id(model)] = _Rows(model)
+        unseen = _SEEN.get(id(model))
+        if unseen is None:
+            _SEEN.clear()
+            unseen = _SEEN[id(model)] = _Unseen(model)
         for batch in batches:
             langs, scores = [], []
             for text in batch.column("text").to_pylist():
@@ -163,16 +173,16 @@ def _predict(shared):
                 if not has_letter(text, words) or not model.langs:
                     langs.append("und"), scores.append(0.0)
                     continue
-                total = np.zeros(len(model.langs))
-                for i in range(0, len(words), 50_000):  # what is remembered may be forgotten between two parts
-                    part = words[i : i + 50_000]
-                    if rows.n + len(part) > REMEMBERED:
-                        fresh = [w for w, j in rows.items() if j >= rows.known]
-                        for w in fresh:
-                            del rows[w]
-                        rows.n = 0
-                    total += rows.table[list(map(rows.__getitem__, part))].sum(axis=0, dtype=np.float64)
-                odds = np.exp((total - total.max()) * math.log(10))
+                rows, times, total = [], [], np.zeros(len(model.langs))
+                for word, n in Counter(words).items():
+                    row = model.words.get(word)
+                    if row is None:
+                        at, gain = unseen[word]
+                        total[at] += n * gain
+                    else:
+                        rows.append(row), times.append(n)
+                total = (total + model.gains(np.array(rows, np.int64), np.array(times, np.int64))) / len(words)
+                odds = 10 ** (total - total.max())
                 best = int(np.argmax(total))
                 langs.append(model.langs[best]), scores.append(float(odds[best] / odds.sum()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
@@ -181,7 +191,10 @@ def _predict(shared):
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """A row for each row of docs (doc_id, text): doc_id, lang_pred, score (the share of the best language).
+    """A row for each row of docs (doc_id, text): doc_id, lang_pred, score.
+
+    score: the best language's share of 10 to the power of each language's mean over the words, so it tells how far
+    apart languages are for a typical word of the text, however long that is.
 
     Whole texts are read. Null, empty and letterless texts, and all texts if the model knows no language, get
     `und` with score 0. Of languages with the same score the first by name is taken. Repeated rows are kept.

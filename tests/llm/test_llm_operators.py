@@ -434,6 +434,30 @@ def test_language_id_equals_a_plain_loop(spark):
     assert got == sorted((d, "und" if t is None else brute.language(t, model), held(d)) for d, t, _ in rows)
 
 
+def test_language_id_with_200_languages_within_its_bound(spark):
+    """Each language has letters of its own beside shared ones; the model keeps the most frequent entries of each alike."""
+    rng = random.Random(21)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 800)]
+    word = lambda i: "".join(rng.choice("aeiou" if rng.random() < 0.5 else letters[4 * i : 4 * i + 4]) for _ in range(rng.randint(3, 6)))
+    rows = [(200 * j + i, " ".join(word(i) for _ in range(40)), f"l{i:03}") for i in range(200) for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for entries in (langid.ENTRIES, 200 * 6 * 20):
+        model = langid.fit(docs.where("doc_id < 600"), entries=entries)
+        assert len(model.langs) == 200 and len(model.gain) <= entries
+        got = {r.doc_id: r.lang_pred for r in langid.identify(docs.where("doc_id >= 600"), model).collect()}
+        assert len(got) == 200 and sum(got[d] == lang for d, _, lang in rows if d >= 600) >= 198
+    assert 200 * 6 * 5 < len(model.gain)
+
+
+def test_language_id_score_is_of_a_typical_word(spark):
+    model = langid.fit(spark.createDataFrame([(1, "one one two two both both", "aa"), (2, "uno uno due due both both", "bb")], "doc_id bigint, text string, lang string"))
+    texts = [(1, "one both"), (2, "one both " * 500), (3, "both"), (4, "one"), (5, "one uno uno")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame(texts, "doc_id bigint, text string"), model).collect()}
+    gain = np.log10(1 / 3) - langid.PENALTY
+    for d, want in ((1, gain / 2), (2, gain / 2), (3, 0.0), (4, gain), (5, gain / 3)):
+        assert got[d][0] == ("bb" if d == 5 else "aa") and abs(got[d][1] - 1 / (1 + 10**-want)) < 1e-6
+
+
 def test_language_id_ties_go_to_the_first_by_name(spark):
     docs = spark.createDataFrame([(i, "alpha beta gamma alpha", lang) for i, lang in enumerate(["zz", "mm", "aa"] * 4)], "doc_id bigint, text string, lang string")
     got = langid.identify(docs, langid.fit(docs)).collect()
