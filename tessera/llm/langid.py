@@ -35,7 +35,9 @@ ENTRIES = 1_500_000
 #: Lower log10 frequency than any that a sample of this size has.
 PENALTY = -7.0
 #: Unseen words that each Python worker remembers.
-REMEMBERED = 100_000
+REMEMBERED = 300_000
+#: Words that are looked up at once; what is remembered may be forgotten between two such parts.
+PART = 10_000
 #: Ranges of the hash of an id, as a power of two.
 _RANGE_BITS = 12
 
@@ -102,19 +104,15 @@ class Model:
         self.lang, self.gain = lang[order], gain[order].astype(np.float32)
         self.start = np.searchsorted(row[order], np.arange(len(self.grams) + len(self.words) + 1))
 
-    def gains(self, rows: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """Of each language, over rows that count so many times."""
-        sizes = self.start[rows + 1] - self.start[rows]
-        at = np.repeat(self.start[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        return np.bincount(self.lang[at], self.gain[at] * np.repeat(times, sizes).astype(np.float64), len(self.langs))
-
     def unseen(self, word: bytes) -> tuple[np.ndarray, np.ndarray]:
         """The languages in which an unseen word gains, and what."""
         for n in range(MOST_N, 0, -1):
             found = [i for g in grams(word, n) if (i := self.grams.get((n, g))) is not None]
             if found:
-                gain = self.gains(np.array(found), np.ones(len(found))) / len(found)
-                return np.flatnonzero(gain), gain[gain != 0]
+                at = np.concatenate([np.arange(self.start[i], self.start[i + 1]) for i in found])
+                gain = np.bincount(self.lang[at], self.gain[at], len(self.langs)) / len(found)
+                langs = np.flatnonzero(gain)
+                return langs, gain[langs]
         return np.zeros(0, np.int64), np.zeros(0)
 
 
@@ -142,30 +140,51 @@ def fit(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST, entries: int
     return Model(kept.select("lang", "n", "gram", "count", "total").toArrow())
 
 
-class _Unseen(dict):
-    """Unseen words and what they gain, as they come; all are forgotten once there are too many."""
+class _Rows(dict):
+    """Word to row: known words, and unseen ones as they come, with their gains behind those of the model."""
 
     def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, word: bytes) -> tuple[np.ndarray, np.ndarray]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[word] = self.model.unseen(word)
-        return found
-
-
-_SEEN: dict[int, _Unseen] = {}
+        super().__init__(model.words)
+        self.model, self.known, self.used = model, len(model.start) - 1, len(model.lang)
+        self.start = np.concatenate((model.start, np.zeros(REMEMBERED, np.int64)))
+        self.lang, self.gain = model.lang, model.gain
+        self.n = 0
+
+    def __missing__(self, word: bytes) -> int:
+        lang, gain = self.model.unseen(word)
+        end = self.used + len(lang)
+        if end > len(self.lang):
+            room = len(self.lang) // 2 + len(lang)
+            self.lang, self.gain = np.concatenate((self.lang, np.zeros(room, np.int32))), np.concatenate((self.gain, np.zeros(room, np.float32)))
+        self.lang[self.used : end], self.gain[self.used : end] = lang, gain
+        row = self[word] = self.known + self.n
+        self.n += 1
+        self.used = self.start[row + 1] = end
+        return row
+
+    def gains(self, words: list[bytes]) -> np.ndarray:
+        """Of each language, over at most PART words."""
+        if self.n + len(words) > REMEMBERED or self.used > len(self.model.lang) + 4 * REMEMBERED:
+            for w in [w for w, i in self.items() if i >= self.known]:
+                del self[w]
+            self.n, self.used = 0, len(self.model.lang)
+        rows = np.array(list(map(self.__getitem__, words)), np.int64)
+        first = self.start[rows]
+        sizes = self.start[rows + 1] - first
+        at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return np.bincount(self.lang[at], self.gain[at], len(self.model.langs))
+
+
+_SEEN: dict[int, _Rows] = {}
 
 
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        unseen = _SEEN.get(id(model))
-        if unseen is None:
+        rows = _SEEN.get(id(model))
+        if rows is None:
             _SEEN.clear()
-            unseen = _SEEN[id(model)] = _Unseen(model)
+            rows = _SEEN[id(model)] = _Rows(model)
         for batch in batches:
             langs, scores = [], []
             for text in batch.column("text").to_pylist():
@@ -173,15 +192,7 @@ def _predict(shared):
                 if not has_letter(text, words) or not model.langs:
                     langs.append("und"), scores.append(0.0)
                     continue
-                rows, times, total = [], [], np.zeros(len(model.langs))
-                for word, n in Counter(words).items():
-                    row = model.words.get(word)
-                    if row is None:
-                        at, gain = unseen[word]
-                        total[at] += n * gain
-                    else:
-                        rows.append(row), times.append(n)
-                total = (total + model.gains(np.array(rows, np.int64), np.array(times, np.int64))) / len(words)
+                total = sum(rows.gains(words[i : i + PART]) for i in range(0, len(words), PART)) / len(words)
                 odds = 10 ** (total - total.max())
                 best = int(np.argmax(total))
                 langs.append(model.langs[best]), scores.append(float(odds[best] / odds.sum()))
