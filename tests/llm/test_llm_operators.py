@@ -186,6 +186,40 @@ def test_clean_keeps_what_no_window_hits(spark, limit):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in rows if d not in dirty)
 
 
+@pytest.mark.parametrize("needles", [decontaminate.NEEDLES, 700])
+def test_contamination_over_a_hundred_parts(spark, monkeypatch, needles):
+    """One scan of the texts for each slice of hashes, however many automata there are, and the findings of a single one."""
+    rng = random.Random(4)
+    items = [(i, " ".join(words(rng, rng.choice([3, 9, 10, 12, 40]), 5000))) for i in range(150)] + [(200, None), (201, "")]
+    rows = hard_rows() + [(400 + i, " ".join([*words(rng, 30, 5000), *(t for _, t in rng.sample(items[:150], 3)), *words(rng, 5, 5000)])) for i in range(60)]
+    rows += [(900, items[7][1])] * 40 + [(None, items[8][1])] * 2 + [(901, items[9][1].upper().replace(" ", "; "))]
+    rows += [(902, "\u0130 \u00e9t\u00e9 " + items[3][1] + " \U0001f600")]
+    scans, docs, bench = [], frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")
+    look = decontaminate._may_hold
+    monkeypatch.setattr(decontaminate, "NEEDLES", needles)
+    monkeypatch.setattr(decontaminate, "_may_hold", lambda shared, whole: scans.append(whole) or look(shared, whole))
+    one = decontaminate.contamination(docs, bench)
+    assert not scans
+    many = decontaminate.contamination(docs, bench, part_bytes=sum(len(t or "") for _, t in items) // 100)
+    assert scans == [True] + [False] * (len(scans) - 1) and (len(scans) == 1) == (needles > 700)
+    flat = lambda df: sorted(map(repr, df.collect()))
+    assert flat(one) == flat(many)
+    got = [(r.doc_id, r.n_words, r.n_hit, len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.n_hit > 0) for r in many.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, brute.contamination(rows, items)))
+    kept = decontaminate.clean(docs, bench, part_bytes=300)
+    assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(repr(g[0]) for g in got if not g[-1])
+
+
+def test_needles_are_found_by_hash_with_all_their_parts():
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 2**64, 5000, dtype=np.uint64)
+    parts = rng.integers(0, 9, 6000)
+    held = np.concatenate((hashes[:4000], hashes[:2000]))  # a third of them twice
+    made = decontaminate.Needles(pa.table({"hash": held.view(np.int64), "length": np.full(6000, 10, np.int32), "part": parts.astype(np.int32)}))
+    assert made.found(np.arange(5000), hashes) == set(zip(np.concatenate((np.arange(4000), np.arange(2000))).tolist(), parts.tolist()))
+    assert decontaminate.Needles(pa.table({"hash": pa.array([], pa.int64()), "length": pa.array([], pa.int32()), "part": pa.array([], pa.int32())})).found(np.arange(9), hashes[:9]) == set()
+
+
 def test_an_automaton_is_built_once_a_part_and_worker(monkeypatch):
     built = []
     make = decontaminate.Windows
