@@ -171,28 +171,59 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over its bytes by differences of one running sum. other: a second, independent one."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(_OTHER_BASE if other else _BASE, len(data) + 1)
+#: Bytes that are hashed at once, and words of which runs are: tables of powers and running sums are no longer than that.
+PIECE = 1 << 17
+
+
+def _sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int, code: np.ndarray) -> np.ndarray:
+    """Of each word, the sum of its bytes' codes times powers of the base."""
+    up, down = powers(base, len(data) + 1)
     run = np.empty(len(data) + 1, np.uint64)
     run[0] = 0
-    np.cumsum((_OTHER_CODE if other else _CODE)[data] * up[: len(data)], out=run[1:])
-    return mix((run[ends] - run[starts]) * down[starts])
+    np.cumsum(code[data] * up[: len(data)], out=run[1:])
+    return (run[ends] - run[starts]) * down[starts]
+
+
+def _long_sum(data: np.ndarray, base: int, code: np.ndarray) -> np.ndarray:
+    """The same for one word that is longer than a piece: the sums of its pieces, each raised to where it lies."""
+    cuts = range(0, len(data), PIECE)
+    ends = [np.array([min(PIECE, len(data) - at)]) for at in cuts]
+    return np.sum([_sums(data[at : at + PIECE], np.zeros(1, np.int64), end, base, code) * np.uint64(pow(base, at, 2**64)) for at, end in zip(cuts, ends)], axis=0, dtype=np.uint64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial over its bytes by differences of a running sum. other: a second, independent one.
+
+    Words come in order. They are hashed in pieces of the data, so memory doesn't grow with the longest text or word.
+    """
+    base, code = (_OTHER_BASE, _OTHER_CODE) if other else (_BASE, _CODE)
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        at = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, at + PIECE, "right")))
+        part = data[at : ends[j - 1]]
+        out[i:j] = _sums(part, starts[i:j] - at, ends[i:j] - at, base, code) if len(part) <= PIECE else _long_sum(part, base, code)
+        i = j
+    return mix(out)
 
 
 def rolling(hashes: np.ndarray, rows: np.ndarray, k: int, base: int = _STEP) -> tuple[np.ndarray, np.ndarray]:
     """Index of the first word, and hash, of each run of k words within one row."""
-    n = len(hashes) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    up, down = powers(base, len(hashes) + 1)
-    run = np.empty(len(hashes) + 1, np.uint64)
-    run[0] = 0
-    np.cumsum(hashes * up[: len(hashes)], out=run[1:])
-    first = np.flatnonzero(rows[k - 1 :] == rows[:n])
-    return first, mix((run[first + k] - run[first]) * down[first])
+    n = max(0, len(hashes) - k + 1)
+    first = np.flatnonzero(rows[k - 1 :] == rows[:n]) if n else np.zeros(0, np.int64)
+    out, i = np.empty(len(first), np.uint64), 0
+    while i < len(first):
+        at = first[i]
+        j = int(np.searchsorted(first, at + PIECE, "left"))
+        starts = first[i:j] - at
+        part = hashes[at : first[j - 1] + k]
+        up, down = powers(base, PIECE + k)
+        run = np.empty(len(part) + 1, np.uint64)
+        run[0] = 0
+        np.cumsum(part * up[: len(part)], out=run[1:])
+        out[i:j] = (run[starts + k] - run[starts]) * down[starts]
+        i = j
+    return first, mix(out)
 
 
 def lowered(data: np.ndarray) -> np.ndarray:

@@ -647,3 +647,45 @@ def test_empty_tables(spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == 0
     assert chat.format_chats(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_words_are_hashed_alike_in_pieces_of_any_size(monkeypatch):
+    rng = np.random.default_rng(5)
+    data = rng.choice(np.frombuffer(b"abc  ", np.uint8), 20_000)
+    data[3_000:9_000] = 97  # a word longer than most pieces
+    starts, ends, rows = common.word_spans(data, np.array([0, 5_000, 5_000, 12_000, 20_000]))
+    got = []
+    for piece in (7, 1000, 1 << 17):
+        monkeypatch.setattr(common, "PIECE", piece)
+        hashes = [common.word_hashes(data, starts, ends, other) for other in (False, True)]
+        got.append([h.tolist() for h in hashes] + [a.tolist() for k in (1, 5, 35) for a in common.rolling(hashes[0], rows, k)])
+    assert got[0] == got[1] == got[2]
+    first = {}
+    for a, b, h in zip(starts, ends, got[0][0]):
+        assert first.setdefault(data[a:b].tobytes(), h) == h
+    assert len(set(first.values())) == len(first)
+
+
+def test_hashing_a_long_text_takes_little_beside_its_words():
+    import tracemalloc
+
+    data = np.random.default_rng(6).choice(np.frombuffer(b"abcdefg ", np.uint8), 8_000_000)
+    starts, ends, rows = common.word_spans(data, np.array([0, len(data)]))
+    tracemalloc.start()
+    hashes = common.word_hashes(data, starts, ends)
+    common.rolling(hashes, rows, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * len(data)
+
+
+def test_very_long_texts_are_joined_and_cleared_of_repeats(spark):
+    """Texts of 10 MB, one of them a single word: copies link, and what repeats goes."""
+    rng = np.random.default_rng(7)
+    long = " ".join(map(str, rng.integers(0, 10**9, 1_000_000)))
+    rows = [(1, long), (2, long + " more"), (3, "x" * 10_000_000), (4, None), (5, "y " + "x" * 10_000_000)]
+    docs = frame(spark, rows).repartition(5)
+    found = {r.doc_id: tuple(r)[1:] for r in ngram_join.near_duplicates(docs).collect()}
+    assert found == {1: (999_996, 1), 2: (999_997, 1), 3: (1, 3), 4: (0, 4), 5: (1, 5)}
+    left = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed").collect()}
+    assert left == {1: (1_000_000, 1_000_000), 2: (1_000_001, 1_000_000), 3: (1, 0), 4: (0, 0), 5: (2, 0)}
