@@ -8,6 +8,7 @@ count-min sketch estimates as frequent last, and differ by a seeded hash among t
 
 Tokens whose estimate is 1 occur in one text, so they take up places in a prefix but are never joined on;
 a class without a repeated token in every prefix links with nothing. This keeps most documents out of the join.
+The sketch counts finely and keeps a bit for cells side by side, so it fills with repeated tokens, not with all.
 
 A shared prefix token at places i and j says that the overlap is at most min(|x| - i, |y| - j) if it is the first
 one shared, so a pair is only made by tokens where that is enough (for equal sizes: the first ninth of a set).
@@ -26,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import blocks, lowered, mix, rolling, saved, small_batches, utf8, word_hashes, word_spans
+from .common import blocks, lowered, mix, removed, rolling, saved, small_batches, utf8, word_hashes, word_spans, written
 from .components import components
 
 SHINGLE = 5
@@ -40,6 +42,8 @@ ORDERS = 3
 HOT = 32
 #: Hash buckets of tokens by which hot ones are found, and how many times the mean a bucket holds before it is dealt.
 BUCKETS, HEAVY = 65_536, 8
+#: Most nodes (16 bytes each) that are broadcast.
+BROADCAST = 200_000
 #: Tasks over which the classes of a component are dealt.
 SALTS = 8
 _FLUSH = 200_000
@@ -85,14 +89,14 @@ def _tokens(k: int):
     return run
 
 
-_FEATURES = "n_shingles bigint, node binary, prefixes array<array<bigint>>, tokens array<bigint>"
+_FEATURES = "n_shingles bigint, node binary, prefix array<bigint>, others array<array<int>>, tokens array<bigint>"
 
 
 def _features(seen, k: int, percent: int, orders: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maybe, sent = seen.value, set()
         for batch in batches:
-            nodes, counts, prefixes, kept = [], [], [], []
+            nodes, counts, prefixes, others, kept = [], [], [], [], []
             for _, tokens, cuts in _sets(batch.column("text"), k):
                 k1, k2 = _set_keys(tokens, cuts)
                 repeated = maybe(tokens)
@@ -106,7 +110,7 @@ def _features(seen, k: int, percent: int, orders: int):
                     p = n - (percent * n + 99) // 100 + 1
                     # the prefix must reach beyond the tokens that occur once, or nothing can be shared
                     if not n or n - int(multi.sum()) >= p or node in sent:
-                        prefixes.append(None), kept.append(None)
+                        prefixes.append(None), others.append(None), kept.append(None)
                         continue
                     if len(sent) >= _FLUSH:
                         sent.clear()
@@ -114,23 +118,32 @@ def _features(seen, k: int, percent: int, orders: int):
                     own = mine[multi]
                     room = p - (n - len(own))  # tokens that occur once come first in every order
                     hot = maybe.hot(own)
-                    prefixes.append([own[np.lexsort((mix(own, 1000 + o), hot))[:room]].view(np.int64) for o in range(orders)])
+                    by_order = [own[np.lexsort((mix(own, 1000 + o), hot))[:room]] for o in range(orders)]
+                    prefixes.append(by_order[0].view(np.int64))
+                    others.append([x.astype(np.uint32).view(np.int32) for x in by_order[1:]])
                     kept.append(own.view(np.int64))
-            longs = pa.list_(pa.int64())
+            longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(prefixes, pa.list_(longs)), pa.array(kept, longs)], names=["doc_id", "n_shingles", "node", "prefixes", "tokens"]
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(prefixes, longs), pa.array(others, pa.list_(ints)), pa.array(kept, longs)],
+                names=["doc_id", "n_shingles", "node", "prefix", "others", "tokens"],
             )
 
     return run
 
 
 def _compared(pairs: DataFrame, classes: DataFrame, percent: int, orders: int) -> DataFrame:
-    """The links among distinct pairs (u < v): the other orders' prefixes first, then the sets."""
-    heads = classes.select("node", "n_shingles", "prefixes")
-    a = heads.select(F.col("node").alias("u"), F.col("n_shingles").alias("nu"), F.col("prefixes").alias("pu"))
-    b = heads.select(F.col("node").alias("v"), F.col("n_shingles").alias("nv"), F.col("prefixes").alias("pv"))
+    """The links among distinct pairs (u < v): the other orders' prefixes first (cut to 32 bits), then the sets.
+
+    Where the pairs have few nodes, only the classes of these are shuffled.
+    """
+    nodes = saved(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    if nodes.count() <= BROADCAST:
+        classes = classes.join(F.broadcast(nodes), "node", "left_semi")
+    heads = classes.select("node", "n_shingles", "others")
+    a = heads.select(F.col("node").alias("u"), F.col("n_shingles").alias("nu"), F.col("others").alias("pu"))
+    b = heads.select(F.col("node").alias("v"), F.col("n_shingles").alias("nv"), F.col("others").alias("pv"))
     both = pairs.join(a, "u").join(b, "v").where((F.col("nu") * 100 >= F.col("nv") * percent) & (F.col("nv") * 100 >= F.col("nu") * percent))
-    for o in range(1, orders):
+    for o in range(orders - 1):
         both = both.where(F.arrays_overlap(F.col("pu")[o], F.col("pv")[o]))
     sets = classes.select("node", "tokens")
     left = sets.select(F.col("node").alias("u"), F.col("tokens").alias("tu"))
@@ -159,6 +172,18 @@ def _every_salt() -> F.Column:
     return F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")
 
 
+def features(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, orders: int = ORDERS) -> tuple[DataFrame, Broadcast]:
+    """texts: doc_id, text. Adds n_shingles, node (the set's key; null: empty) and, for rows whose set may link, prefix, others, tokens.
+
+    prefix: the repeated tokens of the first order's prefix; others: those of the other orders, cut to 32 bits; tokens: all
+    repeated ones. A task has them once for a set that comes again soon. With the frame comes the sketch that it reads.
+    """
+    spark = texts.sparkSession
+    seen = spark.sparkContext.broadcast(sketch.repeated_finely(texts.select("text"), _tokens(shingle), sketch.text_bytes(texts) / 6.4, HOT))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", "text").mapInArrow(_features(seen, shingle, percent, orders), f"doc_id {kind}, {_FEATURES}"), seen
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -169,17 +194,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select("doc_id", "text")
-    bits = sketch.bits_for(sketch.text_bytes(texts) / 6.4)
-    seen = spark.sparkContext.broadcast(sketch.repeated(texts.select("text"), _tokens(shingle), bits, HOT))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = saved(texts.mapInArrow(_features(seen, shingle, percent, orders), f"doc_id {kind}, {_FEATURES}"))
+    made, seen = features(docs.select("doc_id", "text"), shingle, percent, orders)
+    made, wide = written(made)
     seen.unpersist()
 
     # one row a class; those with a repeated token in every prefix
-    classes = saved(rows.where("tokens IS NOT NULL").select("node", "n_shingles", "prefixes", "tokens").dropDuplicates(["node"]))
+    classes, at_classes = written(made.where("tokens IS NOT NULL").drop("doc_id").dropDuplicates(["node"]))
+    rows = saved(made.select("doc_id", "n_shingles", "node"))
+    removed(spark, wide)
     own = F.col("n_shingles") - F.size("tokens")  # tokens that occur once; they hold the first places
-    posts = classes.select("node", F.col("n_shingles").alias("n"), own.alias("own"), F.posexplode(F.col("prefixes")[0]).alias("at", "token"))
+    posts = classes.select("node", F.col("n_shingles").alias("n"), own.alias("own"), F.posexplode("prefix").alias("at", "token"))
     # sets whose sizes allow a link lie in one band or in two that follow each other
     band = F.floor(F.log(F.col("n")) / math.log(100 / percent)).cast("int")
     posts = posts.select("token", "node", "n", "own", (F.col("own") + F.col("at")).alias("at"), band.alias("band"))
@@ -208,8 +232,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     y = placed.select("token", "parts", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("node").alias("v"), F.col("n").alias("nv"), F.col("at").alias("iv"), F.col("root").alias("rv"))
     y = y.select("token", "band", _every_salt(), "v", "nv", "iv", "rv")
     across = x.join(y, ["token", "band", "salt"]).where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & may_link(F.col("nu"), F.col("nv"), F.col("iu"), F.col("iv")))
-    across = across.select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
+    across = saved(across.select("u", "v").distinct().join(stars, ["u", "v"], "left_anti"))
     rest = saved(_compared(across, classes, percent, orders))
+    removed(spark, at_classes)
     roots = components(links.union(rest)) if rest.limit(1).count() else found
 
     members = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))

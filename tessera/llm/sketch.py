@@ -8,6 +8,9 @@ two keys met, so "both cells have 2 or more" holds for every key that occurs twi
 
 What goes to the driver and is broadcast is one bit a cell (2 or more), at most 2**MOST_BITS cells a row: 64 MB
 for both rows, whatever the input; where hot cells are asked for, a second bit a cell, 128 MB in all. Beyond that size the sketch fills and excludes fewer keys; results stay whole.
+
+repeated_finely() counts in one row of 2**FINER times as many cells, which are nowhere held at once, and keeps a bit for
+each 2**FINER of them (at most 128 MB, and 8 MB for hot ones). Such a sketch fills with keys that do repeat, not with all keys.
 """
 
 from __future__ import annotations
@@ -27,6 +30,10 @@ ROWS = 2
 MOST_BITS = 28
 LEAST_BITS = 20
 _SEEDS = (11, 23)
+#: Powers of two: fine cells a bit, bits a hot bit, and the fewest slices.
+FINER, HOTTER, LEAST_SLICES = 6, 4, 5
+#: Keys that a slice of fine cells meets, about; they are sorted in one task.
+SLICE_KEYS = 4_000_000
 #: Keys are cut to partial sketches at so many, which bounds a task's memory.
 FLUSH = 3_000_000
 
@@ -41,24 +48,26 @@ def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 
 def encode(deltas: np.ndarray) -> bytes:
-    """Small non-negative numbers in one byte each (255 means go on), or in four where they are large."""
-    if len(deltas) and deltas.mean() > 700:
+    """Non-negative numbers in one byte each or, where they are larger, two (the largest value means go on), or else in four."""
+    mean = deltas.mean() if len(deltas) else 0
+    if mean > 65535:
         return b"\1" + deltas.astype("<u4").tobytes()
-    more = deltas // 255
-    out = np.full(len(deltas) + int(more.sum()), 255, np.uint8)
-    out[np.cumsum(more + 1) - 1] = deltas % 255
-    return b"\0" + out.tobytes()
+    kind, top = ("<u2", 65535) if mean > 255 else ("u1", 255)
+    more = deltas // top
+    out = np.full(len(deltas) + int(more.sum()), top, kind)
+    out[np.cumsum(more + 1) - 1] = deltas % top
+    return (b"\2" if mean > 255 else b"\0") + out.tobytes()
 
 
 def decode(raw: bytes) -> np.ndarray:
     if raw[:1] == b"\1":
         return np.frombuffer(raw, "<u4", offset=1).astype(np.int64)
-    values = np.frombuffer(raw, np.uint8, offset=1)
+    values = np.frombuffer(raw, "<u2" if raw[:1] == b"\2" else "u1", offset=1)
     total = np.cumsum(values, dtype=np.int64)
-    return np.diff(total[values != 255], prepend=np.int64(0))
+    return np.diff(total[values != np.iinfo(values.dtype).max], prepend=np.int64(0))
 
 
-def _partial(at: np.ndarray, row: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _partial(at: np.ndarray, row: int, bits: int, width: int = SLICE) -> Iterator[pa.RecordBatch]:
     """at: the cells of one row; sorted in place."""
     at.sort()
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
@@ -67,34 +76,35 @@ def _partial(at: np.ndarray, row: int, bits: int) -> Iterator[pa.RecordBatch]:
     slices, levels, packed = [], [], []
     level = 0
     while len(at):
-        cuts = np.flatnonzero(np.concatenate(([True], (at[1:] >> SLICE) != (at[:-1] >> SLICE))))
+        cuts = np.flatnonzero(np.concatenate(([True], (at[1:] >> width) != (at[:-1] >> width))))
         for i, j in zip(cuts, np.append(cuts[1:], len(at))):
-            slices.append((row << (bits - SLICE)) | int(at[i] >> SLICE))
+            slices.append((row << (bits - width)) | int(at[i] >> width))
             levels.append(level)
-            packed.append(encode(np.diff((at[i:j] & ((1 << SLICE) - 1)).astype(np.int64), prepend=-1) - 1))
+            packed.append(encode(np.diff((at[i:j] & ((1 << width) - 1)).astype(np.int64), prepend=-1) - 1))
         level += 1
         keep = counts >= (1 << level)
         at, counts = at[keep], counts[keep]
     yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(levels, pa.int32()), pa.array(packed, pa.binary())], names=["slice", "level", "cells"])
 
 
-def partials(batches: Iterator[pa.RecordBatch], keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> Iterator[pa.RecordBatch]:
-    """Partial sketches of at most FLUSH keys each; only their cells are held, in four bytes each."""
-    held, n = [np.empty(0, np.uint32) for _ in range(ROWS)], 0
+def partials(batches: Iterator[pa.RecordBatch], keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, rows: int = ROWS, width: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Partial sketches of at most FLUSH keys each; only their cells are held, in four bytes each (eight beyond 2**32 cells)."""
+    kind = np.uint32 if bits <= 32 else np.uint64
+    held, n = [np.empty(0, kind) for _ in range(rows)], 0
     for batch in batches:
         for keys in keys_of(batch):
             if n and n + len(keys) > FLUSH:
-                for row in range(ROWS):
-                    yield from _partial(held[row][:n], row, bits)
+                for row in range(rows):
+                    yield from _partial(held[row][:n], row, bits, width)
                 n = 0
             if n + len(keys) > len(held[0]):
-                held = [np.concatenate((h[:n], np.empty(max(len(keys), min(n, FLUSH - n)), np.uint32))) for h in held]
-            for row in range(ROWS):
+                held = [np.concatenate((h[:n], np.empty(max(len(keys), min(n, FLUSH - n)), kind))) for h in held]
+            for row in range(rows):
                 held[row][n : n + len(keys)] = cells(keys, row, bits)
             n += len(keys)
     if n:
-        for row in range(ROWS):
-            yield from _partial(held[row][:n], row, bits)
+        for row in range(rows):
+            yield from _partial(held[row][:n], row, bits, width)
 
 
 def _merge(hot: int):
@@ -120,25 +130,25 @@ def _merge(hot: int):
 class Repeated:
     """The merged sketch as tasks hold it: which cells have 2 or more, and (if asked for) which are hot."""
 
-    def __init__(self, bits: int, raw: bytearray, hots: bytearray):
-        self.bits, self.raw, self.hots = bits, raw, hots
+    def __init__(self, bits: int, raw: bytearray, hots: bytearray, rows: int = ROWS, hotter: int = 0):
+        self.bits, self.raw, self.hots, self.rows, self.hotter = bits, raw, hots, rows, hotter
 
-    def _all(self, cell_bits: bytearray, keys: np.ndarray) -> np.ndarray:
-        """Whether both cells of a key have their bit."""
+    def _all(self, cell_bits: bytearray, keys: np.ndarray, bits: int) -> np.ndarray:
+        """Whether a key's cell has its bit in all rows."""
         flat, out = np.frombuffer(cell_bits, np.uint8), None
-        for row in range(ROWS):
-            at = cells(keys, row, self.bits).astype(np.int64)
-            bit = (flat[(row << (self.bits - 3)) + (at >> 3)] >> (7 - (at & 7)).astype(np.uint8)) & 1
+        for row in range(self.rows):
+            at = cells(keys, row, bits).astype(np.int64)
+            bit = (flat[(row << (bits - 3)) + (at >> 3)] >> (7 - (at & 7)).astype(np.uint8)) & 1
             out = bit.astype(bool) if out is None else out & bit.astype(bool)
         return out
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """Whether the sketch's estimate for a key is 2 or more."""
-        return self._all(self.raw, keys)
+        return self._all(self.raw, keys, self.bits)
 
     def hot(self, keys: np.ndarray) -> np.ndarray:
         """Whether the estimate reaches the hot count."""
-        return self._all(self.hots, keys) if len(self.hots) else np.zeros(len(keys), bool)
+        return self._all(self.hots, keys, self.bits - self.hotter) if len(self.hots) else np.zeros(len(keys), bool)
 
 
 def repeated(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, hot: int = 0) -> Repeated:
@@ -157,5 +167,49 @@ def repeated(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.nd
     return Repeated(bits, raw, hots)
 
 
+def _merge_fine(width: int, hot: int):
+    """width: a slice has 2**width fine cells."""
+
+    def flags(at: np.ndarray, bits: int) -> bytes:
+        found = np.zeros(1 << bits, bool)
+        found[at] = True
+        return np.packbits(found).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at_slice = [], None
+        for batch in batches:
+            at_slice = batch.column("slice")[0].as_py()
+            for level, raw in zip(batch.column("level").to_pylist(), batch.column("cells")):
+                held.append((np.cumsum(decode(raw.as_py()) + 1) - 1) << 6 | level)
+        every = np.concatenate(held)
+        held.clear()
+        every.sort()
+        level, every = every & 63, every >> 6
+        first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+        counts = np.add.reduceat(1 << np.maximum(level - 1, 0), first)
+        at = every[first]
+        hots = flags(at[counts >= hot] >> (FINER + HOTTER), width - FINER - HOTTER)
+        yield pa.RecordBatch.from_arrays([pa.array([at_slice], pa.int32()), pa.array([flags(at[counts >= 2] >> FINER, width - FINER)], pa.binary()), pa.array([hots], pa.binary())], names=["slice", "bits", "hots"])
+
+    return run
+
+
+def repeated_finely(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], keys: float, hot: int) -> Repeated:
+    """As repeated(), for about so many keys, by one row of fine cells of which 2**FINER share a bit.
+
+    A key counts as repeated if any cell beside its own met two keys. Each slice has about SLICE_KEYS keys, which its task sorts.
+    """
+    bits = bits_for(keys) + 2
+    parts = max(LEAST_SLICES, math.ceil(math.log2(max(1.0, keys / SLICE_KEYS))))
+    width = bits + FINER - parts
+    made = docs.mapInArrow(lambda batches: partials(batches, keys_of, bits + FINER, 1, width), "slice int, level int, cells binary")
+    merged = made.groupBy("slice").applyInArrow(_merge_fine(width, hot), "slice int, bits binary, hots binary")
+    raw, hots = bytearray(1 << (bits - 3)), bytearray(1 << (bits - HOTTER - 3))
+    for r in saved(merged).toLocalIterator():
+        for to, of in ((raw, r["bits"]), (hots, r["hots"])):
+            to[r["slice"] * len(of) : (r["slice"] + 1) * len(of)] = of
+    return Repeated(bits, raw, hots, 1, HOTTER)
+
+
 def text_bytes(docs: DataFrame) -> int:
     return docs.select(F.sum(F.octet_length("text"))).first()[0] or 0

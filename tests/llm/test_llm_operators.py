@@ -157,6 +157,27 @@ def test_near_duplicates_with_hot_tokens_dealt(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(brute.components(rows))
 
 
+@pytest.mark.parametrize("million", [4.5, 8])
+def test_near_duplicates_beyond_the_sketch(spark, monkeypatch, million):
+    """4.3 and 7.6 tokens a cell of rows of 2**20: of texts without near copies few stay in the join, and links are whole."""
+    monkeypatch.setattr(sketch, "MOST_BITS", 20)
+    rng, n = np.random.default_rng(8), int(million * 1000)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 1000))) for _ in range(n)]
+    near = [texts[i].replace(" 1", " x1", 3) for i in range(0, n, 500)]
+    docs = frame(spark, list(enumerate(texts + near))).repartition(8)
+    made, _ = ngram_join.features(docs)
+    assert made.where("tokens IS NOT NULL").count() < n / 10
+    assert {(r.doc_id, r.component_id) for r in ngram_join.near_duplicates(docs).where("doc_id <> component_id").collect()} == {(n + i, 500 * i) for i in range(len(near))}
+
+
+def test_deltas_of_any_size_are_read_back():
+    rng = np.random.default_rng(4)
+    for most, size in ((3, 1), (600, 2), (130_000, 2.5), (2**31, 4.1)):
+        numbers = np.append(rng.integers(0, most, 5000), [0, 254, 255, 65534, 65535, 65536])
+        raw = sketch.encode(numbers)
+        assert (sketch.decode(raw) == numbers).all() and (most == 3 or len(raw) <= 5006 * (size + 0.6))
+
+
 def bench_items():
     rng = random.Random(9)
     return [(1, " ".join(words(rng, 40))), (2, "Only, four short Words!"), (3, None), (4, ""), (10, " ".join(words(rng, 10)))]
