@@ -11,6 +11,7 @@ for both rows, whatever the input; where hot cells are asked for, a second bit a
 
 repeated_finely() counts in one row of 2**FINER times as many cells, which are nowhere held at once, and keeps a bit for
 each 2**FINER of them (at most 128 MB, and 8 MB for hot ones). Such a sketch fills with keys that do repeat, not with all keys.
+Where few do, it is folded: bits side by side become one, as long as at most one in SPARSE is set.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ LEAST_BITS = 20
 _SEEDS = (11, 23)
 #: Powers of two: fine cells a bit, bits a hot bit, and the fewest slices.
 FINER, HOTTER, LEAST_SLICES = 6, 4, 5
-#: Keys that a slice of fine cells meets, about; they are sorted in one task.
-SLICE_KEYS = 4_000_000
+#: Keys that a slice of fine cells meets, about; they are sorted in one task, and counted so many at once.
+SLICE_KEYS, COUNTED = 2_000_000, 1 << 17
+#: A sketch of fine cells is folded while at most one bit in so many is set.
+SPARSE = 16
 #: Keys are cut to partial sketches at so many, which bounds a task's memory.
 FLUSH = 3_000_000
 
@@ -70,20 +73,21 @@ def decode(raw: bytes) -> np.ndarray:
 def _partial(at: np.ndarray, row: int, bits: int, width: int = SLICE) -> Iterator[pa.RecordBatch]:
     """at: the cells of one row; sorted in place."""
     at.sort()
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
-    counts = np.diff(first, append=len(at)).astype(np.uint32)
-    at = at[first]
     slices, levels, packed = [], [], []
-    level = 0
-    while len(at):
-        cuts = np.flatnonzero(np.concatenate(([True], (at[1:] >> width) != (at[:-1] >> width))))
-        for i, j in zip(cuts, np.append(cuts[1:], len(at))):
-            slices.append((row << (bits - width)) | int(at[i] >> width))
+    # slice by slice, so that what is made beside the cells is as long as a slice
+    cuts = np.searchsorted(at, np.arange(1, 1 << (bits - width), dtype=at.dtype) << at.dtype.type(width))
+    for i, (start, end) in enumerate(zip(np.append(0, cuts), np.append(cuts, len(at)))):
+        own = at[start:end]
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+        counts, own = np.diff(first, append=len(own)), own[first]
+        level = 0
+        while len(own):
+            slices.append((row << (bits - width)) | i)
             levels.append(level)
-            packed.append(encode(np.diff((at[i:j] & ((1 << width) - 1)).astype(np.int64), prepend=-1) - 1))
-        level += 1
-        keep = counts >= (1 << level)
-        at, counts = at[keep], counts[keep]
+            packed.append(encode(np.diff((own & own.dtype.type((1 << width) - 1)).astype(np.int64), prepend=-1) - 1))
+            level += 1
+            keep = counts >= (1 << level)
+            own, counts = own[keep], counts[keep]
     yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(levels, pa.int32()), pa.array(packed, pa.binary())], names=["slice", "level", "cells"])
 
 
@@ -170,10 +174,12 @@ def repeated(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.nd
 def _merge_fine(width: int, hot: int):
     """width: a slice has 2**width fine cells."""
 
-    def flags(at: np.ndarray, bits: int) -> bytes:
-        found = np.zeros(1 << bits, bool)
-        found[at] = True
-        return np.packbits(found).tobytes()
+    def mark(to: np.ndarray, at: np.ndarray) -> None:
+        """Sets the bits numbered `at`, which come in order."""
+        if len(at):
+            byte = at >> 3
+            first = np.flatnonzero(np.concatenate(([True], byte[1:] != byte[:-1])))
+            to[byte[first]] |= np.bitwise_or.reduceat((128 >> (at & 7)).astype(np.uint8), first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at_slice = [], None
@@ -184,31 +190,56 @@ def _merge_fine(width: int, hot: int):
         every = np.concatenate(held)
         held.clear()
         every.sort()
-        level, every = every & 63, every >> 6
-        first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-        counts = np.add.reduceat(1 << np.maximum(level - 1, 0), first)
-        at = every[first]
-        hots = flags(at[counts >= hot] >> (FINER + HOTTER), width - FINER - HOTTER)
-        yield pa.RecordBatch.from_arrays([pa.array([at_slice], pa.int32()), pa.array([flags(at[counts >= 2] >> FINER, width - FINER)], pa.binary()), pa.array([hots], pa.binary())], names=["slice", "bits", "hots"])
+        bits, hots = (np.zeros(1 << (width - x - 3), np.uint8) for x in (FINER, FINER + HOTTER))
+        i = 0
+        while i < len(every):
+            j = int(np.searchsorted(every, ((every[min(i + COUNTED, len(every)) - 1] >> 6) + 1) << 6))  # whole cells
+            level, cell = every[i:j] & 63, every[i:j] >> 6
+            first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+            counts, cell = np.add.reduceat(1 << np.maximum(level - 1, 0), first), cell[first]
+            mark(bits, cell[counts >= 2] >> FINER)
+            mark(hots, cell[counts >= hot] >> (FINER + HOTTER))
+            i = j
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([at_slice], pa.int32()), pa.array([int(np.bitwise_count(bits).sum(dtype=np.int64))], pa.int64()), pa.array([bits.tobytes()], pa.binary()), pa.array([hots.tobytes()], pa.binary())],
+            names=["slice", "n", "bits", "hots"],
+        )
 
     return run
 
 
+#: Of a byte, four bits that are set where either of two bits side by side is.
+_PAIRS = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)).reshape(256, 4, 2).any(2), axis=1)[:, 0] >> 4
+
+
+def folded(bits: bytes, times: int) -> bytes:
+    """Half as many bits each time, of which one is set where either of two side by side was."""
+    flat = np.frombuffer(bits, np.uint8)
+    for _ in range(times):
+        flat = _PAIRS[flat[::2]] << 4 | _PAIRS[flat[1::2]]
+    return flat.tobytes()
+
+
 def repeated_finely(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], keys: float, hot: int) -> Repeated:
     """As repeated(), for about so many keys, by one row of fine cells of which 2**FINER share a bit.
 
     A key counts as repeated if any cell beside its own met two keys. Each slice has about SLICE_KEYS keys, which its task sorts.
+    Folding lets more cells stand beside a key's own, but never hides a repeated key.
     """
     bits = bits_for(keys) + 2
     parts = max(LEAST_SLICES, math.ceil(math.log2(max(1.0, keys / SLICE_KEYS))))
     width = bits + FINER - parts
     made = docs.mapInArrow(lambda batches: partials(batches, keys_of, bits + FINER, 1, width), "slice int, level int, cells binary")
-    merged = made.groupBy("slice").applyInArrow(_merge_fine(width, hot), "slice int, bits binary, hots binary")
-    raw, hots = bytearray(1 << (bits - 3)), bytearray(1 << (bits - HOTTER - 3))
-    for r in saved(merged).toLocalIterator():
-        for to, of in ((raw, r["bits"]), (hots, r["hots"])):
+    merged = saved(made.groupBy("slice").applyInArrow(_merge_fine(width, hot), "slice int, n bigint, bits binary, hots binary"))
+    n = merged.agg(F.sum("n")).first()[0] or 0
+    # a slice keeps a byte at least, and there are no fewer bits than hot ones
+    fold = max(0, min(HOTTER, bits - parts - 3, bits - math.ceil(math.log2(max(1, SPARSE * n)))))
+    bits, hotter = bits - fold, HOTTER - fold
+    raw, hots = bytearray(1 << (bits - 3)), bytearray(1 << (bits - hotter - 3))
+    for r in merged.toLocalIterator():
+        for to, of in ((raw, folded(r["bits"], fold)), (hots, r["hots"])):
             to[r["slice"] * len(of) : (r["slice"] + 1) * len(of)] = of
-    return Repeated(bits, raw, hots, 1, HOTTER)
+    return Repeated(bits, raw, hots, 1, hotter)
 
 
 def text_bytes(docs: DataFrame) -> int:

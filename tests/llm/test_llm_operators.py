@@ -170,6 +170,41 @@ def test_near_duplicates_beyond_the_sketch(spark, monkeypatch, million):
     assert {(r.doc_id, r.component_id) for r in ngram_join.near_duplicates(docs).where("doc_id <> component_id").collect()} == {(n + i, 500 * i) for i in range(len(near))}
 
 
+def test_a_sketch_takes_little_beside_its_keys():
+    """A task's partial sketch, and the merge of a slice: bytes a key at the peak, the keys themselves left out."""
+    import tracemalloc
+
+    n, width = 1_000_000, 28
+    at = np.random.default_rng(13).integers(0, 1 << 33, n, dtype=np.uint64)
+    tracemalloc.start()
+    made = list(sketch._partial(at, 0, 33, width))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * n  # the encoded cells included
+
+    rows = [pa.concat_batches(list(sketch._partial(np.random.default_rng(k).integers(0, 1 << width, n // 10, dtype=np.uint64), 0, width, width))) for k in range(10)]
+    tracemalloc.start()
+    merged = list(sketch._merge_fine(width, 32)(iter(rows)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made and merged and peak < 30 * n
+
+
+def test_a_sketch_of_few_repeated_keys_is_folded(spark):
+    """200 of 1,000,200 keys repeat: few bits say which, and they are the same for every key that does."""
+
+    def keys_of(batch):
+        for i in batch.column(0).to_pylist():
+            yield np.append(np.arange(10**6 + 25_000 * i, 10**6 + 25_000 * (i + 1), dtype=np.uint64), np.arange(200, dtype=np.uint64))
+
+    seen = sketch.repeated_finely(spark.range(0, 40, 1, 4), keys_of, 10**6, 32)
+    assert len(seen.raw) == 2**23 // 16 // 8 and len(seen.hots) == 2**23 // 16 // 8
+    twice, once = np.arange(200, dtype=np.uint64), np.arange(10**6, 2 * 10**6, dtype=np.uint64)
+    assert seen(twice).all() and seen.hot(twice).all() and seen(once).mean() < 0.1 and seen.hot(once).mean() < 0.01
+    flat = np.random.default_rng(14).integers(0, 256, 64).astype(np.uint8)
+    assert np.unpackbits(np.frombuffer(sketch.folded(flat.tobytes(), 3), np.uint8)).tolist() == (flat > 0).astype(int).tolist()
+
+
 def test_deltas_of_any_size_are_read_back():
     rng = np.random.default_rng(4)
     for most, size in ((3, 1), (600, 2), (130_000, 2.5), (2**31, 4.1)):
