@@ -253,16 +253,20 @@ def late_data_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT user_id, 1::BIGINT FROM (SELECT user_id FROM (SELECT DISTINCT user_id, time_bucket(INTERVAL 6 DAY, ts, (SELECT min(ts) FROM events)) AS slice FROM events) GROUP BY user_id HAVING count(*) = 1)"""
 )
 def dedup_state_expires(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user is let through once while remembered. Slices of six days lie with the watermark's hour apart, so each slice lets a user through once again."""
+    """A user is let through once while remembered. Slices of six days are moved a year apart, so each slice lets a user through once again.
+
+    State goes at the end of a batch, by the watermark of the batch before. So each slice's batch ends with a row (a tick)
+    of long after it, and another batch stands between it and the next slice: there all of its users are forgotten.
+    """
     path, events = scratch(spark), _events(spark, sf_dir)
     start = events.agg(F.min("ts")).first()[0]
     slot = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(start))) / F.lit(6 * 86400 * 10**6))
-    n = (events.agg(F.max(slot)).first()[0] or 0) + 1
-    for i in range(n):  # each slice a year after the one before: the state of the last one is gone by then
+    for i in sorted(r[0] for r in events.select(slot).distinct().collect() if r[0] is not None) or [0]:
         moved = events.where(slot == i).withColumn("ts", F.col("ts") + F.make_dt_interval(F.lit(365 * i)))
-        moved.coalesce(1).write.mode("append").parquet(path)
-        tick = spark.createDataFrame([(-1 - i, -1, "tick", 0.0)], "event_id bigint, user_id bigint, event_type string, value double").withColumn("ts", F.lit(start).cast("timestamp") + F.make_dt_interval(F.lit(365 * i + 100)))
-        tick.select("event_id", "ts", "user_id", "event_type", "value").coalesce(1).write.mode("append").parquet(path)
+        at = F.lit(start).cast("timestamp") + F.make_dt_interval(F.lit((365 + 6) * i + 100))
+        tick = spark.createDataFrame([(-1 - i, -1, "tick", 0.0)], "event_id bigint, user_id bigint, event_type string, value double").withColumn("ts", at).select(*moved.columns)
+        moved.union(tick).coalesce(1).write.mode("append").parquet(path)
+        tick.coalesce(1).write.mode("append").parquet(path)
     s = spark.readStream.schema(_COLUMNS).option("maxFilesPerTrigger", 1).parquet(path)
     once = s.withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["user_id"])
     return run_to_files(once.select("user_id", "event_id"), "append").where("user_id >= 0").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
