@@ -268,11 +268,27 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["user_id", "bucket"]).where((F.col("tb") > F.col("ta")) & (F.col("tb") <= F.col("ta") + F.expr("INTERVAL 6 HOURS"))).select("first_id", "second_id")
 
 
+def salted(big: DataFrame, small: DataFrame, key: str, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column _salt, which deals the hot keys of `big` over `parts` numbers and repeats their rows of `small` as often.
+
+    A key is hot if it has over one in 256 of the rows of `big`, so there are 255 hot ones at most. All others have one salt.
+    """
+    n = big.count()
+    hot = [r[0] for r in big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * 256 > n).select(key).collect()]
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    a = big.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*big.columns), F.lit(parts)).cast("int")).otherwise(0))
+    b = small.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    return a, b
+
+
 def salted_join(big: DataFrame, small: DataFrame, key: str, parts: int = 16) -> DataFrame:
-    """An inner join that deals each key of `big` over `parts` tasks and repeats `small` as often: for keys that hold much of all rows."""
-    a = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(parts)).cast("int"))
-    b = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return a.join(b, [key, "_salt"]).drop("_salt")
+    """An inner join for keys that hold much of all rows: each such key of `big` is dealt over `parts` tasks.
+
+    Both sides are sorted and merged: Spark doesn't see that rows of `small` are repeated, and might send it whole to the
+    driver and to each executor.
+    """
+    a, b = salted(big, small, key, parts)
+    return a.join(b.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 @query("SELECT event_id, c_name FROM events JOIN customer ON user_id = c_custkey")
