@@ -37,11 +37,11 @@ def run_to_end(stream: DataFrame, mode: str, progress: list | None = None) -> Da
     return stream.sparkSession.table(name)
 
 
-def run_to_files(stream: DataFrame, mode: str) -> DataFrame:
+def run_to_files(stream: DataFrame, mode: str, progress: list | None = None) -> DataFrame:
     """Runs a stream over all that its source has into files of the shared folder, and returns what they hold.
 
     For results that grow with the input: no row goes through the driver. A batch that is run again overwrites its own
-    folder, as the file sink takes the append mode alone.
+    folder, as the file sink takes the append mode alone. progress: gets the reports of the batches.
     """
     spark, out = stream.sparkSession, scratch(stream.sparkSession)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark))
@@ -52,6 +52,8 @@ def run_to_files(stream: DataFrame, mode: str) -> DataFrame:
         q = writer.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}")).start()
     try:
         q.processAllAvailable()
+        if progress is not None:
+            progress += q.recentProgress
     finally:
         q.stop()
     return spark.read.schema(stream.schema).option("recursiveFileLookup", str(mode != "append").lower()).parquet(out)

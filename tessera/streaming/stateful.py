@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..plans.registry import load, query, scratch
-from .queries import _SENTINEL, run_to_end, run_to_files
+from .queries import _SENTINEL, run_to_files
 
 _COLUMNS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -243,7 +243,7 @@ def late_data_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, reports = spark.readStream.schema(_COLUMNS).option("maxFilesPerTrigger", 1).parquet(path), []
     # by event, so that no row is summed before the watermark is held against it
     counted = s.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour"), "event_id").agg(F.count(F.lit(1)).alias("n")).select("event_id", "n")
-    kept = run_to_end(counted, "append", reports)
+    kept = run_to_files(counted, "append", reports)  # a row for each event
     dropped = sum(op["numRowsDroppedByWatermark"] for r in reports for op in r["stateOperators"])
     return kept.where("event_id >= 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_kept"), F.lit(dropped).cast("bigint").alias("n_dropped"))
 
