@@ -50,56 +50,85 @@ def sliced_stream(spark: SparkSession, sf_dir: str, n: int = 4, sentinel: tuple[
 
 
 class Sessions(StatefulProcessor):
-    """Sessions of a key: rows less than a gap apart. Each is handed on once, when its timer says that no more can come.
+    """Sessions of users: rows less than a gap apart. Each is handed on once, when a timer says that no more can come.
 
-    State: the open session (value), its events by kind (map), and its ids so far (list). Rows of a batch are taken in
-    order of time; a row that comes after the gap closes the session at once, else the watermark does.
+    A key stands for any number of users, whose rows of a batch are taken together, as columns: a call to the state costs
+    as much as a hundred rows, and here there are a few for each key and batch. State: the open sessions, one a user at
+    most (list), and the time in milliseconds at which the first of them can end (value), which is the key's one timer. A
+    row that comes after the gap closes the session before it at once, else the watermark does.
     """
 
     def __init__(self, gap_seconds: int):
-        self.gap = pd.Timedelta(seconds=gap_seconds)
+        self.gap = gap_seconds * 10**6  # all times in microseconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "start timestamp, last timestamp, timer bigint")
-        self.kinds = handle.getMapState("kinds", "kind string", "n bigint")
-        self.ids = handle.getListState("ids", "id bigint")
-
-    def _closed(self, user: int) -> dict:
-        start, last, timer = self.open.get()
-        n = dict((k[0], v[0]) for k, v in self.kinds.iterator())
-        ids = [i[0] for i in self.ids.get()]
-        self.handle.deleteTimer(timer)
-        self.open.clear()
-        self.kinds.clear()
-        self.ids.clear()
-        return {"user_id": user, "start": start, "last": last, "n": sum(n.values()), "n_kinds": len(n), "first_id": ids[0], "last_id": ids[-1]}
+        self.open = handle.getListState("open", "user_id bigint, start bigint, last bigint, n bigint, first_id bigint, last_id bigint, kinds array<string>")
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    _FIELDS = ("user_id", "start", "last", "n", "first_id", "last_id", "kinds")
+
+    def _keep(self, still: pd.DataFrame) -> None:
+        """Puts the open sessions in place of those before, and the timer at the first time at which one can end."""
+        was = self.timer.get()[0] if self.timer.exists() else None
+        at = -(-(int(still["last"].min()) + self.gap) // 1000) if len(still) else None  # rounded up
+        if was is not None and at != was:
+            self.handle.deleteTimer(was)
+        if at is None:
+            self.open.clear()
+            self.timer.clear()
+            return
+        columns = [still[c].tolist() for c in self._FIELDS]
+        self.open.put(list(zip(*columns)))
+        if at != was:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    @staticmethod
+    def _out(closed: pd.DataFrame) -> pd.DataFrame:
+        at = lambda c: pd.to_datetime(closed[c], unit="us")
+        return closed[["user_id"]].assign(start=at("start"), last=at("last"), n=closed["n"], n_kinds=closed["kinds"].map(len), first_id=closed["first_id"], last_id=closed["last_id"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
-            if self.open.exists() and r.ts - pd.Timestamp(self.open.get()[1]) >= self.gap:
-                out.append(self._closed(key[0]))
-            start = r.ts
-            if self.open.exists():
-                start, _, timer = self.open.get()
-                self.handle.deleteTimer(timer)
-            until = -(-((r.ts + self.gap).value) // 10**6)  # in whole milliseconds, rounded up
-            self.handle.registerTimer(until)
-            self.open.update((start, r.ts, until))
-            self.kinds.updateValue((r.event_type,), ((self.kinds.getValue((r.event_type,))[0] if self.kinds.containsKey((r.event_type,)) else 0) + 1,))
-            self.ids.appendValue((r.event_id,))
-        if out:
-            yield pd.DataFrame(out)
+        new = pd.concat(list(rows), ignore_index=True)
+        us = new["ts"].astype("datetime64[us]").astype("int64")
+        parts = pd.DataFrame({"user_id": new["user_id"], "start": us, "last": us, "n": 1, "first_id": new["event_id"], "last_id": new["event_id"], "kinds": new["event_type"].map(lambda k: () if k is None else (k,))})
+        if self.open.exists():
+            held = pd.DataFrame([tuple(x) for x in self.open.get()], columns=self._FIELDS)
+            parts = pd.concat([held, parts], ignore_index=True)
+        parts = parts.sort_values(["user_id", "start", "first_id"], ignore_index=True)
+        # apart from all before it of its user by the gap
+        before = parts.groupby("user_id")["last"].cummax().shift(fill_value=0)
+        other = parts["user_id"] != parts["user_id"].shift()
+        parts["session"] = (other | (parts["start"] - before >= self.gap)).cumsum()
+        by = parts.groupby("session")
+        found = by.agg(user_id=("user_id", "first"), start=("start", "min"), last=("last", "max"), n=("n", "sum"), first_id=("first_id", "first"))
+        found["last_id"] = parts.sort_values(["session", "last", "last_id"]).groupby("session")["last_id"].last()
+        kinds: dict[int, set] = {}
+        for session, own in zip(parts["session"].tolist(), parts["kinds"].tolist()):
+            kinds.setdefault(session, set()).update(own)
+        found["kinds"] = [sorted(kinds[x]) for x in found.index]
+        ends = found["user_id"] == found["user_id"].shift(-1)  # a later session of the same user follows
+        self._keep(found[~ends])
+        if ends.any():
+            yield self._out(found[ends])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists():
-            yield pd.DataFrame([self._closed(key[0])])
+        if not self.open.exists():
+            return
+        held = pd.DataFrame([tuple(x) for x in self.open.get()], columns=self._FIELDS)
+        over = held["last"] + self.gap <= timerValues.getCurrentWatermarkInMs() * 1000
+        self._keep(held[~over])
+        if over.any():
+            yield self._out(held[over])
 
     def close(self) -> None:
         pass
 
 
+#: Keys that users are dealt over, each with the open sessions of its users.
+_GROUPS = 1024
+
 _ISLANDS = """SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (
     SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events)"""
 
@@ -111,7 +140,8 @@ def sessions_by_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
     was = spark.conf.get(key)
     spark.conf.set(key, _ROCKS)
     try:
-        s = sliced_stream(spark, sf_dir).withWatermark("ts", "0 seconds").groupBy("user_id")
+        s = sliced_stream(spark, sf_dir).where("user_id IS NOT NULL").withWatermark("ts", "0 seconds")
+        s = s.withColumn("users", F.pmod(F.xxhash64("user_id"), F.lit(_GROUPS))).groupBy("users")
         kind = "user_id bigint, start timestamp, last timestamp, n bigint, n_kinds bigint, first_id bigint, last_id bigint"
         out = run_to_files(s.transformWithStateInPandas(Sessions(12 * 3600), kind, "append", "eventTime"), "append")
     finally:
